@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import packing, sharding, token_files
 
 QUERIES = {
+    "op2_bit_packed_tokens": token_files.op2_bit_packed_tokens,
+    "op6_best_two_fit": packing.op6_best_two_fit,
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
 }
 
