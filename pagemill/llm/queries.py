@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, token_files
+from . import exact_dedup, packing, sharding, token_files, url_filter
 
 QUERIES = {
+    "op5_radix_exact_dedup": exact_dedup.op5_radix_exact_dedup,
+    "op7_wildcard_url_filter": url_filter.op7_wildcard_url_filter,
     "op2_bit_packed_tokens": token_files.op2_bit_packed_tokens,
     "op6_best_two_fit": packing.op6_best_two_fit,
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_radix_exact_dedup": exact_dedup.OP5_SQL,
+    "op7_wildcard_url_filter": url_filter.OP7_SQL,
+}
