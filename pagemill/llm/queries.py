@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, sharding, token_files, url_filter
+from . import decontaminate, exact_dedup, packing, pii, sharding, token_files, url_filter
 
 QUERIES = {
+    "op4_bootstrapped_pii": pii.op4_bootstrapped_pii,
+    "op8_string_tiling_decontamination": decontaminate.op8_string_tiling_decontamination,
     "op5_radix_exact_dedup": exact_dedup.op5_radix_exact_dedup,
     "op7_wildcard_url_filter": url_filter.op7_wildcard_url_filter,
     "op2_bit_packed_tokens": token_files.op2_bit_packed_tokens,
