@@ -47,3 +47,8 @@ def row_uid() -> Column:
 def let(value: Column, body) -> Column:
     """Bind ``value`` once inside an expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one, so that their names can clash with no working column."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, row_uid
+from .common import materialize, read_table, row_uid, whole_row
 
 #: Bytes of the first digit, and how many times wider each further one is.
 FIRST_DIGIT = 128
@@ -24,15 +24,16 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def split_rows(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+def split_rows(df: DataFrame, id_col: str, text_col: str, carry: bool) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): the materialised rows with a ``__uid``, and (``__uid``, ``__class``) of those not unique.
 
-    ``rows`` has the columns ``keep``, ``__id``, ``__sha`` and ``__alone`` (true: unique after the first split).
+    ``rows`` has ``__row`` (the whole row, if ``carry``), ``__id``, ``__sha`` and ``__alone`` (true: unique after the first split).
     """
     body = F.encode(normalized(F.col(f"`{text_col}`")), "UTF-8")
     digit = F.substring(body, 1, FIRST_DIGIT)
+    row = whole_row(df) if carry else F.lit(None).cast("int")
     source = df.select(
-        *[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").alias("__id"),
+        row.alias("__row"), F.col(f"`{id_col}`").alias("__id"),
         F.sha2(body, 256).alias("__sha"), body.alias("__body"), digit.alias("__digit"),
     )
     shared = (
@@ -42,7 +43,7 @@ def split_rows(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> tu
     alone = F.col("__single").isNull()
     rows = materialize(
         source.join(shared, "__digit", "left").select(
-            *[F.col(f"`{c}`") for c in keep], "__id", "__sha", alone.alias("__alone"),
+            "__row", "__id", "__sha", alone.alias("__alone"),
             F.when(~alone, F.col("__body")).alias("__body"), row_uid().alias("__uid"),
         ),
         "radix",
@@ -97,7 +98,7 @@ def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     an empty one. Repeated rows are copies. Texts of any length take a logarithmic number of splits. An empty frame
     gives an empty one. Other columns are not read.
     """
-    rows, classes = split_rows(df, id_col, text_col, [])
+    rows, classes = split_rows(df, id_col, text_col, carry=False)
     unique = rows.filter("__alone").select(
         F.col("__id").alias("doc_id"), F.col("__id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
         F.lit(True).alias("kept"), F.col("__sha").alias("text_sha256"),
@@ -111,11 +112,10 @@ def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns as they were."""
-    rows, classes = split_rows(df, id_col, text_col, df.columns)
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    rows, classes = split_rows(df, id_col, text_col, carry=True)
     rows = rows.drop("__body", "__sha")
-    return rows.filter("__alone").select(*columns).unionByName(
-        _decided(rows, classes).filter("__kept").select(*columns)
+    return rows.filter("__alone").select("__row.*").unionByName(
+        _decided(rows, classes).filter("__kept").select("__row.*")
     )
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, pii, sharding, token_files, url_filter
+from . import decontaminate, exact_dedup, near_dedup, packing, pii, sharding, token_files, url_filter
 
 QUERIES = {
+    "op10_weighted_minhash": near_dedup.op10_weighted_minhash,
     "op4_bootstrapped_pii": pii.op4_bootstrapped_pii,
     "op8_string_tiling_decontamination": decontaminate.op8_string_tiling_decontamination,
     "op5_radix_exact_dedup": exact_dedup.op5_radix_exact_dedup,

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import let, materialize, whole_row
 
 #: Constants of the ratio-of-uniforms hat: 2 sqrt(2/e) and 3 - 2 sqrt(3/e).
 HAT_WIDTH = 2 * math.sqrt(2 / math.e)
@@ -200,10 +200,10 @@ def shuffle_into_shards(
     empty frame gives an empty one. Columns of ``df`` called ``shard`` or ``slot`` are replaced. ``block_bits``: rows
     of a source block as a power of two; ``bucket_rows``: rows of a bucket of a shard, about.
     """
-    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    df = df.drop(*[c for c in df.columns if c.lower() in ("shard", "slot")])
     table = materialize(
         df.select(
-            *[F.col(f"`{c}`") for c in kept],
+            whole_row(df).alias("__row"),
             F.shiftright(F.monotonically_increasing_id(), block_bits).alias("__block"),
             F.rand(seed).alias("__key1"),
             F.rand(seed + 1).alias("__key2"),
@@ -219,7 +219,7 @@ def shuffle_into_shards(
         table.withColumn("__rank", F.row_number().over(local) - 1)
         .join(matrix, "__block")
         .select(
-            *[F.col(f"`{c}`") for c in kept],
+            "__row",
             F.size(F.filter("__cum", lambda c: c <= F.col("__rank"))).cast("int").alias("shard"),
             F.least(F.floor(F.col("__key2") * n_buckets), F.lit(n_buckets - 1)).cast("int").alias("__bucket"),
             "__key1",
@@ -235,7 +235,7 @@ def shuffle_into_shards(
     return (
         placed.withColumn("__rank", F.row_number().over(again) - 1)
         .join(offsets, ["shard", "__bucket"])
-        .select(*[F.col(f"`{c}`") for c in kept], "shard", (F.col("__before") + F.col("__rank")).alias("slot"))
+        .select("__row.*", "shard", (F.col("__before") + F.col("__rank")).alias("slot"))
     )
 
 
