@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, near_dedup, packing, pii, sharding, token_files, url_filter
+from . import decontaminate, exact_dedup, language, near_dedup, packing, pii, sharding, token_files, url_filter
 
 QUERIES = {
+    "op9_evidence_language_id": language.op9_evidence_language_id,
+    "llm_page_languages": language.page_languages,
     "op10_weighted_minhash": near_dedup.op10_weighted_minhash,
     "op4_bootstrapped_pii": pii.op4_bootstrapped_pii,
     "op8_string_tiling_decontamination": decontaminate.op8_string_tiling_decontamination,
