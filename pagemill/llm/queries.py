@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, near_dedup, packing, pii, sharding, token_files, url_filter
+from . import decontaminate, exact_dedup, language, line_dedup, near_dedup, packing, pii, sharding, token_files, url_filter
 
 QUERIES = {
+    "op3_sentence_hash_dedup": line_dedup.op3_sentence_hash_dedup,
     "op9_evidence_language_id": language.op9_evidence_language_id,
     "llm_page_languages": language.page_languages,
     "op10_weighted_minhash": near_dedup.op10_weighted_minhash,
