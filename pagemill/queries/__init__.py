@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .. import registry
-from . import text  # noqa: F401
+from . import classify, text  # noqa: F401
 
 QUERIES, SQL = registry.QUERIES, registry.SQL
