@@ -115,10 +115,9 @@ def write_tokens(
         docs: list[tuple[int | None, bytes]] = []
         held = 0
         for batch in batches:
-            texts = batch.column(1)
-            code.learn_batch(texts.to_pylist())
-            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = code.encode(text.as_py()) + end
+            texts = (t.as_py() for t in batch.column(1))
+            for doc, ids in zip(batch.column(0).to_pylist(), code.encode_all(texts), strict=True):
+                ids += end
                 docs.append((doc, ids))
                 held += len(ids) // 4
                 if held >= SEGMENT_IDS:
