@@ -226,6 +226,11 @@ def _clamp(x: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 
 
+def _round4(x: Column) -> Column:
+    """Half away from zero, on the scaled value."""
+    return F.floor(x * 10000 + 0.5) / 10000
+
+
 def quality_report(df: DataFrame, markdown: str) -> DataFrame:
     """``df`` with score, noise, density, richness, length_prior, bad and verdict of extracted markdown."""
     md = F.trim(F.coalesce(F.col(markdown), F.lit("")))
@@ -294,14 +299,14 @@ def quality_report(df: DataFrame, markdown: str) -> DataFrame:
     empty = md == ""
     df = df.withColumns({
         "verdict": F.when(empty, "thin").otherwise(verdict), "bad": F.col("bad") | empty,
-        **{c: F.when(empty, v).otherwise(F.round(c, 4)) for c, v in (("score", 0.0), ("noise", 1.0), ("density", 0.0), ("richness", 0.0), ("length_prior", 0.0))},
+        **{c: F.when(empty, v).otherwise(_round4(F.col(c))) for c, v in (("score", 0.0), ("noise", 1.0), ("density", 0.0), ("richness", 0.0), ("length_prior", 0.0))},
     })
     return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 
 def confidence(score: Column, bad: Column, backend: Column, truncated: Column) -> Column:
     lift = F.when(backend == "browser", 0.05).otherwise(0.0) - F.when(truncated, 0.05).otherwise(0.0)
-    return F.when(bad, F.least(score, F.lit(0.25))).otherwise(_clamp(F.round(score + lift, 4)))
+    return F.when(bad, F.least(score, F.lit(0.25))).otherwise(_clamp(_round4(score + lift)))
 
 
 def quality_gate(df: DataFrame, markdown: str) -> DataFrame:

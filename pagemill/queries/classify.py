@@ -164,7 +164,7 @@ h AS (SELECT *, CASE WHEN chars < 40 OR noise >= 0.7 OR shell THEN true WHEN sco
 
 
 @query("quality_report", QUALITY_SQL + """
-SELECT doc_id, round(score, 4) AS score, round(noise, 4) AS noise, round(density, 4) AS density, round(richness, 4) AS richness, bad,
+SELECT doc_id, floor(score * 10000 + 0.5) / 10000 AS score, floor(noise * 10000 + 0.5) / 10000 AS noise, floor(density * 10000 + 0.5) / 10000 AS density, floor(richness * 10000 + 0.5) / 10000 AS richness, bad,
   CASE WHEN bad THEN CASE WHEN noise >= 0.55 THEN 'noisy' ELSE 'thin' END WHEN total < 500 AND chars < 280 THEN 'short_quality' WHEN score >= 0.7 THEN 'rich' WHEN noise >= 0.35 THEN 'noisy' ELSE 'rich' END AS verdict FROM h
 """)
 def quality_report(spark, sf_dir):
