@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, row_uid
+from .common import materialize, read_table
 from .tokens import encoder, tokenizer_path
 
 #: Pieces of one packing task, about. Each task leaves at most a few sequences that are not full.
@@ -93,10 +93,9 @@ def token_pieces(
         code, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            texts = batch.column(1)
-            code.learn_batch(texts.to_pylist())
-            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = code.encode(text.as_py()) + end
+            texts = (t.as_py() for t in batch.column(1))
+            for doc, ids in zip(batch.column(0).to_pylist(), code.encode_all(texts), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -114,41 +113,32 @@ def token_pieces(
 def pack_pieces(pieces: DataFrame, capacity: int = 4096, pieces_a_task: int = PIECES_A_TASK) -> DataFrame:
     """``pieces`` with (sequence_id, offset): which sequence each goes to and where in it.
 
-    ``length`` must be from 1 to ``capacity``. The pieces are dealt at random into tasks of about ``pieces_a_task``,
+    ``length`` must be from 1 to ``capacity``. The pieces are dealt round-robin into tasks of about ``pieces_a_task``,
     whatever their keys, and each task packs its own, so no key is hot and no group is unbounded. Repeated rows are
     packed as often as they occur; null ids are ids like others; an empty frame gives an empty one. Columns called
     ``sequence_id`` or ``offset`` are replaced.
     """
-    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
-    table = materialize(pieces.select(*kept).withColumns({"__uid": row_uid(), "__deal": F.rand(5)}), "pieces")
+    pieces = pieces.drop(*[c for c in pieces.columns if c.lower() in ("sequence_id", "offset")])
+    table = materialize(pieces, "pieces")
     tasks = max(1, math.ceil(table.count() / pieces_a_task))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         whole = pa.Table.from_batches(held).combine_chunks()
-        task = whole.column("__task")[0].as_py()
         lengths = whole.column("length").to_numpy()
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        # a task may hold several deals, each is packed by itself
-        deals = whole.column("__task").to_numpy()
-        for task in np.unique(deals):
-            at = np.flatnonzero(deals == task)
-            for number, content in enumerate(best_two_fit(lengths[at], capacity)):
-                members = at[content]
-                sequence[members] = (int(task) << 32) + number
-                offset[members] = np.cumsum(lengths[members]) - lengths[members]
-        out = whole.drop_columns(["__uid", "__task"])
-        out = out.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        for number, content in enumerate(best_two_fit(lengths, capacity)):
+            sequence[content] = (TaskContext.get().partitionId() << 32) + number
+            offset[content] = np.cumsum(lengths[content]) - lengths[content]
+        out = whole.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
         yield from out.to_batches()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*kept).schema)
-    dealt = table.withColumn("__task", F.least(F.floor(F.col("__deal") * tasks), F.lit(tasks - 1)).cast("int"))
-    return (
-        dealt.drop("__deal").repartition(tasks, "__task").sortWithinPartitions("__task", "__uid")
-        .mapInArrow(assign, schema + ", sequence_id bigint, offset bigint")
-    )
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    return table.repartition(tasks).mapInArrow(assign, schema + ", sequence_id bigint, offset bigint")
 
 
 def op6_best_two_fit(spark, sf_dir):
