@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .. import registry
-from . import classify, pages, rank, sections, text  # noqa: F401
+from . import analytics, classify, pages, rank, sections, sources, text  # noqa: F401
 
 QUERIES, SQL = registry.QUERIES, registry.SQL
