@@ -80,7 +80,7 @@ def verify_proof(leaf: Column, path: Column, root: Column) -> Column:
 
 
 def base64url(data: Column) -> Column:
-    return F.translate(F.rtrim(F.base64(data), F.lit("=")), "+/", "-_")
+    return F.translate(F.regexp_replace(F.base64(data), r"[=\s]", ""), "+/", "-_")
 
 
 def from_base64url(text: Column) -> Column:
