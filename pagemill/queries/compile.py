@@ -73,7 +73,7 @@ def link_hubs(spark, sf_dir):
 SELECT doc_id, sha256(trim(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT (pos % 6 = 2)), ''), '\n{3,}', chr(10) || chr(10), 'g'))) AS pruned FROM (SELECT doc_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)) GROUP BY doc_id
 """)
 def markdown_prune(spark, sf_dir):
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 6 == 2, F.concat(x, F.lit(" Edit this page on GitHub"))).when(i % 6 == 1, F.concat(x, F.lit("[ ](/edit)"))).otherwise(x))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 6 == 2, F.concat(x, F.lit(" Edit this page on GitHub"))).when(i % 6 == 1, F.concat(F.lit("[ ](/edit)"), x)).otherwise(x))
     docs = table(spark, sf_dir, "documents").filter("text is not null")
     return docs.select("doc_id", F.sha2(C.prune_lines(F.array_join(lines, "\n")), 256).alias("pruned"))
 
