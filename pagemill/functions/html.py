@@ -235,7 +235,7 @@ def media_of(content: Node, base: str) -> list[dict]:
         srcset = n.attrs.get("srcset", "").split(",")[0].split()
         source = n.attrs.get("src") or (srcset[0] if srcset else None)
         kind = {"img": "image", "video": "video", "audio": "audio", "source": "source"}.get(n.tag)
-        if n.tag == "a" and DOWNLOADS.search(urlsplit(n.attrs.get("href", "")).path):
+        if n.tag == "a" and DOWNLOADS.search(re.sub(r"[?#].*", "", n.attrs.get("href", ""))):
             kind, source = "download", n.attrs.get("href")
         url = absolute(source, base) if kind else None
         if url and url not in seen and len(out) < MAX_MEDIA:

@@ -27,6 +27,7 @@ LEVEL_WEIGHT = {1: 1.2, 2: 1.1, 3: 1.0, 4: 0.9, 5: 0.8, 6: 0.7}
 
 _WIDE = re.compile("[一-鿿㐀-䶿぀-ヿ가-힣豈-﫿]")
 _WORD = re.compile(r"[^\W_]{3,}")
+_LINK = re.compile(r"\[[^\]\n]*\]\([^)\n]*\)")
 
 
 def prune_lines(markdown: Column) -> Column:
@@ -69,7 +70,7 @@ def safe_cut(text: str, at: int) -> int:
     word = max(text.rfind(" ", 0, at), line)
     at = line if line > at // 2 else word if word > 0 else at
     opened = text.rfind("[", max(0, at - 240), at)
-    if opened >= 0 and (m := re.compile(r"\[[^\]\n]*\]\([^)\n]*\)").match(text, opened)) and m.end() > at:
+    if opened >= 0 and (m := _LINK.match(text, opened)) and m.end() > at:
         at = opened
     return max(at, 1)
 
@@ -87,6 +88,9 @@ def sandwich(text: str, tokens: int) -> str:
     start = len(text) - fit(back, int(room * 0.40))
     line = text.find("\n", start, start + 240)
     start = line + 1 if line >= 0 else start
+    opened = text.rfind("[", max(0, start - 240), start)
+    if opened >= 0 and (m := _LINK.match(text, opened)) and m.end() > start:
+        start = m.end()
     return text[:first].rstrip() + SNIP_MIDDLE + text[start:].lstrip("\n") if start > first else head(text, tokens)
 
 

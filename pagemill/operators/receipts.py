@@ -76,7 +76,9 @@ class Signer:
     def key_id(self) -> str:
         import hashlib
 
-        return hashlib.sha256(bytes(self.pair.getPublic().getEncoded())).hexdigest()[:16]
+        kind = self.jvm.java.lang.Class.forName("java.security.spec.X509EncodedKeySpec")
+        spec = self.jvm.java.security.KeyFactory.getInstance("EC").getKeySpec(self.pair.getPublic(), kind)
+        return hashlib.sha256(bytes(spec.getEncoded())).hexdigest()[:16]
 
     def _engine(self):
         return self.jvm.java.security.Signature.getInstance("SHA256withECDSAinP1363Format")
