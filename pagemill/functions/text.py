@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,8 +48,8 @@ WIDE = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{30FF}\x{AC00}-\x{D7A3}\x{
 
 
 def contains_any(text: Column, phrases) -> Column:
-    """Whether ``text`` holds one of ``phrases``; one pass of one pattern."""
-    return text.rlike("|".join(r"\Q" + p + r"\E" for p in phrases))
+    """Whether ``text`` holds one of ``phrases``: byte searches, far faster than one pattern of alternatives."""
+    return reduce(operator.or_, [text.contains(p) for p in phrases])
 
 
 def length_of(text: Column, chars: str) -> Column:

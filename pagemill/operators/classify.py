@@ -132,9 +132,8 @@ def is_reference_page(url: Column) -> Column:
     return ~is_login_path(url) & (F.coalesce(docs, F.lit(False)) | known)
 
 
-def challenge_kind(html: Column, status: Column, url: Column, ratio: Column, chars: Column) -> Column:
-    """(kind, action) of a bot challenge; null without one."""
-    lower = F.lower(F.coalesce(html, F.lit("")))
+def challenge_kind(lower: Column, status: Column, url: Column, ratio: Column, chars: Column) -> Column:
+    """(kind, action) of a bot challenge in a page in lower case; null without one."""
     docs = (status != 429) & (chars >= 500) & (lower.contains("<main") | lower.contains("<article")) & lower.contains("<h2")
     limited = (status == 429) | (T.contains_any(lower, RATE_LIMIT) & (ratio < 0.1) & (chars < 500))
 
@@ -155,8 +154,8 @@ def probe(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
 
     Needles are searched in the raw page in lower case; a null page is an empty one.
     """
-    lower = F.lower(F.coalesce(F.col(html), F.lit("")))
-    df = pages.withColumn("visible_chars", visible_length(F.col(html)))
+    df = pages.withColumns({"visible_chars": visible_length(F.col(html)), "__lower": F.lower(F.coalesce(F.col(html), F.lit("")))})
+    lower = F.col("__lower")
     df = df.withColumns({
         "visible_ratio": F.least(F.lit(1.0), F.col("visible_chars") / F.greatest(F.length(lower), F.lit(1))),
         "script_density": F.least(F.lit(1.0), F.regexp_count(lower, F.lit("<script")) / 40.0),
@@ -167,7 +166,7 @@ def probe(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     ratio, chars = F.col("visible_ratio"), F.col("visible_chars")
     password = T.contains_any(lower, ('type="password"', "type='password'"))
     wall = password & (T.contains_any(lower, LOGIN_UI) | (ratio < 0.04))
-    kind = challenge_kind(F.col(html), F.lit(200), F.col(url), ratio, chars)
+    kind = challenge_kind(lower, F.lit(200), F.col(url), ratio, chars)
     spa = ((chars < STUB_TEXT) & T.contains_any(lower, STUB_MARKERS)) | ((ratio < 0.02) & (F.col("script_density") > 0.15))
     shut = T.contains_any(lower, CHALLENGE) | (
         T.contains_any(lower, ("captcha", "please enable js and disable any ad blocker")) & (ratio < 0.05)
@@ -195,7 +194,7 @@ def probe(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
         F.when(F.col("login"), "login_required"), F.when(F.col("paywall"), "paywall"),
         F.when(F.col("spa_shell"), "spa_shell"), F.when(ratio < 0.03, "low_visible_text"),
     ))
-    return df.withColumn("risks", flags)
+    return df.withColumn("risks", flags).drop("__lower")
 
 
 def recommend(df: DataFrame, url: str = "url") -> DataFrame:
@@ -234,7 +233,7 @@ def _round4(x: Column) -> Column:
 def quality_report(df: DataFrame, markdown: str) -> DataFrame:
     """``df`` with score, noise, density, richness, length_prior, bad and verdict of extracted markdown."""
     md = F.trim(F.coalesce(F.col(markdown), F.lit("")))
-    df = df.withColumn("__md", md)
+    df = df.withColumn("__md", md).withColumn("__low", F.lower("__md"))
     md = F.col("__md")
     prose = F.regexp_replace(F.regexp_replace(md, r"!\[[^\]]*\]\([^)]+\)", " "), T.LINK, "$1")
     prose = F.regexp_replace(F.regexp_replace(prose, r"(?m)^#{1,6}\s", " "), r"(?m)^\s*[-*+]\s", " ")
@@ -260,7 +259,7 @@ def quality_report(df: DataFrame, markdown: str) -> DataFrame:
     shell = (total < 400) & (headings >= 2) & (items == 0) & (links == 0) & (F.col("__bare") < 40)
     definition = (unique >= 12) & (F.col("__ends") >= 1) & (chars >= 80)
     sparse = (total <= 280) & (items == 0) & (headings <= 1) & (links <= 1)
-    lower = F.lower(md)
+    lower = F.col("__low")
 
     def hit(condition, weight):
         return F.when(condition, weight).otherwise(0.0)

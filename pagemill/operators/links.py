@@ -57,13 +57,7 @@ def link_scores(links: Column, query: str) -> Column:
             T.word_tokens(path).alias("tp"), T.word_tokens(title).alias("tt"), F.filter(F.split(F.lower(x["path"]), "/"), lambda s: s != "").alias("seg"),
         )
 
-    def score(rows, mean):
-        n = F.size(rows)
-        idf = {}
-        for term in asked:
-            df = F.size(_with_term(rows, term))
-            idf[term] = F.log(1 + (n - df + 0.5) / (df + 0.5))
-
+    def score(rows, mean, idf):
         def one(r):
             path, title, soft, hits = F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0)
             for a in primary:
@@ -87,10 +81,10 @@ def link_scores(links: Column, query: str) -> Column:
                 overlap = overlap + F.when(r["body"].contains(t) | _soft_in(r["t"], t), 1).otherwise(0)
             supporting = F.least(F.lit(2.5), (2.0 * in_path + 1.5 * in_title) / max(1, len(support)))
             bm25, dl = F.lit(0.0), F.greatest(F.lit(1), F.size(r["t"]))
-            for t in asked:
+            for k, t in enumerate(asked):
                 near = F.size(F.filter(r["t"], _soft_to(t)))
                 tf = F.when((near == 0) & r["body"].contains(t), 1).otherwise(near)
-                bm25 = bm25 + F.when(tf > 0, idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))).otherwise(0.0)
+                bm25 = bm25 + F.when(tf > 0, idf[k] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))).otherwise(0.0)
             bm25 = bm25 * (0.35 if primary else 1.0)
             missing = F.when(hits == 0, 8.0).otherwise(0.0) if primary else F.lit(0.0)
             noisy = r["raw"].rlike(VERSION_PATH) | T.contains_any(r["title"], ("what's new", "whats new", "changelog", "release notes", "release history"))
@@ -108,7 +102,10 @@ def link_scores(links: Column, query: str) -> Column:
 
     def bound(r):
         mean = F.aggregate(r, F.lit(0.0), lambda a, x: a + F.greatest(F.lit(1), F.size(x["t"]))) / F.greatest(F.lit(1), F.size(r))
-        return score(r, mean)
+        df = [F.size(_with_term(r, t)) for t in asked]
+        idf = F.array(*[F.log(1 + (F.size(r) - d + 0.5) / (d + 0.5)) for d in df]) if asked else F.array().cast("array<double>")
+        page = F.array(F.struct(mean.alias("m"), idf.alias("i")))
+        return F.element_at(F.transform(page, lambda s: score(r, s["m"], s["i"])), 1)
 
     return F.element_at(F.transform(F.array(rows), bound), 1)
 

@@ -24,33 +24,45 @@ def block_scores(blocks: Column, claim: list[str]) -> Column:
     A token counts for a term if they are equal or the longer starts with the other of four or more characters; a
     block that holds the term inside a word counts once. Frequencies are of whole tokens.
     """
-    parts = F.transform(
-        blocks, lambda x: F.struct(F.lower(F.coalesce(x, F.lit(""))).alias("low"), T.ascii_tokens(F.coalesce(x, F.lit(""))).alias("t"))
-    )
-    mean = _total(F.transform(parts, lambda p: F.greatest(F.lit(1), F.size(p["t"])).cast("double"))) / F.size(blocks)
+    # a token akin to a term shares its first three characters, so few tokens of a block need the full test
+    starts = sorted({t[:3] for t in claim})
+
+    def part(x):
+        low = F.lower(F.coalesce(x, F.lit("")))
+
+        def kept(tokens):
+            near = F.filter(tokens, lambda t: F.substring(t, 1, 3).isin(*starts))
+            return F.struct(low.alias("low"), F.greatest(F.lit(1), F.size(tokens)).alias("dl"), near.alias("t"))
 
-    def score(ps, mean_dl):
-        n = F.size(ps)
-        idf = {}
-        for term in claim:
-            df = F.size(F.filter(ps, _holds(term)))
-            idf[term] = F.log(1 + (n - df + 0.5) / (df + 0.5))
+        return F.element_at(F.transform(F.array(T.ascii_tokens(low)), kept), 1)
 
+    parts = F.transform(blocks, part)
+    n = F.size(blocks)
+
+    def rarity(df):
+        return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+    def score(ps, mean_dl, idf):
         def of_block(b):
             total, matched = F.lit(0.0), F.lit(0)
-            dl = F.greatest(F.lit(1), F.size(b["t"]))
-            for term in claim:
+            for k, term in enumerate(claim):
                 near = F.size(F.filter(b["t"], _akin(term)))
                 tf = F.when((near == 0) & b["low"].contains(term), 1).otherwise(near)
-                gain = idf[term] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / mean_dl))
+                gain = idf[k] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * b["dl"] / mean_dl))
                 total = total + F.when(tf > 0, gain).otherwise(0.0)
                 matched = matched + F.when(tf > 0, 1).otherwise(0)
             return F.struct(total.alias("score"), matched.alias("matched"))
 
         return F.transform(ps, of_block)
 
-    bound = F.transform(F.array(F.struct(parts.alias("p"), mean.alias("m"))), lambda s: score(s["p"], s["m"]))
-    return F.element_at(bound, 1)
+    # bound step by step, so that what belongs to the page is not taken anew for every block
+    def with_mean(p):
+        mean = _total(F.transform(p, lambda x: x["dl"].cast("double"))) / n
+        idf = F.array(*[rarity(F.size(F.filter(p, _holds(t)))) for t in claim])
+        bound = F.transform(F.array(F.struct(mean.alias("m"), idf.alias("i"))), lambda s: score(p, s["m"], s["i"]))
+        return F.element_at(bound, 1)
+
+    return F.element_at(F.transform(F.array(parts), with_mean), 1)
 
 
 def _holds(term: str):
