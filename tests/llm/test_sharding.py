@@ -8,7 +8,7 @@ from pagemill.llm.sharding import hypergeometric, shuffle_into_shards
 
 def test_hypergeometric_follows_its_law(spark):
     for good, total, draws in ((30, 100, 40), (70, 100, 25), (500, 1200, 900), (3, 50, 20), (40, 60, 4)):
-        n = 6000
+        n = 2500
         rows = spark.range(n).select(
             hypergeometric(*[F.lit(v).cast("bigint") for v in (good, total, draws)], F.col("id")).alias("k")
         )
