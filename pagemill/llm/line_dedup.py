@@ -1,10 +1,11 @@
 """Repeated lines and sentences, found by the digests of normalised units.
 
 A unit is a sentence of a line: lines are cut at line ends, and within a line after ``.``, ``!`` or ``?`` before white
-space, since a repeated passage can start amid a line. A unit is normalised to its lower-case words; units of fewer
-than ``min_words`` words repeat by chance and are passed over. The digests are grouped over all documents; the earliest
-occurrence (by document id, then place) stays. Of the others, those in a passage are removed: a run of neighbouring
-units that all occur earlier, of ``min_passage`` words or more together. ``min_passage=1`` removes every single one.
+space, since a repeated passage can start amid a line. With ``lines``, whole lines of several sentences are units too, so that
+a line of short sentences counts. A unit is normalised to its lower-case words; units of fewer than ``min_words`` words
+repeat by chance and are passed over. The digests are grouped over all documents; the earliest occurrence (by document
+id, then place) stays. Of the others, those in a passage are removed: a run of neighbouring units that all occur
+earlier, of ``min_passage`` words or more together. ``min_passage=1`` removes every single one; so does the query.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, row_uid
+from .common import materialize, read_table, row_uid, whole_row
 
 #: Fewest words of a unit.
 MIN_WORDS = 4
@@ -27,6 +28,7 @@ MIN_PASSAGE = 25
 
 _UNIT = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 _WORD = re.compile(r"\w+")
+_LINE = re.compile(r"[^\n]+")
 
 
 def units(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -38,29 +40,49 @@ def units(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, byt
         seq = _WORD.findall(unit.lower())
         if len(seq) >= min_words:
             start = m.start() + len(unit) - len(unit.lstrip())
-            digest = hashlib.blake2b(" ".join(seq).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            yield start, m.start() + len(unit.rstrip()), len(seq), digest
+            yield start, m.start() + len(unit.rstrip()), len(seq), _digest(seq)
 
 
-def unit_table(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, uid, place, start, end, words, digest) of all units, materialised; ``uid`` is the row's."""
+def _digest(seq: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(seq).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def line_units(text: str | None, min_words: int) -> Iterator[tuple[int, tuple[int, int, int, bytes]]]:
+    """Line number and unit of each line of ``min_words`` words that are not all in one of its sentences.
+
+    A line holds more words than any sentence in it, so that none is taken for a repeat of the line around it.
+    """
+    for k, m in enumerate(_LINE.finditer(text or "")):
+        line = m[0]
+        if len(line) < 2 * min_words - 1:
+            continue
+        seq = _WORD.findall(line.lower())
+        if len(seq) >= min_words and len(seq) > max(len(_WORD.findall(u[0].lower())) for u in _UNIT.finditer(line)):
+            start = m.start() + len(line) - len(line.lstrip())
+            yield k, (start, m.start() + len(line.rstrip()), len(seq), _digest(seq))
+
+
+def unit_table(df: DataFrame, id_col: str, text_col: str, min_words: int, lines: bool = False, uid: str | None = None) -> DataFrame:
+    """(id, uid, line, place, start, end, words, digest) of all units, materialised; ``uid`` is the row's, drawn
+    here or read from the column so named; ``line`` says whether the unit is a line of several sentences."""
+
+    def cut_text(text: str | None) -> list[dict]:
+        found = [(False, k, u) for k, u in enumerate(units(text, min_words))]
+        if lines:
+            found += [(True, k, u) for k, u in line_units(text, min_words)]
+        return [{"line": x, "place": k, "start": s, "end": e, "words": n, "digest": d} for x, k, (s, e, n, d) in found]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                [
-                    {"place": k, "start": s, "end": e, "words": n, "digest": d}
-                    for k, (s, e, n, d) in enumerate(units(t.as_py(), min_words))
-                ]
-                for t in batch.column(1)
-            ]
-            kind = pa.struct([("place", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int32()), ("digest", pa.binary())])
+            found = [cut_text(t.as_py()) for t in batch.column(1)]
+            kind = pa.struct([("line", pa.bool_()), ("place", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int32()), ("digest", pa.binary())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(kind))], names=["id", "units"])
 
-    lean = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`"))
-    schema = f"id {lean.schema[0].dataType.simpleString()}, units array<struct<place: int, start: bigint, end: bigint, words: int, digest: binary>>"
+    ids = F.struct(F.col(f"`{id_col}`").alias("id"), (F.col(f"`{uid}`") if uid else F.lit(None).cast("bigint")).alias("uid"))
+    lean = df.select(ids.alias("ids"), F.col(f"`{text_col}`"))
+    schema = f"id {lean.schema[0].dataType.simpleString()}, units array<struct<line: boolean, place: int, start: bigint, end: bigint, words: int, digest: binary>>"
     return materialize(
-        lean.mapInArrow(cut, schema).withColumn("uid", row_uid())
+        lean.mapInArrow(cut, schema).select("id.id", (F.col("id.uid") if uid else row_uid()).alias("uid"), "units")
         .select("id", "uid", F.explode("units").alias("u")).select("id", "uid", "u.*"),
         "units",
     )
@@ -68,16 +90,21 @@ def unit_table(df: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
 
 def repeated_units(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-    min_passage: int = MIN_PASSAGE,
+    min_passage: int = MIN_PASSAGE, lines: bool = False,
 ) -> DataFrame:
     """One row per removed unit: doc_id, start, end, words, keep_doc_id, keep_start, passage_words.
 
     ``start`` and ``end`` are code points of the original text; ``keep_doc_id`` and ``keep_start`` say where the
     earliest occurrence stands, in the same document perhaps. Null ids come last; of rows that share an id, one is
     earlier. Null and empty texts have no units. Repeated rows are copies and lose all units but the first row's. An
-    empty frame gives an empty one. Other columns are not read.
+    empty frame gives an empty one. Other columns are not read. With ``lines``, a removed line stands beside its own
+    removed sentences, so spans can overlap; its ``passage_words`` counts neighbouring lines of several sentences.
     """
-    table = unit_table(df, id_col, text_col, min_words)
+    return _repeats(unit_table(df, id_col, text_col, min_words, lines), min_passage).drop("uid")
+
+
+def _repeats(table: DataFrame, min_passage: int) -> DataFrame:
+    """:func:`repeated_units` of a unit table, with ``uid``."""
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "uid", "start")
     # one row for each digest and task goes into the shuffle, however often a unit occurs
     earliest = (
@@ -87,10 +114,10 @@ def repeated_units(
     later = (F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start"))
     repeats = table.join(earliest, "digest").filter(later)
     # places of a run ascend by one; a window holds the units of one document
-    run = F.col("place") - F.row_number().over(Window.partitionBy("uid").orderBy("place"))
-    words = F.sum("words").over(Window.partitionBy("uid", "run"))
+    run = F.col("place") - F.row_number().over(Window.partitionBy("uid", "line").orderBy("place"))
+    words = F.sum("words").over(Window.partitionBy("uid", "line", "run"))
     return repeats.withColumn("run", run).withColumn("passage_words", words).filter(F.col("passage_words") >= min_passage).select(
-        F.col("id").alias("doc_id"), "start", "end", "words", F.col("first.id").alias("keep_doc_id"),
+        "uid", F.col("id").alias("doc_id"), "start", "end", "words", F.col("first.id").alias("keep_doc_id"),
         F.col("first.start").alias("keep_start"), "passage_words",
     )
 
@@ -109,6 +136,23 @@ def cut_out(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return "\n".join(c for c, line in zip(clean, lines, strict=True) if c or "\0" not in line)
 
 
+def without_repeats(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_passage: int = 1,
+    lines: bool = True,
+) -> DataFrame:
+    """All rows and columns of ``df``, the text without its repeated units; a text made of them becomes empty.
+
+    Rows are numbered and materialised first, so that rows that share an id keep their own spans apart.
+    """
+    whole = materialize(df.select(whole_row(df).alias("row"), row_uid().alias("uid")), "rows")
+    table = unit_table(whole.select("uid", F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text")), "id", "text", min_words, lines, "uid")
+    spans = _repeats(table, min_passage).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    kept = F.udf(lambda text, spans: cut_out(text, [tuple(s) for s in spans or ()]), "string")
+    text = kept(F.col("row")[text_col], "spans")
+    return whole.join(spans, "uid", "left").select(F.col("row").withField(f"`{text_col}`", text).alias("row")).select("row.*")
+
+
 def op3_sentence_hash_dedup(spark, sf_dir):
-    """Every removed unit of the documents, with its original offsets and where its earliest occurrence stands."""
-    return repeated_units(read_table(spark, sf_dir, "documents"))
+    """Every later occurrence of a repeated sentence or line of the documents, with its original offsets and where the
+    earliest occurrence stands."""
+    return repeated_units(read_table(spark, sf_dir, "documents"), min_passage=1, lines=True)

@@ -1,6 +1,6 @@
 import random
 
-from pagemill.llm.line_dedup import cut_out, repeated_units, units
+from pagemill.llm.line_dedup import cut_out, op3_sentence_hash_dedup, repeated_units, units, without_repeats
 
 
 def test_units_and_offsets():
@@ -41,3 +41,28 @@ def test_against_brute_force(spark):
         got = [tuple(r) for r in repeated_units(df, min_passage=least).collect()]
         assert sorted(map(str, got)) == sorted(map(str, want)) and want
     assert repeated_units(df.limit(0)).count() == 0
+
+
+def test_query_removes_every_later_unit(spark, tmp_path):
+    rows = [
+        (1, "Sign up for our daily news.\nSomething of its own stands here."),
+        (2, "Another text with words of its own.\nSign up for our daily news."),
+        (3, "Ask us. Call now. Go on.\nA third text, not like the others."),
+        (4, "Ask us. Call now! Go on.\n!! Hello there my old friend."),
+        (5, "Glued onto it that starts elsewhere. A short one in between. It ends in"),
+        (6, "Prose before that starts elsewhere. A short one in between. It ends otherwise"),
+        (7, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = dict(rows)
+    got = sorted((r.doc_id, texts[r.doc_id][r.start : r.end], r.keep_doc_id, r.passage_words) for r in op3_sentence_hash_dedup(spark, str(tmp_path)).collect())
+    assert got == [
+        (2, "Sign up for our daily news.", 1, 6), (4, "Ask us. Call now! Go on.", 3, 6), (6, "A short one in between.", 5, 5),
+    ]
+    clean = {r.doc_id: r.text for r in without_repeats(df).collect()}
+    assert clean == texts | {
+        2: "Another text with words of its own.", 4: "!! Hello there my old friend.", 6: "Prose before that starts elsewhere.  It ends otherwise",
+    }
+    twice = [r.text for r in without_repeats(df.filter("doc_id = 1").unionAll(df.filter("doc_id = 1"))).collect()]
+    assert sorted(twice) == ["", texts[1]]
