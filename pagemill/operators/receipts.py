@@ -58,6 +58,40 @@ def ordered_root(df: DataFrame, order: list[str], leaf: str) -> str | None:
     return row["__leaf"] if row else None
 
 
+def numbered_within(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """``df`` with ``__i``, a row's place in its group from 0, and ``__total``, the group's rows.
+
+    As in :func:`ordered_root`: parts are ranges over group and order, so that no task holds a large group.
+    """
+    ranged = materialize(df.repartitionByRange(by, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy(by, "__part").agg(F.count("*").alias("__n"))  # one row a part and group
+    group = Window.partitionBy(by)
+    before = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(
+        F.col(by).alias("__by"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), F.sum("__n").over(group).alias("__total")
+    )
+    place = F.row_number().over(Window.partitionBy("__part", by).orderBy(*order))
+    joined = ranged.withColumn("__k", place).join(F.broadcast(sizes), F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__p")))
+    return joined.withColumn("__i", F.col("__base") + F.col("__k") - 1).drop("__by", "__p", "__part", "__k", "__base")
+
+
+def ordered_roots(df: DataFrame, by: str, order: list[str], leaf: str) -> DataFrame:
+    """(by, root): the Merkle root of each group's leaves in order, by subtrees of ``SUBTREE`` leaves."""
+    level = materialize(numbered_within(df.select(by, *order, F.col(leaf).alias("__leaf")), by, order).select(by, "__i", "__total", "__leaf"), "leaves")
+    most = level.agg(F.max("__total")).first()[0] or 0
+    while most > 1:
+        nodes = level.groupBy(by, F.floor(F.col("__i") / SUBTREE).alias("__i"), "__total").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct(F.col("__i").alias("i"), "__leaf"))), lambda s: s["__leaf"]).alias("nodes")
+        )
+        height = F.least(F.lit(int(math.log2(SUBTREE))), F.length(F.bin(F.col("__total") - 1)))
+        top = F.aggregate(F.sequence(F.lit(1), height), F.col("nodes"), lambda a, _: I.parent_level(a))[0]
+        level = nodes.select(
+            by, "__i", F.ceil(F.col("__total") / SUBTREE).alias("__total"), F.when(F.col("__total") > 1, top).otherwise(F.col("nodes")[0]).alias("__leaf")
+        )
+        most = -(-most // SUBTREE)
+    return level.select(by, F.col("__leaf").alias("root"))
+
+
 def manifest(spark: SparkSession, created_at: str, rows: int, root: str | None, key_id: str) -> str:
     """Canonical text of a data set's manifest."""
     fields = {"v": F.lit(1), "createdAt": F.lit(created_at), "rowCount": F.lit(rows), "manifestRoot": F.lit(root).cast("string"), "keyId": F.lit(key_id), "alg": F.lit(ALG)}

@@ -11,6 +11,7 @@ from ..operators import claims as A
 from ..operators import compile as C
 from ..operators import links as L
 from ..operators import rank as R
+from ..operators import receipts as M
 from ..registry import query, table
 from .classify import page_links
 from .sections import headed
@@ -129,3 +130,13 @@ def digest_combined(spark, sf_dir):
     part = F.concat(F.lit("## "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.substring("text", 1, 80))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))), lambda x: x["p"]), "\n\n")
     return docs.groupBy("source").agg(F.count("*").alias("pages"), F.count_if(F.lower("text").contains("that")).alias("focused"), F.sha2(joined, 256).alias("combined"))
+
+
+@query("digest_combined_all")
+def digest_combined_all(spark, sf_dir):
+    """One digest a source out of all its pages and their whole texts, as the root over the parts' hashes in order."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    part = F.sha2(F.concat(F.lit("## "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.col("text")), 256)
+    roots = M.ordered_roots(docs.select("source", "doc_id", part.alias("leaf")), "source", ["doc_id", "leaf"], "leaf")
+    counts = docs.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("pages"), F.count_if(F.lower("text").contains("that")).alias("focused"))
+    return counts.join(roots, F.col("s").eqNullSafe(F.col("source"))).select("source", "pages", "focused", F.col("root").alias("combined"))
