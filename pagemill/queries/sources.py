@@ -100,8 +100,9 @@ def robots(spark, sf_dir):
 SELECT regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '') AS host, CAST(least(50, count(DISTINCT url)) AS INTEGER) AS urls FROM pages WHERE url IS NOT NULL GROUP BY 1
 """.replace("\\\\", "\\"))
 def sitemap(spark, sf_dir):
-    """One sitemap a host, with its pages, twice one of them and a foreign one."""
-    pages = table(spark, sf_dir, "pages").filter("url is not null").withColumn("host", T.host_key(F.col("url")))
+    """One sitemap a host, with its first 50 different pages, twice one of them and a foreign one."""
+    pages = table(spark, sf_dir, "pages").filter("url is not null").select("url", T.host_key(F.col("url")).alias("host")).distinct()
+    pages = pages.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("url"))).filter("k <= 50")
     loc = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
     maps = pages.groupBy("host").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(loc), ""), F.min(loc), F.lit("<loc>http://foreign.net/</loc></urlset>")).alias("xml"))
     return maps.select("host", F.size(S.sitemap_urls(F.col("xml"), F.col("host"), 50)).alias("urls"))

@@ -30,3 +30,34 @@ def test_digest_of_all_documents(spark, tmp_path, monkeypatch):
         leaves = [hashlib.sha256(f"## {d}\n\n{t}".encode()).hexdigest() for d, t in of]
         want[source] = (len(of), sum("that" in t.lower() for _, t in of), root(leaves))
     assert got == want
+
+
+def collected(df):
+    return "collect_list" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_latency_holds_no_whole_engine(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(9), rng.choice(["hot", "hot", "hot", "b", None]), i, rng.choice([None, 5.0, float(rng.randrange(40)), rng.random() * 99])) for i in range(900)]
+    folder = save(spark, tmp_path, "events", rows, "event_id bigint, user_id bigint, event_type string, ts bigint, value double")
+    df = queries.QUERIES["engine_latency"](spark, folder)
+    assert not collected(df)
+    seen, values = set(), {}
+    for _, user, kind, _, value in rows:
+        if (user, kind) in seen and value is not None and value > 5:
+            values.setdefault(kind, []).append(value)
+        seen.add((user, kind))
+    want = {}
+    for kind, v in values.items():
+        v.sort()
+        want[kind] = (*(v[min(len(v) - 1, int(len(v) * p))] for p in (0.5, 0.95)), v[0], len(v))
+    assert {r.engine: (r.p50, r.p95, r["least"], r.runs) for r in df.collect()} == want
+
+
+def test_sitemap_takes_fifty_before_it_is_built(spark, tmp_path):
+    urls = [f"http://hot.net/{i % 70}?a=1&b=2" for i in range(300)] + ["http://www.b.net/x", "http://b.net/y", None]
+    folder = save(spark, tmp_path, "pages", [(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    df = queries.QUERIES["sitemap"](spark, folder)
+    assert {r.host: r.urls for r in df.collect()} == {"hot.net": 50, "b.net": 2}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.index("collect_list") < plan.index("WindowGroupLimit")
