@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import integrity as I
@@ -132,6 +133,20 @@ def history_chain(spark, sf_dir):
     visits = table(spark, sf_dir, "events").filter("user_id < 200").groupBy("user_id").agg(
         F.array_sort(F.collect_list(F.struct("ts", "event_id", F.col("event_type").alias("hash")))).alias("visits")
     )
+    return chains(visits)
+
+
+@query("history_chain_all")
+def history_chain_all(spark, sf_dir):
+    """The chains of all keys; only visits that changed something are gathered, as the others leave a chain as it is."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("hash"))
+    same = F.coalesce(F.lag("hash").over(w) == F.col("hash"), F.lit(False))
+    changed = events.withColumn("same", same).filter(~F.col("same"))
+    return chains(changed.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "hash"))).alias("visits")))
+
+
+def chains(visits):
     df = visits.select("user_id", R.history_chain(F.col("visits")).alias("chain"))
     cut = F.filter("chain", lambda e: e["seq"] != 1)
     return df.select("user_id", F.size("chain").alias("entries"), R.chain_intact(F.col("chain")).alias("intact"), R.chain_intact(cut).alias("forged"))

@@ -9,13 +9,27 @@ from ..functions import text as T
 from ..registry import query, table
 from ..sources import web as S
 
+#: Items that are read of a feed.
+FEED = 200
+
 
 def feeds(spark, sf_dir):
     """One feed a source: its documents as RSS items, or Atom entries for odd sources."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null and doc_id < 400")
+    return feeds_of(docs, F.substring("text", 1, 40))
+
+
+def whole_feeds(spark, sf_dir):
+    """One feed a source out of whole texts: the first of all its documents, as many as are read of a feed."""
+    first = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    docs = table(spark, sf_dir, "documents").filter("text is not null").withColumn("k", first).filter(F.col("k") <= FEED)
+    return feeds_of(docs.withColumn("source", F.coalesce("source", F.lit(""))), F.col("text"))
+
+
+def feeds_of(docs, text):
     i = F.col("doc_id").cast("string")
-    summary = F.concat(F.lit("<![CDATA[<p>a &lt; b "), F.substring("text", 1, 40), F.lit("</p>]]>"))
+    summary = F.concat(F.lit("<![CDATA[<p>a &lt; b "), text, F.lit("</p>]]>"))
     rss = F.concat(F.lit("<item><title>T &amp; "), i, F.lit("</title><link>http://h/"), i, F.lit("</link><pubDate>2024</pubDate><description>"), summary, F.lit("</description></item>"))
-    docs = table(spark, sf_dir, "documents").filter("text is not null and doc_id < 400")
     return docs.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", rss.alias("x")))), lambda s: s["x"]), "").alias("items")).select(
         "source", F.concat(F.lit("<?xml version='1.0'?><rss><channel><title>Feed "), "source", F.lit("</title>"), "items", F.lit("</channel></rss>")).alias("xml")
     )
@@ -26,7 +40,16 @@ SELECT source, 'T & ' || doc_id AS title, 'http://h/' || doc_id AS link, '2024'
 FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL AND doc_id < 400) WHERE k <= 200
 """)
 def feed_items(spark, sf_dir):
-    df = feeds(spark, sf_dir).filter(S.is_feed(F.lit("text/html"), F.col("xml")))
+    return items_of(feeds(spark, sf_dir))
+
+
+@query("feed_items_all")
+def feed_items_all(spark, sf_dir):
+    return items_of(whole_feeds(spark, sf_dir))
+
+
+def items_of(df):
+    df = df.filter(S.is_feed(F.lit("text/html"), F.col("xml")))
     return df.select("source", F.explode(S.rss_items(F.col("xml"))).alias("i")).select("source", "i.*")
 
 
@@ -48,8 +71,17 @@ def json_feed(spark, sf_dir):
 SELECT source, 1 + 1 + 2 * CAST(count(*) AS INTEGER) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL AND doc_id < 400) WHERE k <= 200 GROUP BY source
 """)
 def feed_markdown(spark, sf_dir):
+    return lines_of(feeds(spark, sf_dir))
+
+
+@query("feed_markdown_all")
+def feed_markdown_all(spark, sf_dir):
+    return lines_of(whole_feeds(spark, sf_dir))
+
+
+def lines_of(df):
     markdown = S.feed_markdown(F.col("source"), S.rss_items(F.col("xml")))
-    return feeds(spark, sf_dir).select("source", F.size(F.split(markdown, "\n")).cast("int").alias("lines"))
+    return df.select("source", F.size(F.split(markdown, "\n")).cast("int").alias("lines"))
 
 
 @query("body_cap", "SELECT page_id, strlen(html) > 3000 AS over, CASE WHEN strlen(html) <= 3000 THEN sha256(html) ELSE sha256(regexp_extract(substr(html, 1, 3000), '(?s)^(.*>)', 1)) END AS kept FROM pages WHERE html IS NOT NULL")

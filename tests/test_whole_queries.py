@@ -61,3 +61,28 @@ def test_sitemap_takes_fifty_before_it_is_built(spark, tmp_path):
     assert {r.host: r.urls for r in df.collect()} == {"hot.net": 50, "b.net": 2}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in plan and plan.index("collect_list") < plan.index("WindowGroupLimit")
+
+
+def test_feeds_of_all_documents(spark, tmp_path):
+    rows = [(i * 7, ["hot", "hot", "b", None][i % 4], f"text {i} " * (900 if i % 50 == 0 else 30)) for i in range(500)]
+    folder = save(spark, tmp_path, "documents", rows, "doc_id bigint, source string, text string")
+    want = []
+    for source in ("hot", "b", None):
+        of = [(d, t) for d, s, t in rows if s == source][:200]
+        want += [(source or "", f"T & {d}", f"http://h/{d}", "2024", " ".join(f"a < b {t}".split())[:4000].strip()) for d, t in of]
+    got = [(r.source, r.title, r.link, r.published, r.summary.strip()) for r in queries.QUERIES["feed_items_all"](spark, folder).collect()]
+    assert sorted(got) == sorted(want) and max(len(r[4]) for r in want) >= 3999
+    lines = {r.source: r.lines for r in queries.QUERIES["feed_markdown_all"](spark, folder).collect()}
+    assert lines == {"hot": 402, "b": 2 + 2 * 125, "": 2 + 2 * 125}
+
+
+def test_chains_of_all_keys(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([3, 3, 150, 700, 9000]), rng.choice(["a", "b", None]), rng.randrange(300)) for i in range(600)]
+    folder = save(spark, tmp_path, "events", rows, "event_id bigint, user_id bigint, event_type string, ts bigint")
+    want = {}
+    for user in {r[1] for r in rows}:
+        kinds = [k for _, _, k in sorted((ts, i, k) for i, u, k, ts in rows if u == user)]
+        n = sum(1 for j, k in enumerate(kinds) if j == 0 or k is None or k != kinds[j - 1])
+        want[user] = (n, True, n < 3)
+    assert {r.user_id: (r.entries, r.intact, r.forged) for r in queries.QUERIES["history_chain_all"](spark, folder).collect()} == want
