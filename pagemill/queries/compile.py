@@ -92,6 +92,16 @@ SELECT doc_id, CASE WHEN len(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) = 0
 """.replace("\\\\", "\\"))
 def budget_strategy(spark, sf_dir):
     """Whether a document fits 200 tokens or is cut, and that what is left fits."""
+    narrow = F.length(F.regexp_replace("text", r"[\x00-\x7F]", "")) == 0
+    return strategies(spark, sf_dir).filter((narrow & (F.length("text") <= 800)) | (F.length("text") > 800)).drop("text")
+
+
+@query("budget_strategy_all")
+def budget_strategy_all(spark, sf_dir):
+    return strategies(spark, sf_dir).drop("text")
+
+
+def strategies(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("text is not null")
     kind = pa.struct([("text", pa.string()), ("strategy", pa.string())])
 
@@ -101,8 +111,7 @@ def budget_strategy(spark, sf_dir):
         return {"text": text, "strategy": strategy}
 
     df = C.per_text(docs.select("doc_id", "text"), "text", "b", cut, kind, "struct<text: string, strategy: string>")
-    narrow = F.length(F.regexp_replace("text", r"[\x00-\x7F]", "")) == 0
-    return df.filter((narrow & (F.length("text") <= 800)) | (F.length("text") > 800)).select("doc_id", F.when(F.col("b.strategy").isNull(), "none").otherwise("cut").alias("strategy"))
+    return df.select("doc_id", "text", F.when(F.col("b.strategy").isNull(), "none").otherwise("cut").alias("strategy"))
 
 
 SPEC = {

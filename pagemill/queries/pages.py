@@ -81,6 +81,13 @@ def page_links(spark, sf_dir):
     return plain.groupBy("page_id").agg(F.count("*").alias("links"))
 
 
+@query("page_links_all")
+def page_links_all(spark, sf_dir):
+    """How many different addresses each page links to, whatever their letters."""
+    df = P.read_pages(raw_pages(spark, sf_dir), "links").select("page_id", F.explode("links").alias("l"))
+    return df.groupBy("page_id").agg(F.count("*").alias("links"))
+
+
 @query("page_markdown")
 def page_markdown(spark, sf_dir):
     return P.read_pages(rich_pages(spark, sf_dir), "markdown").select("page_id", "markdown", F.length("markdown").alias("chars"))

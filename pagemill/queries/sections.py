@@ -56,6 +56,12 @@ def chunk_headings(spark, sf_dir):
     return df.filter(longest < 1500).select("doc_id", F.size("chunks").alias("chunks"))
 
 
+@query("chunk_headings_all")
+def chunk_headings_all(spark, sf_dir):
+    """Chunks every document falls into, those with sections longer than a chunk included."""
+    return S.with_chunks(headed(spark, sf_dir), "md").select("doc_id", F.size("chunks").alias("chunks"))
+
+
 @query("content_selectors", SECTIONS_SQL + """
 SELECT doc_id, CAST(min(s) FILTER (WHERE contains(lower(heading), 'th')) AS INTEGER) AS first, CAST(min(s) FILTER (WHERE starts_with(lower(heading), 'an')) AS INTEGER) AS second FROM d GROUP BY doc_id HAVING count(*) FILTER (WHERE contains(lower(heading), 'th') OR starts_with(lower(heading), 'an')) > 0
 """)

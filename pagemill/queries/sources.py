@@ -98,6 +98,17 @@ def plain_text(spark, sf_dir):
     i = F.col("doc_id")
     x = F.when(i % 6 == 0, F.concat(F.lit("# "), "text")).when(i % 6 == 1, F.concat(F.repeat(F.lit("\x07"), F.lit(400)), "text")).otherwise(F.col("text"))
     docs = table(spark, sf_dir, "documents").filter("length(text) < 4000").withColumn("x", x)
+    return fenced(docs)
+
+
+@query("plain_text_all")
+def plain_text_all(spark, sf_dir):
+    i = F.col("doc_id")
+    x = F.when(i % 6 == 0, F.concat(F.lit("# "), "text")).when(i % 6 == 1, F.concat(F.repeat(F.lit("\x07"), F.lit(400)), "text")).otherwise(F.col("text"))
+    return fenced(table(spark, sf_dir, "documents").filter("text is not null").withColumn("x", x))
+
+
+def fenced(docs):
     return docs.select("doc_id", S.passes_as_text(F.lit("text/plain"), F.col("x")).alias("passes"), F.sha2(S.fenced_text(F.col("x")), 256).alias("body"))
 
 

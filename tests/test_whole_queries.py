@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 from pagemill import queries
 from pagemill.operators import receipts
@@ -86,3 +87,38 @@ def test_chains_of_all_keys(spark, tmp_path):
         n = sum(1 for j, k in enumerate(kinds) if j == 0 or k is None or k != kinds[j - 1])
         want[user] = (n, True, n < 3)
     assert {r.user_id: (r.entries, r.intact, r.forged) for r in queries.QUERIES["history_chain_all"](spark, folder).collect()} == want
+
+
+def test_no_document_is_left_out_by_its_shape(spark, tmp_path):
+    texts = ["word " * 10, "\n".join(["long line " * 50] * 12), "x" * 5000, "# head\n" + "y" * 9000, "é" * 100, "é" * 700, "", None]
+    rows = [(i, texts[i % 8] and texts[i % 8] + f" {i}") for i in range(48)]
+    folder = save(spark, tmp_path, "documents", rows, "doc_id bigint, text string")
+    whole = {i: t for i, t in rows if t is not None}
+    assert {r.doc_id: r.strategy for r in queries.QUERIES["budget_strategy_all"](spark, folder).collect()} == {
+        i: "cut" if sum(1 if c.isascii() else 2 for c in t) > 800 else "none" for i, t in whole.items()
+    }
+    got = {r.doc_id: (r.passes, r.body) for r in queries.QUERIES["plain_text_all"](spark, folder).collect()}
+    want = {}
+    for i, t in whole.items():
+        x = "# " + t if i % 6 == 0 else "\x07" * 400 + t if i % 6 == 1 else t
+        body = x if re.search(r"(?m)^(#{1,6} |[-*] |```|\d+\. |\|)", x) else f"```\n{x}\n```"
+        want[i] = (i % 6 != 1, hashlib.sha256(body.encode()).hexdigest())
+    assert got == want
+    chunks = {r.doc_id: r.chunks for r in queries.QUERIES["chunk_headings_all"](spark, folder).collect()}
+    md = {r.doc_id: r.md for r in queries.QUERIES["chunk_headings_all"].__globals__["headed"](spark, folder).collect()}
+    for i, t in md.items():
+        n, held = 0, 0
+        for line in t.split("\n"):
+            if re.match(r"#{1,6}\s+.", line) and held:
+                n, held = n + 1, 0
+            held += len(line) + 1
+            if held >= 2000:
+                n, held = n + 1, 0
+        assert chunks[i] == n + (held > 0)
+    assert chunks.keys() == whole.keys()
+
+
+def test_links_with_any_letters_count(spark, tmp_path):
+    html = '<html><body><a href="/abc">one</a><a href="/a1-b">two</a><a href="/é/x_y">three</a><a href="/abc">one</a></body></html>'
+    folder = save(spark, tmp_path, "pages", [(1, "http://h.net/", html)], "page_id bigint, url string, html string")
+    assert [tuple(r) for r in queries.QUERIES["page_links_all"](spark, folder).collect()] == [(1, 3)]
