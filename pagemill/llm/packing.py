@@ -54,9 +54,8 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
         found, most = None, over
         a = longest(gap - 1) if gap > 1 else 0
         while a and 2 * a > most:
-            left[a] -= 1
-            b = longest(min(a, gap - a))
-            left[a] += 1
+            # the second may be as long as the first only if two such pieces are left
+            b = longest(min(gap - a, a if left[a] > 1 else a - 1))
             if b and a + b > most:
                 found, most = (a, b), a + b
                 if most == gap:
@@ -130,10 +129,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, pieces_a_task: int = PI
             return
         whole = pa.Table.from_batches(held).combine_chunks()
         lengths = whole.column("length").to_numpy()
-        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        sequence, offset = np.full(len(lengths), -1, np.int64), np.zeros(len(lengths), np.int64)
         for number, content in enumerate(best_two_fit(lengths, capacity)):
             sequence[content] = (TaskContext.get().partitionId() << 32) + number
             offset[content] = np.cumsum(lengths[content]) - lengths[content]
+        if (sequence < 0).any():
+            raise RuntimeError(f"{(sequence < 0).sum()} pieces have no sequence")
         out = whole.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
         yield from out.to_batches()
 

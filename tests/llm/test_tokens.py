@@ -74,6 +74,28 @@ def test_best_two_fit_by_hand():
     assert sorted(sorted(lengths[b].tolist()) for b in bins) == [[1, 2, 7], [2]]
 
 
+def test_best_two_fit_places_every_piece_once():
+    assert best_two_fit(np.array([8, 7]), 14) == [[0], [1]]
+    rng = np.random.default_rng(11)
+    for _ in range(3000):
+        capacity = int(rng.integers(1, 60))
+        lengths = rng.integers(1, capacity + 1, rng.integers(0, 40))
+        bins = best_two_fit(lengths, capacity)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        assert all(lengths[b].sum() <= capacity for b in bins)
+        assert len(bins) <= 2 * lengths.sum() / capacity + 1  # no two bins would fit into one
+    lengths = np.clip(rng.lognormal(6.5, 1.2, 16384).astype(int), 1, 4096)
+    assert sorted(i for b in best_two_fit(lengths, 4096) for i in b) == list(range(16384))
+
+
+def test_packing_ignores_clashing_columns(spark):
+    rows = [(None, 0, 0, 4, 1, "x", 9), (3, 0, 0, 6, 2, "y", 9), (3, 0, 0, 6, 2, "y", 9), (4, 0, 0, 10, 3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, Sequence_ID string, offset int")
+    out = pack_pieces(df, 10).collect()
+    assert sorted((r.length, r.offset) for r in out) == [(4, 6), (6, 0), (6, 0), (10, 0)]
+    assert len({r.sequence_id for r in out}) == 3 and set(out[0].asDict()) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+
+
 def test_best_two_fit_is_tight():
     rng = np.random.default_rng(3)
     lengths = np.clip(rng.lognormal(6, 1, 4000).astype(int), 1, 4096)
