@@ -1,17 +1,22 @@
 """Personal data: exact shapes as a base, and bootstrapped contextual extraction on top.
 
-The base spans of a kind are the seeds. Every mention, a seed or a candidate (a looser shape that the base does not
-take), stands in lexical patterns: the word before it, the two words before it, the word after it. Patterns and
-instances form a bipartite graph with an edge for each pattern an instance occurs in, each counted once however often
-they occur together. A few rounds score it: a pattern is as good as the share of its instances that are held to be
-of the kind, if enough of them are; an instance is as good as its patterns together (noisy or). The mentions of
-instances over the threshold are added to the base spans.
+1. Seeds: the base spans of each kind, and strings in the shape of a key for the kind ``secret``, which has no base.
+2. Induction: the context of a seed is lexical, the two or three words or marks before it and the one after it. Contexts of
+   enough different seeds of a kind are its patterns.
+3. Extraction: each pattern is looked for in all texts. What stands between its two sides is an instance, a seed or
+   not, of whatever shape.
+4. Scoring: patterns and instances form a bipartite graph with one edge for each instance that a pattern extracts,
+   however often. In each round a pattern is trusted by the share of its instances that are held to be of the kind, if
+   enough of them are, so that a context which also surrounds common words is worth nothing; an instance scores by its
+   patterns together (noisy or), and one over the threshold is held in the next round.
+5. Instances held after the last round are added to the base spans wherever a pattern has extracted them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +25,20 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read_table, row_uid
 
+#: The kinds of the base; ``SECRET`` comes after them and is only ever added.
 KINDS = ("email", "ip", "card", "phone")
+SECRET = len(KINDS)
+ALL_KINDS = (*KINDS, "secret")
+#: Different seeds of a kind that make a context a pattern, and held instances that a trusted pattern needs.
+MIN_INSTANCES = 5
+#: Least share of a trusted pattern's instances that are held, and least score of an instance that is held.
+MIN_SHARE, MIN_SCORE = 0.6, 0.8
+#: Rounds of scoring.
+ROUNDS = 3
+#: Most words and marks of an instance, which lies within a line.
+SLOT = 32
+#: Patterns that are broadcast at once; more go over the texts in several blocks.
+BLOCK_PATTERNS = 200_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -30,20 +48,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-#: Looser shapes, by kind: an address with a spelt-out at sign or without a dotted domain; a grouped number; a number
-#: that is no card by its check digit.
-CANDIDATES = (
-    (0, re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}(?:@| ?[\[(] ?at ?[\])] ?)[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]{1,63}){0,8}")),
-    (1, re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?[\[(] ?(?:\.|dot) ?[\])] ?[0-9]{1,3}){3}(?![0-9])")),
-    (2, re.compile(r"(?<![0-9])[0-9](?:[ .-]?[0-9]){12,18}(?![0-9])")),
-    (3, re.compile(r"(?<![\w+.])\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![\w.-]?[0-9])")),
-)
-
-_WORD = re.compile(r"\w+")
-_DIGIT_OR_AT = re.compile(r"[0-9@\[(]")
-_SPELT_AT = re.compile(r"[\[(] ?at ?[\])]")
-#: Characters on each side of a mention in which its neighbouring words are looked for.
-REACH = 80
+#: The shape of a key: 32 hexadecimal digits or more.
+_KEY = re.compile(r"(?<![\w])[0-9a-fA-F]{32,}(?![\w])")
+_TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def luhn(digits: str) -> bool:
@@ -84,130 +91,238 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def candidate_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of looser shapes that overlap no base span and no earlier candidate."""
-    if not _DIGIT_OR_AT.search(text):
-        return []
-    covered = bytearray(len(text))
-    for _, s, e in taken:
-        covered[s:e] = b"\x01" * (e - s)
-    out = []
-    for kind, shape in CANDIDATES:
-        if kind == 0 and "@" not in text and not _SPELT_AT.search(text):
-            continue
-        found = [(kind, *m.span()) for m in shape.finditer(text) if covered.find(1, *m.span()) < 0]
-        for _, s, e in found:
-            covered[s:e] = b"\x01" * (e - s)
-        out += found
+def seed_spans(text: str) -> list[tuple[int, int, int]]:
+    """The base spans, then those in the shape of a key with letters and digits."""
+    out = base_spans(text)
+    for m in _KEY.finditer(text):
+        if not m[0].isdigit() and not m[0].isalpha() and not any(s < m.end() and m.start() < e for _, s, e in out):
+            out.append((SECRET, *m.span()))
     return out
 
 
-def _patterns(text: str, start: int, end: int) -> list[str]:
-    before = _WORD.findall(text[max(0, start - REACH) : start].lower())
-    after = _WORD.search(text[end : end + REACH].lower())
-    out = []
-    if before:
-        out.append("< " + before[-1])
-        if len(before) > 1:
-            out.append("<< " + " ".join(before[-2:]))
-    if after:
-        out.append("> " + after[0])
-    return out
+def context(text: str, start: int, end: int) -> tuple[list[str], str | None]:
+    """The left sides of a span's patterns, of two and three words or marks, and the right side."""
+    before: list[str] = []
+    reach = 64
+    while start:  # the first of four may be cut, the last three are whole
+        before = _TOKEN.findall(text[max(0, start - reach) : start].lower())
+        if len(before) > 3 or reach >= start:
+            break
+        reach *= 4
+    reach, after = 64, None
+    while m := _TOKEN.search(text, end, end + reach):
+        if m.end() < end + reach or m.end() == len(text):
+            after = m[0].lower()
+            break
+        reach *= 4
+    return [" ".join(before[-n:]) for n in (2, 3) if len(before) >= n], after
 
 
 def _instance(kind: int, surface: str) -> int:
     """A digest that tells identifiers apart without keeping them."""
-    plain = surface.lower() if kind == 0 else re.sub(r"[^0-9.]" if kind == 1 else "[^0-9]", "", surface)
+    plain = surface.lower() if kind in (0, SECRET) else re.sub(r"[^0-9.]" if kind == 1 else "[^0-9]", "", surface) or surface.lower()
     return int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-_MENTION = pa.struct([
-    ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()),
-    ("patterns", pa.list_(pa.string())),
-])
-
-
-def scan_mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mentions) of every row; mentions are seeds and candidates with their patterns."""
+class Patterns:
+    """An index of patterns (number, kind, left, right) that finds their instances in a text."""
+
+    def __init__(self, patterns: list[tuple[int, int, str, str]]):
+        self.by_left: dict[tuple[str, ...], dict[str, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for number, kind, left, right in patterns:
+            self.by_left[tuple(left.split(" "))][right].append((number, kind))
+        self.by_left = dict(self.by_left)
+        self.last = {left[-1] for left in self.by_left}
+
+    def find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        """(pattern, kind, start, end) of each instance: from the left side to the first right side after it."""
+        low = text.lower()
+        if len(low) != len(text):  # a few letters grow when they are lower-cased
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        if not any(last in low for last in self.last):
+            return
+        tokens = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(low)]
+        for i, (token, _, _) in enumerate(tokens):
+            if token not in self.last:
+                continue
+            for n in (2, 3):
+                rights = self.by_left.get(tuple(t for t, _, _ in tokens[i + 1 - n : i + 1])) if i + 1 >= n else None
+                if not rights:
+                    continue
+                seen: set[str] = set()
+                for k in range(i + 1, min(i + 2 + SLOT, len(tokens))):
+                    if "\n" in text[tokens[k - 1][2] : tokens[k][1]]:
+                        break
+                    right = tokens[k][0]
+                    if k > i + 1 and right in rights and right not in seen:
+                        seen.add(right)
+                        for number, kind in rights[right]:
+                            yield number, kind, tokens[i + 1][1], tokens[k - 1][2]
+
+
+_SPAN = "struct<kind: int, start: bigint, end: bigint>"
+_FOUND = "struct<pattern: bigint, kind: int, start: bigint, end: bigint, instance: bigint>"
+
+
+def scan_seeds(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __text, base, contexts) of every row; contexts has kind, instance, left and right of every seed."""
+    span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+    seed = pa.struct([("kind", pa.int32()), ("instance", pa.int64()), ("left", pa.string()), ("right", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            base, contexts = [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                base = base_spans(text)
-                own = [(k, s, e, True) for k, s, e in base]
-                own += [(k, s, e, False) for k, s, e in candidate_spans(text, base)]
-                found.append([
-                    {"kind": k, "start": s, "end": e, "seed": seed, "instance": _instance(k, text[s:e]),
-                     "patterns": _patterns(text, s, e)}
-                    for k, s, e, seed in own
-                ])
-            mentions = pa.array(found, pa.list_(_MENTION))
-            yield pa.RecordBatch.from_arrays([batch.column(0), mentions], names=[id_col, "mentions"])
-
-    lean = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+                found = seed_spans(text)
+                base.append([{"kind": k, "start": s, "end": e} for k, s, e in found if k != SECRET])
+                own = []
+                for k, s, e in found:
+                    lefts, right = context(text, s, e)
+                    own += [{"kind": k, "instance": _instance(k, text[s:e]), "left": x, "right": right} for x in lefts if right]
+                contexts.append(own)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(base, pa.list_(span)), pa.array(contexts, pa.list_(seed))],
+                names=["__id", "__text", "base", "contexts"],
+            )
+
+    lean = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
     kind = lean.schema[0].dataType.simpleString()
-    mention = "struct<kind: int, start: bigint, end: bigint, seed: boolean, instance: bigint, patterns: array<string>>"
-    return lean.mapInArrow(scan, f"`{id_col}` {kind}, mentions array<{mention}>")
+    context_type = "struct<kind: int, instance: bigint, `left`: string, `right`: string>"
+    return lean.mapInArrow(scan, f"__id {kind}, __text string, base array<{_SPAN}>, contexts array<{context_type}>")
+
+
+def induce(seeds: DataFrame, min_instances: int) -> DataFrame:
+    """Materialised (pattern, kind, left, right): the contexts of ``min_instances`` different seeds of a kind.
+
+    ``seeds``: distinct kind, instance, left, right.
+    """
+    often = seeds.groupBy("kind", "left", "right").agg(F.count("*").alias("n")).filter(F.col("n") >= min_instances)
+    return materialize(often.select(row_uid().alias("pattern"), "kind", "left", "right"), "pii-patterns")
+
+
+def _blocks(patterns: DataFrame, size: int) -> Iterator[list[tuple[int, int, str, str]]]:
+    """Patterns in blocks of bounded size, one partition at a time on the driver."""
+    held: list[tuple[int, int, str, str]] = []
+    for row in patterns.toLocalIterator():
+        held.append((row["pattern"], row["kind"], row["left"], row["right"]))
+        if len(held) >= size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def extract(rows: DataFrame, patterns: DataFrame, block_patterns: int = BLOCK_PATTERNS) -> DataFrame | None:
+    """Materialised (__uid, pattern, kind, start, end, instance) of what the patterns extract; None without patterns.
+
+    ``rows``: __uid, __text.
+    """
+    found_type = pa.struct([
+        ("pattern", pa.int64()), ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()),
+    ])
+    out = None
+    for block in _blocks(patterns, block_patterns):
+        shared = rows.sparkSession.sparkContext.broadcast(block)
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Patterns(shared.value)
+            for batch in batches:
+                uids, found = [], []
+                for uid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    text = text.as_py() or ""
+                    own = [
+                        {"pattern": n, "kind": k, "start": s, "end": e, "instance": _instance(k, text[s:e])}
+                        for n, k, s, e in index.find(text)
+                    ]
+                    if own:
+                        uids.append(uid)
+                        found.append(own)
+                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(found, pa.list_(found_type))], names=["__uid", "found"])
+
+        part = rows.select("__uid", "__text").mapInArrow(find, f"__uid bigint, found array<{_FOUND}>")
+        part = part.select("__uid", F.explode("found").alias("f")).select("__uid", "f.*")
+        out = part if out is None else out.unionByName(part)
+    return None if out is None else materialize(out, "pii-found")
 
 
 def score_instances(
-    mentions: DataFrame, rounds: int = 3, min_instances: int = 5, min_share: float = 0.8, min_score: float = 0.9
-) -> DataFrame:
-    """(kind, instance) of the candidates that the graph holds to be of their kind.
+    edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, min_instances: int = MIN_INSTANCES,
+    min_share: float = MIN_SHARE, min_score: float = MIN_SCORE,
+) -> DataFrame:
+    """Materialised (kind, instance) that the graph holds to be of their kind, seeds among them.
 
-    ``mentions``: kind, instance, seed, pattern. ``min_instances``: different held instances a pattern needs;
-    ``min_share``: the least share of a pattern's instances that are held; ``min_score``: of an accepted instance.
+    ``edges``: distinct pattern, kind, instance; ``seeds``: distinct kind, instance. ``min_instances``: held instances a trusted
+    pattern needs; ``min_share``: the least share of its instances that are held; ``min_score``: of a held instance.
     """
     edges = materialize(
-        mentions.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges"
-    )
-    held = edges.filter("false").select("kind", "instance", F.lit(1.0).alias("score"))
+        edges.join(seeds.withColumn("seed", F.lit(True)), ["kind", "instance"], "left")
+        .select("pattern", "kind", "instance", F.coalesce("seed", F.lit(False)).alias("seed")),
+        "pii-edges",
+    )
+    held = edges.filter("false").select("kind", "instance")
     for _ in range(rounds):
-        known = edges.join(held, ["kind", "instance"], "left").withColumn(
-            "weight", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
-        )
-        patterns = (
-            known.groupBy("kind", "pattern").agg(F.sum("weight").alias("good"), F.count("*").alias("n"))
+        known = edges.join(held.withColumn("held", F.lit(True)), ["kind", "instance"], "left")
+        good = F.count_if(F.col("seed") | F.coalesce("held", F.lit(False)))
+        trusted = materialize(
+            known.groupBy("pattern").agg(good.alias("good"), F.count("*").alias("n"))
             .filter((F.col("good") >= min_instances) & (F.col("good") >= min_share * F.col("n")))
-            .select("kind", "pattern", F.least(F.col("good") / (F.col("n") + 1), F.lit(0.999)).alias("trust"))
+            .select("pattern", (F.col("good") / (F.col("n") + 1)).alias("trust")),
+            "pii-trusted",
         )
         held = materialize(
-            edges.filter(~F.col("seed")).join(patterns, ["kind", "pattern"])
-            .groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))
-            .filter(F.col("score") >= min_score),
+            edges.join(trusted, "pattern").groupBy("kind", "instance")
+            .agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score")).filter(F.col("score") >= min_score)
+            .select("kind", "instance"),
             "pii-held",
         )
-    return held.select("kind", "instance")
+    return held
 
 
-def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+def find_personal_data(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_patterns: int = BLOCK_PATTERNS, **limits
+) -> DataFrame:
     """(id, base, added) of every row: arrays of (kind, start, end) in code points, ends exclusive.
 
+    ``added`` spans overlap no base span and not each other; of overlapping ones the first, then the longest stays.
     A null or empty text has no spans. Repeated rows are scanned each by itself. Without seeds nothing is added. An
-    empty frame gives an empty one. Other columns are not read. A text of any length is read whole.
+    empty frame gives an empty one. Other columns are not read. A text of any length is read whole. Keywords:
+    ``rounds``, ``min_instances``, ``min_share``, ``min_score`` of :func:`score_instances`.
     """
-    rows = materialize(scan_mentions(df, id_col, text_col).withColumn("__uid", row_uid()), "pii")
-    mentions = rows.select("__uid", F.explode("mentions").alias("m")).select("__uid", "m.*")
-    accepted = score_instances(mentions.select("kind", "instance", "seed", F.explode("patterns").alias("pattern")), **limits)
-    added = (
-        mentions.filter(~F.col("seed")).join(accepted, ["kind", "instance"])
-        .groupBy("__uid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("__added"))
-    )
-    span = "array<struct<kind: int, start: bigint, end: bigint>>"
-    base = F.transform(
-        F.filter("mentions", lambda m: m["seed"]),
-        lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")),
+    rows = materialize(scan_seeds(df, id_col, text_col).withColumn("__uid", row_uid()), "pii")
+    seeds = materialize(rows.select(F.explode("contexts").alias("c")).select("c.*").distinct(), "pii-seeds")
+    patterns = induce(seeds, limits.get("min_instances", MIN_INSTANCES))
+    found = extract(rows, patterns, block_patterns)
+    bases = rows.select(F.col("__id").alias(id_col), F.array_sort("base").alias("base"), "__uid")
+    none = F.array().cast(f"array<{_SPAN}>")
+    if found is None:
+        return bases.select(F.col(f"`{id_col}`"), "base", none.alias("added"))
+    held = score_instances(
+        found.select("pattern", "kind", "instance").distinct(), seeds.select("kind", "instance").distinct(), **limits
+    )
+    span = F.struct("kind", "start", "end")
+    added = found.join(held, ["kind", "instance"]).groupBy("__uid").agg(F.collect_set(span).alias("__found"))
+    return bases.join(added, "__uid", "left").select(
+        F.col(f"`{id_col}`"), "base", F.array_sort(apart("base", F.coalesce("__found", none))).alias("added")
     )
-    return rows.join(added, "__uid", "left").select(
-        F.col(f"`{id_col}`"), F.array_sort(base).alias("base"),
-        F.array_sort(F.coalesce("__added", F.array().cast(span))).alias("added"),
+
+
+def apart(base, found):
+    """The spans of ``found`` that overlap none of ``base`` nor an earlier one; the longer of two that start together."""
+    span = f"array<{_SPAN}>"
+    by_start = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    free = F.filter(by_start, lambda s: ~F.exists(base, lambda b: (b["start"] < -s["back"]) & (s["start"] < b["end"])))
+    taken = F.aggregate(
+        free, F.array().cast(span),
+        lambda kept, s: F.when(
+            (F.size(kept) > 0) & (F.element_at(kept, -1)["end"] > s["start"]), kept
+        ).otherwise(F.concat(kept, F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (-s["back"]).alias("end")))))
     )
+    return taken
 
 
 def _joined(spans):
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(
         F.transform(
             spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
@@ -217,13 +332,16 @@ def _joined(spans):
 
 
 def op4_bootstrapped_pii(spark, sf_dir):
+    """Every document with its spans; ``n_all`` counts the base ones and those that the patterns added."""
     found = find_personal_data(read_table(spark, sf_dir, "documents"))
-    kinds = F.transform("base", lambda s: s["kind"])
-    counts = [
-        (F.size("base") - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{name}")
-        for k, name in enumerate(KINDS)
-    ]
+
+    def count(spans, kind):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
     return found.select(
-        "doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        "doc_id", *[count("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
+        F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        F.size("added").cast("bigint").alias("n_added"), count("added", SECRET).alias("n_secret"),
+        (F.size("base") + F.size("added")).cast("bigint").alias("n_all"),
     )

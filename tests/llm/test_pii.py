@@ -37,7 +37,7 @@ def test_base_spans_equal_plain_patterns():
 def test_patterns_find_unseen_identifiers(spark):
     seeds = [f"please mail user{i}@site{i}.example.com today, thanks {i}" for i in range(12)]
     texts = [*seeds, "please mail bob (at) hidden (dot) example (dot) com today", "saw eve (at) other (dot) com nearby", "", None]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, mentions string")
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, base string")
     got = {r.doc_id: r for r in pii.find_personal_data(df.repartition(3)).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
@@ -45,6 +45,93 @@ def test_patterns_find_unseen_identifiers(spark):
     assert [texts[12][s.start : s.end] for s in got[12].added] == ["bob (at) hidden (dot) example (dot) com"]
     assert not got[13].added and not got[14].added and not got[15].added
     assert pii.find_personal_data(df.limit(0)).count() == 0
+    one_each = pii.find_personal_data(df, block_patterns=1, min_instances=13).collect()
+    assert not any(r.added for r in one_each)
+
+
+def brute_added(texts):
+    """The method over a list of texts in plain Python: text number -> added spans."""
+    seeds, contexts = set(), {}
+    for t in texts:
+        for k, s, e in pii.seed_spans(t):
+            seeds.add((k, pii._instance(k, t[s:e])))
+            lefts, right = pii.context(t, s, e)
+            for left in lefts:
+                if right:
+                    contexts.setdefault((k, left, right), set()).add(pii._instance(k, t[s:e]))
+    edges, places = {}, []
+    for (k, left, right), who in contexts.items():
+        if len(who) < pii.MIN_INSTANCES:
+            continue
+        for n, t in enumerate(texts):
+            tokens = list(re.finditer(r"\w+|[^\w\s]", t.lower()))
+            words, size = [m[0] for m in tokens], len(left.split())
+            for i in range(size, len(words)):
+                if words[i - size : i] != left.split() or right not in words[i + 1 :]:
+                    continue
+                end = words.index(right, i + 1)
+                s, e = tokens[i].start(), tokens[end - 1].end()
+                if end - i <= pii.SLOT and "\n" not in t[tokens[i - 1].end() : tokens[end].start()]:
+                    edges.setdefault((k, left, right), set()).add((k, pii._instance(k, t[s:e])))
+                    places.append((n, k, s, e))
+    held = set()
+    for _ in range(pii.ROUNDS):
+        miss = {}
+        for who in edges.values():
+            good = len([x for x in who if x in seeds or x in held])
+            if good >= pii.MIN_INSTANCES and good >= pii.MIN_SHARE * len(who):
+                for x in who:
+                    miss[x] = miss.get(x, 1) * (1 - good / (len(who) + 1))
+        held = {x for x, m in miss.items() if 1 - m >= pii.MIN_SCORE}
+    out = {}
+    for n, k, s, e in sorted(set(places), key=lambda p: (p[0], p[2], -p[3], p[1])):
+        taken = out.setdefault(n, [])
+        free = not any(b[1] < e and s < b[2] for b in pii.base_spans(texts[n])) and (not taken or taken[-1][2] <= s)
+        if free and (k, pii._instance(k, texts[n][s:e])) in held:
+            taken.append((k, s, e))
+    return {n: sorted(x) for n, x in out.items() if x}
+
+
+def test_graph_equals_brute_force_and_is_precise(spark):
+    """Labelled texts: contexts of identifiers in odd shapes, contexts of common words, key-like strings, prose."""
+    import random
+
+    rng = random.Random(8)
+    word = ["river", "stone", "lamp", "green", "walk", "paper", "north", "glass"]
+
+    def prose(n):
+        return " ".join(rng.choice(word) for _ in range(n))
+
+    texts, labels = [], {}
+    for i in range(500):
+        kind, truth = rng.choice([0, 0, 0, 1, 2, 2, 3, 4, 4, 4, 5, 6, 7]), None
+        if kind == 0:
+            texts.append(f"{prose(4)} Contact me at: u{i}@h{i}.org for more {prose(3)}")
+        elif kind == 1:
+            truth = rng.choice([f"u{i} [at] h{i} [dot] org", f"u{i} at h{i}"])
+            texts.append(f"{prose(4)} contact me at: {truth} for more {prose(3)}")
+        elif kind == 2:
+            truth = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([12, 38, 38, 38]))) + "a1"
+            texts.append(f'{prose(3)}\nsecret_key = "{truth}"\n{prose(3)}')
+        elif kind == 3:  # as common words as numbers
+            texts.append(f"{prose(2)} the number {rng.choice([f'+1 555 010 {i:04d}', prose(1) + str(i)])} is {prose(2)}")
+        elif kind == 4:
+            texts.append(f"{prose(2)} server 10.0.{i % 250}.7 answered {prose(2)}")
+        elif kind == 5:
+            truth = f"10[.]0[.]{i}[.]9"
+            texts.append(f"{prose(2)} server {truth} answered {prose(2)}")
+        elif kind == 6:
+            texts.append(prose(20) + f" {i} contact me {prose(4)}")
+        else:
+            texts.append("")
+        if truth:
+            labels[i] = truth
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: [tuple(s) for s in r.added] for r in pii.find_personal_data(df, block_patterns=3).collect() if r.added}
+    assert got == brute_added(texts)
+    found = {(i, texts[i][s:e]) for i, spans in got.items() for _, s, e in spans}
+    right = found & set(labels.items())
+    assert len(right) >= 0.95 * len(found) and len(right) >= 0.6 * len(labels), (len(right), len(found), len(labels))
 
 
 def test_query_columns(spark, tmp_path):
@@ -53,6 +140,6 @@ def test_query_columns(spark, tmp_path):
     rows = {r.doc_id: r for r in pii.op4_bootstrapped_pii(spark, f"file://{tmp_path}").collect()}
     want = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in plain(text))
     r = rows[None]
-    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.n_added, r.n_all) == (1, 1, 1, 1, 0, 4)
     assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and r.spans == want
     assert rows[1].spans == "" and rows[1].base_sha256 == hashlib.sha256(b"").hexdigest()
