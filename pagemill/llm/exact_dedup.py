@@ -2,9 +2,11 @@
 
 Documents are split by successive digits, a digit being the next run of bytes of the normalised text. After each split
 a document alone in its group leaves as unique; a group whose texts ended inside the digit is a class of equal texts;
-the other groups are split again by the next, wider digit. A split is an aggregation by (group, digit), which combines
-on the map side however large a group is, and a join of its result back to the rows, which Spark can split where one
-digit is hot. Only the first split sees all documents, and it sees their first bytes only.
+the other groups are split again by the next digit, each twice as wide as the one before, so that the splits of a text
+are logarithmic in its length. A split is an aggregation by (group, digit), which combines on the map side however large a
+group is; its result is written, then joined back to the rows. As the written side is no part of the join's stage, Spark
+splits a hot digit over tasks (AQE) or broadcasts a short result. Only the first split sees all documents, and its
+aggregation sees their first bytes only.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from .common import materialize, read_table, row_uid, whole_row
 
 #: Bytes of the first digit, and how many times wider each further one is.
 FIRST_DIGIT = 128
-WIDER = 8
+WIDER = 2
 
 
 def normalized(text: Column) -> Column:
@@ -36,9 +38,10 @@ def split_rows(df: DataFrame, id_col: str, text_col: str, carry: bool) -> tuple[
         row.alias("__row"), F.col(f"`{id_col}`").alias("__id"),
         F.sha2(body, 256).alias("__sha"), body.alias("__body"), digit.alias("__digit"),
     )
-    shared = (
+    shared = materialize(
         df.select(digit.alias("__digit")).groupBy("__digit").agg(F.count("*").alias("__n")).filter("__n > 1")
-        .select("__digit", F.lit(False).alias("__single"))
+        .select("__digit", F.lit(False).alias("__single")),
+        "digits",
     )
     alone = F.col("__single").isNull()
     rows = materialize(
@@ -53,9 +56,10 @@ def split_rows(df: DataFrame, id_col: str, text_col: str, carry: bool) -> tuple[
     width = FIRST_DIGIT * WIDER
     while True:
         digits = active.withColumn("__digit", F.substring("__body", 1, width))
-        groups = (
+        groups = materialize(
             digits.groupBy("__group", "__digit").agg(F.count("*").alias("__n"), F.min("__uid").alias("__next"))
-            .filter("__n > 1").drop("__n")
+            .filter("__n > 1").drop("__n"),
+            "digits",
         )
         over = F.octet_length("__digit") < width
         rest = F.expr(f"substring(__body, {width + 1})")
@@ -80,9 +84,10 @@ def _decided(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of classes (unique ones are left out), with what stays of each class."""
     first = F.struct(F.col("__id").isNull(), F.col("__id").alias("id"), F.col("__uid").alias("uid"))
     members = rows.filter(~F.col("__alone")).join(classes, "__uid", "left")
-    sizes = (
+    sizes = materialize(
         rows.filter(~F.col("__alone")).select("__uid", "__id").join(classes, "__uid")
-        .groupBy("__class").agg(F.count("*").alias("__size"), F.min(first).alias("__first"))
+        .groupBy("__class").agg(F.count("*").alias("__size"), F.min(first).alias("__first")),
+        "classes",
     )
     return members.join(sizes, "__class", "left").withColumns({
         "__size": F.coalesce("__size", F.lit(1).cast("bigint")),
