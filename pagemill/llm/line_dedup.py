@@ -4,8 +4,8 @@ A unit is a sentence of a line: lines are cut at line ends, and within a line af
 space, since a repeated passage can start amid a line. With ``lines``, whole lines of several sentences are units too, so that
 a line of short sentences counts. A unit is normalised to its lower-case words; units of fewer than ``min_words`` words
 repeat by chance and are passed over. The digests are grouped over all documents; the earliest occurrence (by document
-id, then place) stays. Of the others, those in a passage are removed: a run of neighbouring units that all occur
-earlier, of ``min_passage`` words or more together. ``min_passage=1`` removes every single one; so does the query.
+id, then place) stays, every other one is removed. As an option, ``min_passage`` removes only those in a passage: a run of
+neighbouring units that all occur earlier, of so many words or more together.
 """
 
 from __future__ import annotations
@@ -22,10 +22,6 @@ from .common import materialize, read_table, row_uid, whole_row
 
 #: Fewest words of a unit.
 MIN_WORDS = 4
-#: Fewest words of a removed passage: half of the 50 that make a repeated passage, as its ends are cut with the
-#: sentences they stand in.
-MIN_PASSAGE = 25
-
 _UNIT = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 _WORD = re.compile(r"\w+")
 _LINE = re.compile(r"[^\n]+")
@@ -90,7 +86,7 @@ def unit_table(df: DataFrame, id_col: str, text_col: str, min_words: int, lines:
 
 def repeated_units(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-    min_passage: int = MIN_PASSAGE, lines: bool = False,
+    min_passage: int = 1, lines: bool = True,
 ) -> DataFrame:
     """One row per removed unit: doc_id, start, end, words, keep_doc_id, keep_start, passage_words.
 
@@ -106,10 +102,12 @@ def repeated_units(
 def _repeats(table: DataFrame, min_passage: int) -> DataFrame:
     """:func:`repeated_units` of a unit table, with ``uid``."""
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "uid", "start")
-    # one row for each digest and task goes into the shuffle, however often a unit occurs
-    earliest = (
+    # one row for each digest and task goes into the shuffle, however often a unit occurs; the result is written, so
+    # that it is no part of the join's stage and Spark can split a hot digest over tasks
+    earliest = materialize(
         table.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1")
-        .select("digest", "first")
+        .select("digest", "first"),
+        "earliest",
     )
     later = (F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start"))
     repeats = table.join(earliest, "digest").filter(later)
@@ -155,4 +153,4 @@ def without_repeats(
 def op3_sentence_hash_dedup(spark, sf_dir):
     """Every later occurrence of a repeated sentence or line of the documents, with its original offsets and where the
     earliest occurrence stands."""
-    return repeated_units(read_table(spark, sf_dir, "documents"), min_passage=1, lines=True)
+    return repeated_units(read_table(spark, sf_dir, "documents"))
