@@ -31,10 +31,15 @@ EFFECTIVE_TRIGRAMS = 48
 HOST_ROWS, DOMAIN_ROWS = 20.0, 100.0
 #: Pseudo-rows of a declared language or suffix that was not seen with a language.
 PSEUDO_ROWS = 1.0
-#: Least posterior of an accepted language, and least mean log likelihood of a trigram (log(1/BUCKETS) is -11.1): below
-#: it the text is in none of the languages.
-MIN_POSTERIOR, MIN_LIKELIHOOD = 0.5, -10.6
-#: Texts are cut up where they are read; each piece of so many characters is counted, none is dropped.
+#: Least posterior of an accepted language.
+MIN_POSTERIOR = 0.5
+#: A text is in none of the languages if its mean log likelihood of a trigram stands closer to that of random bytes than to
+#: that of the language's own sample, by this share of the way.
+MIN_LIKENESS = 0.28
+#: Shares of a trigram's probability that come from the trigrams of all languages and from any bytes. As they do not
+#: depend on the size of the sample, nor do the likelihoods: the floor acts alike whatever was fitted.
+OF_ALL, OF_BYTES = 0.05, 0.05
+#: Texts are counted in pieces of so many characters, about: they are cut between words, so no trigram is lost.
 PIECE = 1 << 20
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -43,10 +48,15 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 def _pieces(text: str | None) -> Iterator[np.ndarray]:
     """Hashed byte trigrams of the letters of a text, words set apart by one space."""
     text = text or ""
-    for at in range(0, len(text), PIECE):
-        letters = _NOT_LETTERS.sub(" ", text[at : at + PIECE].lower()).strip()
+    end, tail = 0, b" "
+    while end < len(text):
+        at, edge = end, _NOT_LETTERS.search(text, end + PIECE)
+        end = edge.start() if edge else len(text)
+        letters = _NOT_LETTERS.sub(" ", text[at:end].lower()).strip()
         if letters:
-            b = np.frombuffer(f" {letters} ".encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
+            stream = tail + letters.encode("utf-8", "surrogatepass") + b" "
+            tail = stream[-2:]
+            b = np.frombuffer(stream, dtype=np.uint8).astype(np.uint32)
             code = b[:-2] * np.uint32(65536) + b[1:-1] * np.uint32(256) + b[2:]
             yield (code * np.uint32(2654435761)) >> np.uint32(16)
 
@@ -56,8 +66,13 @@ def _primary(tag: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(F.trim(tag)), "^([a-z]{2,3})(?:[-_].*)?$", 1), F.lit(""))
 
 
-def fit_trigrams(df: DataFrame, text: Column, declared: Column, languages: Sequence[str], seed: int = 3) -> np.ndarray:
-    """Log probabilities (language, bucket) from about ``SAMPLE_ROWS`` declared rows a language."""
+def fit_trigrams(
+    df: DataFrame, text: Column, declared: Column, languages: Sequence[str], seed: int = 3
+) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities (language, bucket) from about ``SAMPLE_ROWS`` declared rows a language, and each one's floor.
+
+    The floor is the least mean log likelihood of a text of that language, see ``MIN_LIKENESS``.
+    """
     own = df.select(text.alias("text"), _primary(declared).alias("declared")).filter(F.col("declared").isin(*languages))
     n = {r["declared"]: r["n"] for r in own.groupBy("declared").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
@@ -83,8 +98,13 @@ def fit_trigrams(df: DataFrame, text: Column, declared: Column, languages: Seque
     )  # fmt: skip  # at most languages x BUCKETS rows
     table = np.zeros((len(languages), BUCKETS))
     table[sums["language"], sums["bucket"]] = sums["n"]
-    smooth = table + 0.5 + 2.0 * table.sum(axis=0) / max(1.0, table.sum()) * BUCKETS / 100
-    return np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+    any_bytes = np.full(BUCKETS, 1 / BUCKETS)
+    every = table.sum(axis=0) / table.sum() if table.any() else any_bytes
+    rows = table.sum(axis=1, keepdims=True)
+    seen = np.where(rows > 0, table / np.maximum(rows, 1), any_bytes)
+    log_p = np.log((1 - OF_ALL - OF_BYTES) * seen + OF_ALL * every + OF_BYTES * any_bytes)
+    own = (seen * log_p).sum(axis=1)
+    return log_p.astype(np.float32), MIN_LIKENESS * own + (1 - MIN_LIKENESS) * np.log(1 / BUCKETS)
 
 
 def score_text(df: DataFrame, table: np.ndarray, text_col: str = "__text") -> DataFrame:
@@ -174,7 +194,7 @@ def fuse(
     judged one by one, repeated ones alike. An empty frame gives an empty one. Texts are read whole.
     """
     n = len(languages)
-    table = fit_trigrams(df, text, declared, languages)
+    table, floors = fit_trigrams(df, text, declared, languages)
     lean = df.select(
         text.alias("__text"), _primary(declared).alias("declared"), _primary(suffix).alias("suffix"), host.alias("host")
     )
@@ -192,10 +212,11 @@ def fuse(
     )
     none = F.array(*[F.lit(0.0)] * n)
     # primary subtags have at most three letters, so these two tables have under 20,000 rows
+    # the priors are written first: Spark broadcasts them while they are few, else it can split a hot host over tasks
     joined = (
         evidence.join(F.broadcast(_shares(counts, "declared", languages)), "declared", "left")
         .join(F.broadcast(_shares(counts, "suffix", languages)), "suffix", "left")
-        .join(host_priors(counts, languages), "host", "left")
+        .join(materialize(host_priors(counts, languages), "priors"), "host", "left")
     )
     flat = F.array(*[F.lit(1.0 / n)] * n)
     weight = F.least(F.col("__grams"), F.lit(EFFECTIVE_TRIGRAMS))
@@ -213,7 +234,9 @@ def fuse(
         "posterior": F.when(spoken, posterior).otherwise(0.0),
         "text_language": F.when(spoken, F.element_at(names, _best(F.col("__mean")) + 1)),
     })
-    accepted = spoken & (F.col("posterior") >= MIN_POSTERIOR) & (F.array_max("__mean") >= MIN_LIKELIHOOD)
+    floor = F.element_at(F.array(*[F.lit(float(x)) for x in floors]), F.col("__place") + 1)
+    likely = F.element_at("__mean", F.col("__place") + 1) >= floor
+    accepted = spoken & (F.col("posterior") >= MIN_POSTERIOR) & likely
     return out.select("__row", "language", "posterior", "text_language", accepted.alias("accepted"))
 
 

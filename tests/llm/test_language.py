@@ -29,6 +29,25 @@ def test_held_out_accuracy_and_edges(spark):
     assert language.identify_documents(df.limit(0)).count() == 0
 
 
+def test_floor_acts_alike_at_every_size(spark):
+    """Text in none of the languages is rejected, and no other, whether few or many rows were fitted."""
+    rng = random.Random(5)
+    foreign = "rząd ogłosił wczoraj nowe środki wsparcia dla rodzin oraz przedsiębiorstw"
+    for n in (40, 800):
+        rows = [(i, text(rng, lang, rng.randint(3, 40)), lang, "s") for i, lang in enumerate(rng.choice(list(SYLLABLES)) for _ in range(n))]
+        df = spark.createDataFrame([*rows, (9999, foreign, None, "s")], "doc_id bigint, text string, lang string, source string").repartition(2)
+        kept = {r.doc_id for r in language.keep_identified(df).select("doc_id").collect()}
+        assert kept == set(range(n))
+
+
+def test_pieces_lose_no_trigram(monkeypatch):
+    words = " ".join("abcdefghij"[k % 10] * (1 + k % 7) + "x" for k in range(300))
+    whole = [int(g) for p in language._pieces(words) for g in p]
+    monkeypatch.setattr(language, "PIECE", 50)
+    parts = list(language._pieces(words))
+    assert len(parts) > 10 and [int(g) for p in parts for g in p] == whole
+
+
 def test_host_priors_shrink_towards_domain_and_all(spark):
     counts = spark.createDataFrame(
         [("a.x.org", None, None, 0, 1), ("b.x.org", None, None, 0, 999), ("c.y.org", None, None, 1, 1000), (None, None, None, 1, 5)],
