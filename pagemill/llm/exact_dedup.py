@@ -5,8 +5,8 @@ a document alone in its group leaves as unique; a group whose texts ended inside
 the other groups are split again by the next digit, each twice as wide as the one before, so that the splits of a text
 are logarithmic in its length. A split is an aggregation by (group, digit), which combines on the map side however large a
 group is; its result is written, then joined back to the rows. As the written side is no part of the join's stage, Spark
-splits a hot digit over tasks (AQE) or broadcasts a short result. Only the first split sees all documents, and its
-aggregation sees their first bytes only.
+splits a hot digit over tasks (AQE). The joins are sort-merge joins at every size, so that cost grows with the input
+evenly. Only the first split sees all documents, and its aggregation sees their first bytes only.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def split_rows(df: DataFrame, id_col: str, text_col: str, carry: bool) -> tuple[
     )
     alone = F.col("__single").isNull()
     rows = materialize(
-        source.join(shared, "__digit", "left").select(
+        source.join(shared.hint("merge"), "__digit", "left").select(
             "__row", "__id", "__sha", alone.alias("__alone"),
             F.when(~alone, F.col("__body")).alias("__body"), row_uid().alias("__uid"),
         ),
@@ -64,7 +64,7 @@ def split_rows(df: DataFrame, id_col: str, text_col: str, carry: bool) -> tuple[
         over = F.octet_length("__digit") < width
         rest = F.expr(f"substring(__body, {width + 1})")
         split = materialize(
-            digits.join(groups, ["__group", "__digit"]).select(
+            digits.join(groups.hint("merge"), ["__group", "__digit"]).select(
                 "__uid", F.col("__next").alias("__group"), over.alias("__ended"), F.when(~over, rest).alias("__body")
             ),
             "radix",
