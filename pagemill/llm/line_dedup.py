@@ -110,7 +110,7 @@ def _repeats(table: DataFrame, min_passage: int) -> DataFrame:
         "earliest",
     )
     later = (F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start"))
-    repeats = table.join(earliest, "digest").filter(later)
+    repeats = table.join(earliest.hint("merge"), "digest").filter(later)
     # places of a run ascend by one; a window holds the units of one document
     run = F.col("place") - F.row_number().over(Window.partitionBy("uid", "line").orderBy("place"))
     words = F.sum("words").over(Window.partitionBy("uid", "line", "run"))
