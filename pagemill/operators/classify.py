@@ -244,7 +244,7 @@ def quality_report(df: DataFrame, markdown: str) -> DataFrame:
         "__items": F.regexp_count(md, F.lit(r"(?m)^\s*[-*+]\s")),
         "__links": F.regexp_count(md, F.lit(r"\[[^\]]+\]\([^)]+\)")),
         "__bare": F.aggregate(
-            F.filter(F.transform(F.split(md, "\n"), F.trim), lambda x: ~x.startswith("#")), F.lit(0), lambda a, x: a + F.length(x)
+            F.filter(F.transform(F.split(md, "\n"), lambda x: F.trim(x)), lambda x: ~x.startswith("#")), F.lit(0), lambda a, x: a + F.length(x)
         ),
     })
     prose, total, headings, items, links = (F.col(c) for c in ("__prose", "__total", "__headings", "__items", "__links"))

@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .. import registry
-from . import analytics, classify, compile, knowledge, pages, rank, sections, sources, text  # noqa: F401
+from . import access, analytics, answers, classify, compile, knowledge, pages, playbooks, rank, reconcile, records, sections, sources, text  # noqa: F401
 
 QUERIES, SQL = registry.QUERIES, registry.SQL

@@ -11,7 +11,8 @@ from .text import sql_any, sql_tokens
 
 VISIBLE = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
 
-#: Some pages get needles, so that every class of page occurs; both sides do the same.
+#: Some pages get needles, and some bare shells stand beside the whole pages, with ids under 0, so that every class of
+#: page occurs; both sides do the same.
 NEEDLES = (
     (0, "<p>Just a moment... checking your browser</p>"),
     (1, '<form><input type="password">Please log in</form>'),
@@ -23,7 +24,7 @@ NEEDLES = (
 _CASES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in NEEDLES)
 PAGES = f"""(SELECT page_id, CASE WHEN page_id % 17 = 0 THEN 'https://x.org/account/login.php' WHEN page_id % 19 = 0 THEN 'https://en.wikipedia.org/wiki/' || page_id
   WHEN page_id % 23 = 0 THEN 'https://docs.docker.com/a' WHEN page_id % 29 = 0 THEN 'https://www.bbc.com/n' ELSE url END AS url,
-  CASE WHEN page_id % 9 = 4 THEN '' ELSE html END || CASE page_id % 9 {_CASES} ELSE '' END AS html FROM pages)"""
+  html || CASE page_id % 9 {_CASES} ELSE '' END AS html FROM pages UNION ALL SELECT -1 - page_id, url, CASE page_id % 9 {_CASES} END FROM pages WHERE page_id % 9 = 4)"""
 
 
 def pages(spark, sf_dir):
@@ -35,8 +36,9 @@ def pages(spark, sf_dir):
     extra = F.lit("")
     for k, v in NEEDLES:
         extra = F.when(i % 9 == k, v).otherwise(extra)
-    html = F.concat(F.when(i % 9 == 4, "").otherwise(F.col("html")), extra)
-    return table(spark, sf_dir, "pages").select("page_id", url.alias("url"), html.alias("html"))
+    df = table(spark, sf_dir, "pages")
+    shells = df.filter(i % 9 == 4).select((-1 - i).alias("page_id"), "url", extra.alias("html"))
+    return df.select("page_id", url.alias("url"), F.concat("html", extra).alias("html")).unionByName(shells)
 
 
 LOGIN_PATH = rf"""len(list_filter(string_split(lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '/'), lambda s: regexp_replace(s, '^([^.]+)\..*$', '\1') IN ({", ".join(f"'{x}'" for x in C.LOGIN_SEGMENTS)}))) > 0"""
@@ -128,20 +130,26 @@ def login_wall(spark, sf_dir):
     return docs.select("doc_id", C.login_wall(F.concat("text", extra), url).alias("wall"))
 
 
-#: Documents as markdown of several shapes: a heading, a list, links, shell text or a few words only.
-_MD = """(SELECT doc_id, trim(CASE doc_id % 6 WHEN 0 THEN '# ' || text WHEN 1 THEN substr(text, 1, 150) WHEN 2 THEN '# A' || chr(10) || '## B' || chr(10) || substr(text, 1, 20)
-  WHEN 3 THEN '- [a](/b) ' || substr(text, 1, 90) || ' Enable JavaScript' WHEN 4 THEN substr(text, 1, 30) ELSE text END) AS md FROM documents WHERE text IS NOT NULL)"""
+#: Short texts of several shapes, which stand beside the whole documents with ids under 0.
+SHORT = (
+    "Few words", "# A\n## B\nab cd", "- [a](/b) Click here. Enable JavaScript", "Sign up. See [x](/y) and [z](/w)",
+    "It says in two plain sentences what a thing is, with more than twelve different words. So nothing here is thin at all.",
+)
+_SHORT = "CASE doc_id % 5 " + " ".join("WHEN {} THEN '{}'".format(k, s) for k, s in enumerate(SHORT)) + " END"
+#: Whole documents as markdown: with headings, as a list item with a link, with shell text, or as they are.
+_MD = f"""(SELECT doc_id, trim(CASE doc_id % 6 WHEN 0 THEN '# ' || text WHEN 2 THEN '# A' || chr(10) || '## B' || chr(10) || text WHEN 3 THEN '- [a](/b) ' || text || ' Enable JavaScript' ELSE text END) AS md
+  FROM documents WHERE text IS NOT NULL UNION ALL SELECT -1 - doc_id, {_SHORT} FROM documents WHERE text IS NOT NULL)"""
 
 
 def markdown(spark, sf_dir):
     i, text = F.col("doc_id"), F.col("text")
     md = (
-        F.when(i % 6 == 0, F.concat(F.lit("# "), text)).when(i % 6 == 1, F.substring(text, 1, 150))
-        .when(i % 6 == 2, F.concat(F.lit("# A\n## B\n"), F.substring(text, 1, 20)))
-        .when(i % 6 == 3, F.concat(F.lit("- [a](/b) "), F.substring(text, 1, 90), F.lit(" Enable JavaScript")))
-        .when(i % 6 == 4, F.substring(text, 1, 30)).otherwise(text)
+        F.when(i % 6 == 0, F.concat(F.lit("# "), text)).when(i % 6 == 2, F.concat(F.lit("# A\n## B\n"), text))
+        .when(i % 6 == 3, F.concat(F.lit("- [a](/b) "), text, F.lit(" Enable JavaScript"))).otherwise(text)
     )
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.trim(md).alias("md"))
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    short = F.element_at(F.array(*[F.lit(s) for s in SHORT]), (i % 5 + 1).cast("int"))
+    return docs.select("doc_id", F.trim(md).alias("md")).unionByName(docs.select((-1 - i).alias("doc_id"), short.alias("md")))
 
 
 _PROSE = rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '!\[[^\]]*\]\([^)]+\)', ' ', 'g'), '{T.LINK}', '\1', 'g'), '(?m)^#{{1,6}}\s', ' ', 'g'), '(?m)^\s*[-*+]\s', ' ', 'g'), '\s+', ' ', 'g'))"""
@@ -256,15 +264,24 @@ LINKS = r"""(SELECT page_id, i, CASE WHEN i % 6 = 5 THEN 'https://' || h || '/st
   FROM (SELECT page_id, h, CAST(unnest(range(0, len(ts))) AS INTEGER) AS i, unnest(ts) AS t FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS h, regexp_extract_all(html, '<a href="/([^"]*)"', 1) AS ts FROM pages)))"""
 
 
-def page_links(spark, sf_dir):
+def link_arrays(spark, sf_dir):
+    """(page_id, links): each page's (i, url, title), in order."""
+    base = F.concat(F.lit("https://"), T.url_host(F.col("url")))
+
+    def link(t, i):
+        k = i % 6
+        url = (
+            F.when(k == 5, F.concat(base, F.lit("/static/js/"), t, F.lit(".js"))).when(k == 4, F.concat(base, F.lit("/not-found/"), t))
+            .otherwise(F.concat(base, F.lit("/"), t))
+        )
+        return F.struct(i.alias("i"), url.alias("url"), F.when(k == 3, F.concat(F.lit("Oops "), t)).otherwise(t).alias("title"))
+
     hrefs = F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), 1)
-    df = table(spark, sf_dir, "pages").select("page_id", T.url_host(F.col("url")).alias("h"), F.posexplode(hrefs).alias("i", "t"))
-    k, base = F.col("i") % 6, F.concat(F.lit("https://"), F.col("h"))
-    url = (
-        F.when(k == 5, F.concat(base, F.lit("/static/js/"), "t", F.lit(".js"))).when(k == 4, F.concat(base, F.lit("/not-found/"), "t"))
-        .otherwise(F.concat(base, F.lit("/"), "t"))
-    )
-    return df.select("page_id", "i", url.alias("url"), F.when(k == 3, F.concat(F.lit("Oops "), "t")).otherwise(F.col("t")).alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", F.transform(hrefs, link).alias("links"))
+
+
+def page_links(spark, sf_dir):
+    return link_arrays(spark, sf_dir).select("page_id", F.explode("links").alias("l")).select("page_id", "l.*")
 
 
 _ENDS = "(" + "|".join(e.replace(".", "\\.") for e in C.NONSENSE_ENDS) + ")"

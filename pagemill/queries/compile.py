@@ -13,8 +13,10 @@ from ..operators import links as L
 from ..operators import rank as R
 from ..operators import receipts as M
 from ..registry import query, table
-from .classify import page_links
+from .classify import link_arrays
+from .rank import scores_sql
 from .sections import headed
+from .text import sql_estimate
 
 
 @query("attest_summary", """
@@ -36,13 +38,19 @@ def attest_summary(spark, sf_dir):
     return A.summarize(A.with_status(docs.select("doc_id", "claim", blocks.alias("blocks")), "claim", "blocks"))
 
 
-@query("claim_check")
+CHECKED = ["the", "that", "tion"]
+
+
+@query("claim_check", scores_sql(CHECKED) + """
+SELECT doc_id, pos, matched, sha256(line || chr(0) || 'p') AS leaf, CAST(CASE WHEN n > 1 THEN ceil(log2(n)) ELSE 0 END AS INTEGER) AS steps, true AS proven FROM d WHERE place <= 3 AND matched >= 2
+""")
 def claim_check(spark, sf_dir):
-    """Blocks that bear on a claim, each with the proof that it is on its page; golden tests verify the proofs."""
-    claim = ["the", "that", "tion"]
+    """Blocks that bear on a claim, each with the proof that it is on its page."""
+    claim = CHECKED
     df = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.split("text", "\n").alias("blocks"))
     df = df.withColumns({"scores": R.block_scores(F.col("blocks"), claim), "leaves": F.transform("blocks", lambda x: I.leaf_hash(x, F.lit("p")))})
-    best = df.select("doc_id", "leaves", F.explode(R.top_blocks(F.col("scores"), 3)).alias("b")).filter(R.clears_floor(F.col("b.matched"), len(claim)))
+    rounded = F.transform("scores", lambda s: F.struct(F.round(s["score"], 9).alias("score"), s["matched"].alias("matched")))
+    best = df.select("doc_id", "leaves", F.explode(R.top_blocks(rounded, 3)).alias("b")).filter(R.clears_floor(F.col("b.matched"), len(claim)))
     path = I.merkle_proof(F.col("leaves"), F.col("b.pos"))
     leaf = F.element_at("leaves", F.col("b.pos") + 1)
     return best.select("doc_id", "b.pos", "b.matched", leaf.alias("leaf"), F.size(path).alias("steps"), I.verify_proof(leaf, path, I.merkle_root(F.col("leaves"))).alias("proven"))
@@ -51,9 +59,8 @@ def claim_check(spark, sf_dir):
 @query("link_rank")
 def link_rank(spark, sf_dir):
     """Each page's five best links for a question, best first."""
-    link = F.struct("url", T.url_path(F.col("url")).alias("path"), "title")
-    pages = page_links(spark, sf_dir).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", link.alias("l")))).alias("s"))
-    pages = pages.select("page_id", F.transform("s", lambda x: x["l"]).alias("links"))
+    with_path = F.transform("links", lambda x: F.struct(x["url"].alias("url"), T.url_path(x["url"]).alias("path"), x["title"].alias("title")))
+    pages = link_arrays(spark, sf_dir).filter(F.size("links") > 0).select("page_id", with_path.alias("links"))
     scored = pages.select("page_id", "links", L.link_scores(F.col("links"), "the tion reference").alias("scores"))
     order = F.array_sort(F.transform(F.arrays_zip("links", "scores"), lambda z: F.struct((-F.round(z["scores"]["total"], 6)).alias("minus"), z["links"]["url"].alias("url"))))
     best = scored.select("page_id", F.posexplode(F.slice(order, 1, 5)).alias("place", "x"))
@@ -87,21 +94,9 @@ def fit_markdown(spark, sf_dir):
     return df.select("doc_id", F.length("md").alias("before"), F.length("fitted").alias("after"), F.sha2("fitted", 256).alias("digest"))
 
 
-@query("budget_strategy", """
-SELECT doc_id, CASE WHEN len(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) = 0 AND length(text) <= 800 THEN 'none' ELSE 'cut' END AS strategy FROM documents WHERE text IS NOT NULL AND (length(text) <= 800 AND len(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) = 0 OR length(text) > 800)
-""".replace("\\\\", "\\"))
+@query("budget_strategy", f"SELECT doc_id, CASE WHEN {sql_estimate('text')} <= 200 THEN 'none' ELSE 'cut' END AS strategy FROM documents WHERE text IS NOT NULL")
 def budget_strategy(spark, sf_dir):
     """Whether a document fits 200 tokens or is cut, and that what is left fits."""
-    narrow = F.length(F.regexp_replace("text", r"[\x00-\x7F]", "")) == 0
-    return strategies(spark, sf_dir).filter((narrow & (F.length("text") <= 800)) | (F.length("text") > 800)).drop("text")
-
-
-@query("budget_strategy_all")
-def budget_strategy_all(spark, sf_dir):
-    return strategies(spark, sf_dir).drop("text")
-
-
-def strategies(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("text is not null")
     kind = pa.struct([("text", pa.string()), ("strategy", pa.string())])
 
@@ -111,7 +106,7 @@ def strategies(spark, sf_dir):
         return {"text": text, "strategy": strategy}
 
     df = C.per_text(docs.select("doc_id", "text"), "text", "b", cut, kind, "struct<text: string, strategy: string>")
-    return df.select("doc_id", "text", F.when(F.col("b.strategy").isNull(), "none").otherwise("cut").alias("strategy"))
+    return df.select("doc_id", F.when(F.col("b.strategy").isNull(), "none").otherwise("cut").alias("strategy"))
 
 
 SPEC = {
@@ -131,18 +126,11 @@ def field_extract(spark, sf_dir):
 
 
 @query("digest_combined", r"""
-SELECT source, count(*) AS pages, count(*) FILTER (WHERE contains(lower(text), 'that')) AS focused, sha256(string_agg('## ' || doc_id || chr(10) || chr(10) || substr(text, 1, 80), chr(10) || chr(10) ORDER BY doc_id)) AS combined FROM documents WHERE text IS NOT NULL AND doc_id < 160 GROUP BY source
+WITH RECURSIVE x AS (SELECT source, count(*) AS pages, count(*) FILTER (WHERE contains(lower(text), 'that')) AS focused, list(sha256('## ' || doc_id || chr(10) || chr(10) || text) ORDER BY doc_id, sha256('## ' || doc_id || chr(10) || chr(10) || text)) AS a FROM documents WHERE text IS NOT NULL GROUP BY source),
+l(source, pages, focused, a) AS (SELECT source, pages, focused, a FROM x UNION ALL SELECT source, pages, focused, list_transform(range(0, len(a), 2), lambda i: sha256(unhex(a[i + 1]) || unhex(coalesce(a[i + 2], a[i + 1])))) FROM l WHERE len(a) > 1)
+SELECT source, pages, focused, a[1] AS combined FROM l WHERE len(a) = 1
 """)
 def digest_combined(spark, sf_dir):
-    """One digest a source out of its first pages, in their order."""
-    docs = table(spark, sf_dir, "documents").filter("text is not null and doc_id < 160")
-    part = F.concat(F.lit("## "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.substring("text", 1, 80))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))), lambda x: x["p"]), "\n\n")
-    return docs.groupBy("source").agg(F.count("*").alias("pages"), F.count_if(F.lower("text").contains("that")).alias("focused"), F.sha2(joined, 256).alias("combined"))
-
-
-@query("digest_combined_all")
-def digest_combined_all(spark, sf_dir):
     """One digest a source out of all its pages and their whole texts, as the root over the parts' hashes in order."""
     docs = table(spark, sf_dir, "documents").filter("text is not null")
     part = F.sha2(F.concat(F.lit("## "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.col("text")), 256)

@@ -24,24 +24,29 @@ def _akin_sql(t):
     return f"x = '{t}' OR (length(x) >= 4 AND starts_with('{t}', x)){longer}"
 
 
-_TF = ", ".join(
-    f"CASE WHEN len(list_filter(t, lambda x: {_akin_sql(t)})) = 0 AND contains(lower(line), '{t}') THEN 1 ELSE len(list_filter(t, lambda x: {_akin_sql(t)})) END AS tf{k}, "
-    f"sum(CASE WHEN list_contains(t, '{t}') THEN 1 ELSE 0 END) OVER w AS df{k}"
-    for k, t in enumerate(CLAIM)
-)
-_GAIN = " + ".join(
-    f"CASE WHEN tf{k} > 0 THEN ln(1 + (n - df{k} + 0.5::DOUBLE) / (df{k} + 0.5::DOUBLE)) * (tf{k} * 2.2::DOUBLE) / (tf{k} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean)) ELSE 0 END"
-    for k in range(len(CLAIM))
-)
-_MATCHED = " + ".join(f"CASE WHEN tf{k} > 0 THEN 1 ELSE 0 END" for k in range(len(CLAIM)))
-SCORES = f"""
-WITH a AS (SELECT doc_id, pos, line, regexp_extract_all(lower(line), '[a-z0-9]{{3,}}') AS t FROM {BLOCKS}),
-b AS (SELECT doc_id, pos, line, greatest(1, len(t)) AS dl, count(*) OVER w AS n, avg(greatest(1, len(t))) OVER w AS mean, {_TF} FROM a WINDOW w AS (PARTITION BY doc_id)),
-c AS (SELECT doc_id, pos, line, {_GAIN} AS score, CAST({_MATCHED} AS INTEGER) AS matched FROM b),
+def scores_sql(claim):
+    """The blocks of all documents with their scores for a claim's terms, and their places."""
+    tf = ", ".join(
+        f"CASE WHEN len(list_filter(t, lambda x: {_akin_sql(t)})) = 0 AND contains(lower(line), '{t}') THEN 1 ELSE len(list_filter(t, lambda x: {_akin_sql(t)})) END AS tf{k}, "
+        f"sum(CASE WHEN list_contains(t, '{t}') THEN 1 ELSE 0 END) OVER w AS df{k}"
+        for k, t in enumerate(claim)
+    )
+    gain = " + ".join(
+        f"CASE WHEN tf{k} > 0 THEN ln(1 + (n - df{k} + 0.5::DOUBLE) / (df{k} + 0.5::DOUBLE)) * (tf{k} * 2.2::DOUBLE) / (tf{k} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean)) ELSE 0 END"
+        for k in range(len(claim))
+    )
+    matched = " + ".join(f"CASE WHEN tf{k} > 0 THEN 1 ELSE 0 END" for k in range(len(claim)))
+    return f"""
+WITH RECURSIVE a AS (SELECT doc_id, pos, line, regexp_extract_all(lower(line), '[a-z0-9]{{3,}}') AS t FROM {BLOCKS}),
+b AS (SELECT doc_id, pos, line, greatest(1, len(t)) AS dl, count(*) OVER w AS n, avg(greatest(1, len(t))) OVER w AS mean, {tf} FROM a WINDOW w AS (PARTITION BY doc_id)),
+c AS (SELECT doc_id, pos, line, n, {gain} AS score, CAST({matched} AS INTEGER) AS matched FROM b),
 d AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, pos) AS place, max(score) OVER (PARTITION BY doc_id) AS best FROM c)
 """
 
 
+SCORES = scores_sql(CLAIM)
+
+
 @query("claim_rank", SCORES + """
 SELECT doc_id, pos, round(score, 5) AS score, matched, matched >= 2 AS clears, sha256(line || chr(0) || 'p') AS leaf FROM d WHERE place <= 3
 """)
@@ -102,15 +107,20 @@ def budget_fill(spark, sf_dir):
     return df.select("doc_id", F.col("f.n").alias("kept"), (F.col("n") - F.col("f.n")).alias("dropped"), "f.used")
 
 
-@query("salience_retention")
+@query("salience_retention", SCORES + f""",
+i AS (SELECT doc_id, pos, place, greatest(1, {sql_estimate("line")}) AS cost FROM d),
+r(doc_id, place, used, kept) AS (SELECT doc_id, place, CASE WHEN cost <= 256 THEN cost ELSE 0 END, CASE WHEN cost <= 256 THEN [pos] ELSE [] END FROM i WHERE place = 1
+  UNION ALL SELECT i.doc_id, i.place, used + CASE WHEN used + cost <= 256 THEN cost ELSE 0 END, CASE WHEN used + cost <= 256 THEN list_append(kept, pos) ELSE kept END FROM r JOIN i ON i.doc_id = r.doc_id AND i.place = r.place + 1)
+SELECT doc_id, array_to_string(list_sort(arg_max(kept, place)), ',') AS kept FROM r GROUP BY doc_id
+""")
 def salience_retention(spark, sf_dir):
-    """Blocks kept under a budget by salience, in reading order; too large a block is skipped, so no SQL says it."""
+    """Blocks kept under a budget by salience, in reading order; too large a block is skipped, later ones may fit."""
     df = pages_of_blocks(spark, sf_dir).withColumn("scores", R.block_scores(F.col("blocks"), CLAIM))
     item = F.transform(
         F.arrays_zip("blocks", "scores"),
-        lambda z, i: F.struct((-z["scores"]["score"]).alias("minus"), i.alias("pos"), F.greatest(F.lit(1), T.token_estimate(z["blocks"])).alias("cost")),
+        lambda z, i: F.struct((-F.round(z["scores"]["score"], 9)).alias("minus"), i.alias("pos"), F.greatest(F.lit(1), T.token_estimate(z["blocks"])).alias("cost")),
     )
-    return df.select("doc_id", R.skip_fill(F.array_sort(item), F.lit(256)).alias("kept"))
+    return df.select("doc_id", F.array_join(R.skip_fill(F.array_sort(item), F.lit(256)), ",").alias("kept"))
 
 
 @query("markdown_cap", """

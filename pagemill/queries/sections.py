@@ -45,19 +45,14 @@ def section_rank(spark, sf_dir):
     return df.select("doc_id", "selected.*")
 
 
-@query("chunk_headings", SECTIONS_SQL + """
-SELECT doc_id, CAST(count(*) AS INTEGER) AS chunks FROM d GROUP BY doc_id HAVING max(length(body)) < 1500
+@query("chunk_headings", rf"""
+WITH RECURSIVE l AS (SELECT doc_id, pos, length(x) + 1 AS n, regexp_matches(x, '^#{{1,6}}\s+.') AS heading FROM (SELECT doc_id, pos, CASE WHEN level IS NULL THEN line ELSE repeat('#', level) || ' ' || line END AS x FROM {HEADED})),
+r(doc_id, pos, closed, held) AS (SELECT doc_id, pos, CASE WHEN n >= 2000 THEN 1 ELSE 0 END, CASE WHEN n >= 2000 THEN 0 ELSE n END FROM l WHERE pos = 0
+  UNION ALL SELECT l.doc_id, l.pos, closed + CASE WHEN heading AND held > 0 THEN 1 ELSE 0 END + CASE WHEN CASE WHEN heading THEN 0 ELSE held END + n >= 2000 THEN 1 ELSE 0 END,
+    CASE WHEN CASE WHEN heading THEN 0 ELSE held END + n >= 2000 THEN 0 ELSE CASE WHEN heading THEN 0 ELSE held END + n END FROM r JOIN l ON l.doc_id = r.doc_id AND l.pos = r.pos + 1)
+SELECT doc_id, CAST(arg_max(closed + CASE WHEN held > 0 THEN 1 ELSE 0 END, pos) AS INTEGER) AS chunks FROM r GROUP BY doc_id
 """)
 def chunk_headings(spark, sf_dir):
-    """Chunks a document falls into; compared where no section is longer than a chunk."""
-    df = headed(spark, sf_dir).withColumn("again", F.col("md"))
-    df = S.with_sections(S.with_chunks(df, "md"), "again")
-    longest = F.array_max(F.transform("sections", lambda s: F.length(s["body"])))
-    return df.filter(longest < 1500).select("doc_id", F.size("chunks").alias("chunks"))
-
-
-@query("chunk_headings_all")
-def chunk_headings_all(spark, sf_dir):
     """Chunks every document falls into, those with sections longer than a chunk included."""
     return S.with_chunks(headed(spark, sf_dir), "md").select("doc_id", F.size("chunks").alias("chunks"))
 

@@ -14,21 +14,12 @@ FEED = 200
 
 
 def feeds(spark, sf_dir):
-    """One feed a source: its documents as RSS items, or Atom entries for odd sources."""
-    docs = table(spark, sf_dir, "documents").filter("text is not null and doc_id < 400")
-    return feeds_of(docs, F.substring("text", 1, 40))
-
-
-def whole_feeds(spark, sf_dir):
     """One feed a source out of whole texts: the first of all its documents, as many as are read of a feed."""
     first = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     docs = table(spark, sf_dir, "documents").filter("text is not null").withColumn("k", first).filter(F.col("k") <= FEED)
-    return feeds_of(docs.withColumn("source", F.coalesce("source", F.lit(""))), F.col("text"))
-
-
-def feeds_of(docs, text):
+    docs = docs.withColumn("source", F.coalesce("source", F.lit("")))
     i = F.col("doc_id").cast("string")
-    summary = F.concat(F.lit("<![CDATA[<p>a &lt; b "), text, F.lit("</p>]]>"))
+    summary = F.concat(F.lit("<![CDATA[<p>a &lt; b "), "text", F.lit("</p>]]>"))
     rss = F.concat(F.lit("<item><title>T &amp; "), i, F.lit("</title><link>http://h/"), i, F.lit("</link><pubDate>2024</pubDate><description>"), summary, F.lit("</description></item>"))
     return docs.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", rss.alias("x")))), lambda s: s["x"]), "").alias("items")).select(
         "source", F.concat(F.lit("<?xml version='1.0'?><rss><channel><title>Feed "), "source", F.lit("</title>"), "items", F.lit("</channel></rss>")).alias("xml")
@@ -36,30 +27,26 @@ def feeds_of(docs, text):
 
 
 @query("feed_items", r"""
-SELECT source, 'T & ' || doc_id AS title, 'http://h/' || doc_id AS link, '2024' AS published, trim(regexp_replace('a < b ' || substr(text, 1, 40), '\s+', ' ', 'g')) AS summary
-FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL AND doc_id < 400) WHERE k <= 200
+SELECT coalesce(source, '') AS source, 'T & ' || doc_id AS title, 'http://h/' || doc_id AS link, '2024' AS published, substr(trim(regexp_replace('a < b ' || text, '\s+', ' ', 'g')), 1, 4000) AS summary
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL) WHERE k <= 200
 """)
 def feed_items(spark, sf_dir):
     return items_of(feeds(spark, sf_dir))
 
 
-@query("feed_items_all")
-def feed_items_all(spark, sf_dir):
-    return items_of(whole_feeds(spark, sf_dir))
-
-
 def items_of(df):
     df = df.filter(S.is_feed(F.lit("text/html"), F.col("xml")))
     return df.select("source", F.explode(S.rss_items(F.col("xml"))).alias("i")).select("source", "i.*")
 
 
 @query("json_feed", """
-SELECT doc_id, true AS json_feed, 'T' || doc_id AS title, 'http://h/' || doc_id AS link, trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g')) AS summary FROM documents WHERE text IS NOT NULL AND substr(text, 1, 60) NOT LIKE '%<%' AND substr(text, 1, 60) NOT LIKE '%&%'
+SELECT doc_id, true AS json_feed, 'T' || doc_id AS title, 'http://h/' || doc_id AS link,
+  substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')), 1, 4000) AS summary FROM documents WHERE text IS NOT NULL
 """.replace("\\\\", "\\"))
 def json_feed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("text is not null and substr(text, 1, 60) not like '%<%' and substr(text, 1, 60) not like '%&%'")
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
     i = F.col("doc_id").cast("string")
-    item = F.struct(F.concat(F.lit("T"), i).alias("title"), F.concat(F.lit("http://h/"), i).alias("url"), F.substring("text", 1, 60).alias("content_text"))
+    item = F.struct(F.concat(F.lit("T"), i).alias("title"), F.concat(F.lit("http://h/"), i).alias("url"), F.col("text").alias("content_text"))
     body = F.to_json(F.struct(F.lit("https://jsonfeed.org/version/1.1").alias("version"), F.array(item).alias("items")))
     df = docs.select("doc_id", body.alias("body"))
     return df.select("doc_id", S.is_json_feed(F.lit(None).cast("string"), F.col("body")).alias("json_feed"), F.explode(S.json_feed_items(F.col("body"))).alias("i")).select(
@@ -68,17 +55,12 @@ def json_feed(spark, sf_dir):
 
 
 @query("feed_markdown", """
-SELECT source, 1 + 1 + 2 * CAST(count(*) AS INTEGER) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL AND doc_id < 400) WHERE k <= 200 GROUP BY source
+SELECT coalesce(source, '') AS source, 1 + 1 + 2 * CAST(count(*) AS INTEGER) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL) WHERE k <= 200 GROUP BY source
 """)
 def feed_markdown(spark, sf_dir):
     return lines_of(feeds(spark, sf_dir))
 
 
-@query("feed_markdown_all")
-def feed_markdown_all(spark, sf_dir):
-    return lines_of(whole_feeds(spark, sf_dir))
-
-
 def lines_of(df):
     markdown = S.feed_markdown(F.col("source"), S.rss_items(F.col("xml")))
     return df.select("source", F.size(F.split(markdown, "\n")).cast("int").alias("lines"))
@@ -92,23 +74,12 @@ def body_cap(spark, sf_dir):
 
 @query("plain_text", """
 SELECT doc_id, NOT contains(x, chr(7)) AS passes, CASE WHEN regexp_matches(x, '(?m)^(#{1,6} |[-*] |```|\\d+\\. |\\|)') THEN sha256(x) ELSE sha256('```' || chr(10) || x || chr(10) || '```') END AS body
-FROM (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN '# ' || text WHEN doc_id % 6 = 1 THEN repeat(chr(7), 400) || text ELSE text END AS x FROM documents WHERE length(text) < 4000)
+FROM (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN '# ' || text WHEN doc_id % 6 = 1 THEN repeat(chr(7), 400) || text ELSE text END AS x FROM documents WHERE text IS NOT NULL)
 """.replace("\\\\", "\\"))
 def plain_text(spark, sf_dir):
     i = F.col("doc_id")
     x = F.when(i % 6 == 0, F.concat(F.lit("# "), "text")).when(i % 6 == 1, F.concat(F.repeat(F.lit("\x07"), F.lit(400)), "text")).otherwise(F.col("text"))
-    docs = table(spark, sf_dir, "documents").filter("length(text) < 4000").withColumn("x", x)
-    return fenced(docs)
-
-
-@query("plain_text_all")
-def plain_text_all(spark, sf_dir):
-    i = F.col("doc_id")
-    x = F.when(i % 6 == 0, F.concat(F.lit("# "), "text")).when(i % 6 == 1, F.concat(F.repeat(F.lit("\x07"), F.lit(400)), "text")).otherwise(F.col("text"))
-    return fenced(table(spark, sf_dir, "documents").filter("text is not null").withColumn("x", x))
-
-
-def fenced(docs):
+    docs = table(spark, sf_dir, "documents").filter("text is not null").withColumn("x", x)
     return docs.select("doc_id", S.passes_as_text(F.lit("text/plain"), F.col("x")).alias("passes"), F.sha2(S.fenced_text(F.col("x")), 256).alias("body"))
 
 

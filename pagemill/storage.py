@@ -13,9 +13,12 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """``spark.checkpoint.dir``; a temporary folder only in local mode, as in tests: elsewhere executors would not share it."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or "cluster" in master:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="pagemill-"))
         atexit.register(shutil.rmtree, _own[0], True)

@@ -24,7 +24,7 @@ def test_digest_of_all_documents(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(receipts, "SUBTREE", 8)
     rows = [(i * 7, ["hot", "hot", "b", None][i % 4] if i else "one", f"text {i} " * 40 + ("That" if i % 3 == 0 else "")) for i in range(300)]
     folder = save(spark, tmp_path, "documents", [*rows, (5000, "b", None)], "doc_id bigint, source string, text string")
-    got = {r.source: (r.pages, r.focused, r.combined) for r in queries.QUERIES["digest_combined_all"](spark, folder).collect()}
+    got = {r.source: (r.pages, r.focused, r.combined) for r in queries.QUERIES["digest_combined"](spark, folder).collect()}
     want = {}
     for source in ("one", "hot", "b", None):
         of = [(d, t) for d, s, t in rows if s == source]
@@ -71,9 +71,9 @@ def test_feeds_of_all_documents(spark, tmp_path):
     for source in ("hot", "b", None):
         of = [(d, t) for d, s, t in rows if s == source][:200]
         want += [(source or "", f"T & {d}", f"http://h/{d}", "2024", " ".join(f"a < b {t}".split())[:4000].strip()) for d, t in of]
-    got = [(r.source, r.title, r.link, r.published, r.summary.strip()) for r in queries.QUERIES["feed_items_all"](spark, folder).collect()]
+    got = [(r.source, r.title, r.link, r.published, r.summary.strip()) for r in queries.QUERIES["feed_items"](spark, folder).collect()]
     assert sorted(got) == sorted(want) and max(len(r[4]) for r in want) >= 3999
-    lines = {r.source: r.lines for r in queries.QUERIES["feed_markdown_all"](spark, folder).collect()}
+    lines = {r.source: r.lines for r in queries.QUERIES["feed_markdown"](spark, folder).collect()}
     assert lines == {"hot": 402, "b": 2 + 2 * 125, "": 2 + 2 * 125}
 
 
@@ -86,7 +86,7 @@ def test_chains_of_all_keys(spark, tmp_path):
         kinds = [k for _, _, k in sorted((ts, i, k) for i, u, k, ts in rows if u == user)]
         n = sum(1 for j, k in enumerate(kinds) if j == 0 or k is None or k != kinds[j - 1])
         want[user] = (n, True, n < 3)
-    assert {r.user_id: (r.entries, r.intact, r.forged) for r in queries.QUERIES["history_chain_all"](spark, folder).collect()} == want
+    assert {r.user_id: (r.entries, r.intact, r.forged) for r in queries.QUERIES["history_chain"](spark, folder).collect()} == want
 
 
 def test_no_document_is_left_out_by_its_shape(spark, tmp_path):
@@ -94,18 +94,18 @@ def test_no_document_is_left_out_by_its_shape(spark, tmp_path):
     rows = [(i, texts[i % 8] and texts[i % 8] + f" {i}") for i in range(48)]
     folder = save(spark, tmp_path, "documents", rows, "doc_id bigint, text string")
     whole = {i: t for i, t in rows if t is not None}
-    assert {r.doc_id: r.strategy for r in queries.QUERIES["budget_strategy_all"](spark, folder).collect()} == {
+    assert {r.doc_id: r.strategy for r in queries.QUERIES["budget_strategy"](spark, folder).collect()} == {
         i: "cut" if sum(1 if c.isascii() else 2 for c in t) > 800 else "none" for i, t in whole.items()
     }
-    got = {r.doc_id: (r.passes, r.body) for r in queries.QUERIES["plain_text_all"](spark, folder).collect()}
+    got = {r.doc_id: (r.passes, r.body) for r in queries.QUERIES["plain_text"](spark, folder).collect()}
     want = {}
     for i, t in whole.items():
         x = "# " + t if i % 6 == 0 else "\x07" * 400 + t if i % 6 == 1 else t
         body = x if re.search(r"(?m)^(#{1,6} |[-*] |```|\d+\. |\|)", x) else f"```\n{x}\n```"
         want[i] = (i % 6 != 1, hashlib.sha256(body.encode()).hexdigest())
     assert got == want
-    chunks = {r.doc_id: r.chunks for r in queries.QUERIES["chunk_headings_all"](spark, folder).collect()}
-    md = {r.doc_id: r.md for r in queries.QUERIES["chunk_headings_all"].__globals__["headed"](spark, folder).collect()}
+    chunks = {r.doc_id: r.chunks for r in queries.QUERIES["chunk_headings"](spark, folder).collect()}
+    md = {r.doc_id: r.md for r in queries.QUERIES["chunk_headings"].__globals__["headed"](spark, folder).collect()}
     for i, t in md.items():
         n, held = 0, 0
         for line in t.split("\n"):
@@ -121,4 +121,4 @@ def test_no_document_is_left_out_by_its_shape(spark, tmp_path):
 def test_links_with_any_letters_count(spark, tmp_path):
     html = '<html><body><a href="/abc">one</a><a href="/a1-b">two</a><a href="/é/x_y">three</a><a href="/abc">one</a></body></html>'
     folder = save(spark, tmp_path, "pages", [(1, "http://h.net/", html)], "page_id bigint, url string, html string")
-    assert [tuple(r) for r in queries.QUERIES["page_links_all"](spark, folder).collect()] == [(1, 3)]
+    assert [tuple(r) for r in queries.QUERIES["page_links"](spark, folder).collect()] == [(1, 3)]
