@@ -18,10 +18,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only in local mode (tests).
+
+    On a cluster a local folder would be another one on each executor, so there it is an error not to name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or "cluster" in master:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="pagemill-"))
         atexit.register(shutil.rmtree, _own_dir[0], True)
@@ -36,7 +42,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/pagemill-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._pagemill_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing still to be computed reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._pagemill_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_uid() -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -141,6 +142,17 @@ class TestItems:
         return out
 
 
+_kept: dict[str, TestItems] = {}
+
+
+def _index(block: str, items: list[tuple[int, str | None]], tile: int) -> TestItems:
+    """The index of a block of test items, kept in a Python worker from task to task; one block at a time."""
+    if block not in _kept:
+        _kept.clear()
+        _kept[block] = TestItems(items, tile)
+    return _kept[block]
+
+
 def _blocks(test: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[int, str | None]]]:
     """Test items in blocks of bounded size, one partition at a time on the driver."""
     held: list[tuple[int, str | None]] = []
@@ -176,10 +188,10 @@ def contaminated(
     )
     out = None
     for block in _blocks(test, item_col, text_col, block_words):
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = TestItems(shared.value, tile_words)
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared.value, tile_words)
             kind = pa.array([i for i in index.ids if i is not None][:1] or [0]).type
             for batch in batches:
                 rows = []
@@ -204,10 +216,10 @@ def drop_contaminated(df: DataFrame, test: DataFrame, coverage: float = COVERAGE
     spark = df.sparkSession
     out = df
     for block in _blocks(test, "item_id", "text", BLOCK_WORDS):
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = TestItems(shared.value, TILE_WORDS)
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared.value, TILE_WORDS)
             for batch in batches:
                 at = batch.schema.get_field_index("text")
                 yield batch.filter(pa.array([not index.find(t.as_py(), coverage) for t in batch.column(at)], pa.bool_()))

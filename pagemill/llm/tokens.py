@@ -8,8 +8,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Words kept before the cache of a Python worker starts anew; it bounds memory, never what is encoded.
-CACHE_WORDS = 800_000
+#: Words, and bytes of words and ids, kept before the cache of a Python worker starts anew; they bound memory, never
+#: what is encoded.
+CACHE_WORDS, CACHE_BYTES = 800_000, 1 << 27
 #: Distinct words sent to the tokenizer in one call.
 WORDS_A_CALL = 1000
 #: Characters of texts that are encoded together.
@@ -46,17 +47,20 @@ class WordEncoder:
         self.ends_word = np.zeros(max(pieces.values()) + 1, dtype=bool)
         self.ends_word[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _store(self, words: list, ids: np.ndarray, ends: np.ndarray) -> None:
         buffer, start = ids.tobytes(), 0
         for word, end in zip(words, (4 * ends).tolist(), strict=True):
             self.cache[word] = buffer[start:end]
             start = end
+        self.held += sum(map(len, words)) + len(buffer)
 
     def _learn(self, words: set) -> None:
         """Put ``words`` (bytes as they are, or strings in lower case) into the cache."""
-        if len(self.cache) + len(words) > CACHE_WORDS:
+        if len(self.cache) + len(words) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         plain = [w for w in words if isinstance(w, str) and w.isalpha()]
         other = [w for w in words if not (isinstance(w, str) and w.isalpha())]
         for k in range(0, len(plain), WORDS_A_CALL):  # each is one pre-token, whose last piece ends a word

@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import functions as F
 
 from pagemill.llm import language
 
@@ -58,6 +59,49 @@ def test_host_priors_shrink_towards_domain_and_all(spark):
     assert all(abs(sum(p) - 1) < 1e-9 for p in got.values())
 
 
+def test_query_equals_plain_fusion(spark, tmp_path):
+    """op9 over a small table against the same evidence fused in plain Python."""
+    from math import exp, log
+
+    rng = random.Random(7)
+    rows = []
+    for i in range(120):
+        lang = rng.choice(list(SYLLABLES))
+        rows.append((i, text(rng, lang, rng.randint(1, 12)), rng.choice([lang, lang, "en", "pt-BR", None]), rng.choice(["a.x.org", "b.x.org", "y.net", None])))
+    rows += [(200, None, "en", "y.net"), (201, "12 34", None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = f"file://{tmp_path}"
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    log_p, floors = language.fit_trigrams(df, F.col("text"), F.col("lang"), language.LANGUAGES)
+    n, facts = len(language.LANGUAGES), {}
+    for i, t, declared, host in rows:
+        grams = [int(g) for p in language._pieces(t) for g in p]
+        means = [float(sum(float(log_p[k][g]) for g in grams)) / max(1, len(grams)) for k in range(n)]
+        facts[i] = (len(grams), means, (declared or "").split("-")[0] or None, host)
+    spoken = [(m.index(max(m)), d, h) for g, m, d, h in facts.values() if g]
+    kinds = {d for _, d, _ in spoken if d}
+    total = [sum(k == x and d is not None for x, d, _ in spoken) for k in range(n)]
+    shares = {d: [log((sum(x == k and e == d for x, e, _ in spoken) + 1) / (total[k] + len(kinds) + 1)) for k in range(n)] for d in kinds}
+    every = [sum(x == k for x, _, _ in spoken) for k in range(n)]
+    prior = [(v + 1) / (sum(every) + n) for v in every]
+    priors = {}
+    for host in {h for _, _, h in spoken if h}:
+        domain = ".".join(host.split(".")[-2:])
+        wide = [sum(x == k and h is not None and h.endswith(domain) for x, _, h in spoken) for k in range(n)]
+        own = [sum(x == k and h == host for x, _, h in spoken) for k in range(n)]
+        up = [(w + language.DOMAIN_ROWS * p) / (sum(wide) + language.DOMAIN_ROWS) for w, p in zip(wide, prior, strict=True)]
+        priors[host] = [(o + language.HOST_ROWS * u) / (sum(own) + language.HOST_ROWS) for o, u in zip(own, up, strict=True)]
+    got = {r.doc_id: r for r in language.op9_evidence_language_id(spark, folder).collect()}
+    assert len(got) == len(rows)
+    for i, (g, means, d, h) in facts.items():
+        score = [m * min(g, language.EFFECTIVE_TRIGRAMS) + (shares[d][k] if d in shares else 0) + log(priors[h][k] if h in priors else 1 / n) for k, m in enumerate(means)]
+        k = score.index(max(score))
+        posterior = 1 / sum(exp(s - score[k]) for s in score) if g else 0.0
+        accepted = bool(g) and posterior >= language.MIN_POSTERIOR and means[k] >= floors[k]
+        assert (got[i].language, got[i].accepted) == (language.LANGUAGES[k] if g else None, accepted)
+        assert abs(got[i].posterior - posterior) < 1e-4
+
+
 def test_pages(spark, tmp_path):
     rng = random.Random(2)
     rows = [(i, f"http://h{i % 3}.example.net/fr/{i}", f'<html lang="fr"><script>x</script><p>{text(rng, "fr", 20)}</p>') for i in range(20)]

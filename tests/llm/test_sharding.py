@@ -3,7 +3,7 @@ from math import comb
 
 from pyspark.sql import functions as F
 
-from pagemill.llm.sharding import hypergeometric, shuffle_into_shards
+from pagemill.llm.sharding import hypergeometric, op1_hypergeometric_shards, shuffle_into_shards
 
 
 def test_hypergeometric_follows_its_law(spark):
@@ -35,5 +35,19 @@ def test_rows_law_and_slots(spark):
     assert Counter(r.doc_id for r in out)[None] == sum(1 for i in range(1003) if i % 3 == 0)
 
 
+def test_query_over_a_whole_table(spark, tmp_path):
+    import zlib
+
+    texts = ["", None, "é" * 5000, "same", "same", *(f"text {i}" for i in range(300))]
+    rows = [(i if i % 9 else None, t, i) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, shard int").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    out = op1_hypergeometric_shards(spark, f"file://{tmp_path}").collect()
+    want = [(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), "rows", None) for i, t, _ in rows]
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in out) == Counter(want)
+    per = Counter(r.shard for r in out)
+    assert set(per) == set(range(24)) and max(per.values()) - min(per.values()) <= 1
+    assert all(sorted(r.slot for r in out if r.shard == s) == list(range(n)) for s, n in per.items())
+
+
 def test_empty(spark):
     assert shuffle_into_shards(spark.range(0)).count() == 0

@@ -37,6 +37,21 @@ def test_word_encoder_equals_whole_texts():
         assert np.frombuffer(code.encode(t), "<u4").tolist() == plain(t, 2)[:-1]
 
 
+def test_word_encoder_equals_every_document(monkeypatch):
+    """Every text of a table both ways, also with a cache that is always full."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    from pagemill.llm import tokens
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    whole = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in WordEncoder(WORDS).encode_all(texts)] == whole
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 0)
+    small = WordEncoder(WORDS)
+    assert [np.frombuffer(b, "<u4").tolist() for b in small.encode_all(texts[:100])] == whole[:100]
+
+
 @pytest.mark.parametrize("bits", [1, 5, 16, 17, 32])
 def test_pack_round_trip(bits):
     rng = np.random.default_rng(bits)
@@ -105,6 +120,25 @@ def test_best_two_fit_is_tight():
     assert len(bins) <= lengths.sum() / 4096 + 2
 
 
+def test_packing_query(spark, tmp_path):
+    """The registered query over a whole table: its pieces are those of plain encoding, its sequences have no gap."""
+    from pagemill.llm.packing import op6_best_two_fit
+
+    rows = [(i, t) for i, t in enumerate([*TEXTS, *(f"text {k} " * (k * 7 % 900) for k in range(120))])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op6_best_two_fit(spark, f"file://{tmp_path}").collect()
+    want = []
+    for i, t in rows:
+        ids = plain(t, 1)
+        want += [(i, k, at, len(ids[at : at + 4096]), crc(ids[at : at + 4096])) for k, at in enumerate(range(0, len(ids), 4096))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 4096 and len(ends) <= sum(ends.values()) / 4096 + 2
+
+
 def test_packing_of_documents(spark, docs):
     out = pack_pieces(token_pieces(docs, WORDS, 1, 4096), 4096).collect()
     for i, t in enumerate(TEXTS):

@@ -45,3 +45,26 @@ def test_judgements(spark):
     got = {r.page_id: tuple(r)[1:] for r in uf.judge_urls(df.repartition(2), "page_id", "url").collect()}
     assert got == {i: plain(u) for i, u in enumerate(urls)}
     assert uf.judge_urls(df.limit(0), "page_id", "url").count() == 0
+
+
+def test_thousands_of_rules_and_globs(spark):
+    """Rules and globs are parameters: three thousand and five hundred of them against plain Python."""
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcde") for _ in range(4)) for _ in range(120)]
+    rules = list({(h, p): (rng.choice(["allow", "block"]), h, p) for h, p in (
+        (rng.choice(names) + rng.choice(["", ".net", ".org"]), "/" + "".join(rng.choice("xyz/") for _ in range(rng.randint(0, 5)))) for _ in range(3600)
+    )}.values())[:3000]
+    globs = [f"*{rng.choice(names)}.*^*{rng.choice('pqr')}{rng.choice('pqr')}*" for _ in range(500)]
+    urls = [f"http://{rng.choice(['', 'a.', 'b.c.'])}{rng.choice(names)}{rng.choice(['', '.net', '.org'])}/{''.join(rng.choice('xyzpqr/') for _ in range(8))}" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in uf.judge_urls(df, "page_id", "url", rules, globs).collect()}
+    for i, u in enumerate(urls):
+        host, _, path = u.removeprefix("http://").partition("/")
+        path = "/" + path
+        fit = [r for r in rules if ("." + host).endswith("." + r[1]) and path.startswith(r[2])]
+        if fit:
+            longest = max(len(r[1] + r[2]) for r in fit)
+            assert got[i] in {(r[1] + r[2], r[0]) for r in fit if len(r[1] + r[2]) == longest}
+        else:
+            hit = any(fnmatch.fnmatchcase("." + host + "\x01" + path, g.replace("^", "\x01")) for g in globs)
+            assert got[i] == (None, "block" if hit else "allow")
