@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, line_dedup, near_dedup, packing, pii, sharding, token_files, url_filter
+from . import decontaminate, exact_dedup, language, line_dedup, near_dedup, packing, pii, sharding, spelling, token_files, url_filter
 
 QUERIES = {
     "op3_sentence_hash_dedup": line_dedup.op3_sentence_hash_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op2_bit_packed_tokens": token_files.op2_bit_packed_tokens,
     "op6_best_two_fit": packing.op6_best_two_fit,
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
