@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, line_dedup, near_dedup, packing, pii, sharding, spelling, token_files, url_filter
+from . import conversation, decontaminate, exact_dedup, language, line_dedup, near_dedup, occurrence_join, packing, pii, sharding, spelling, token_files, url_filter
 
 QUERIES = {
     "op3_sentence_hash_dedup": line_dedup.op3_sentence_hash_dedup,
@@ -17,9 +17,12 @@ QUERIES = {
     "op6_best_two_fit": packing.op6_best_two_fit,
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op13_occurrence_jaccard_join": occurrence_join.op13_occurrence_jaccard_join,
+    "op12_earley_conversation_repair": conversation.op12_earley_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_radix_exact_dedup": exact_dedup.OP5_SQL,
     "op7_wildcard_url_filter": url_filter.OP7_SQL,
+    "op13_occurrence_jaccard_join": occurrence_join.OP13_SQL,
 }

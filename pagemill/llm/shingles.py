@@ -13,7 +13,7 @@ CACHE_WORDS = 400_000
 
 _WORD = re.compile(r"\w+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_numbers: dict[str, int] = {}
+_numbers: dict[str | bytes, int] = {}
 
 
 def words(text: str | None) -> list[str]:
@@ -27,7 +27,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_numbers(seq: list[str]) -> np.ndarray:
+def word_numbers(seq: list[str] | list[bytes]) -> np.ndarray:
     out = np.empty(len(seq), dtype=np.uint64)
     for at in range(0, len(seq), CACHE_WORDS // 2):
         part = seq[at : at + CACHE_WORDS // 2]
@@ -35,12 +35,13 @@ def word_numbers(seq: list[str]) -> np.ndarray:
             _numbers.clear()
         for w in set(part):
             if w not in _numbers:
-                _numbers[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+                body = w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass")
+                _numbers[w] = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little")
         out[at : at + len(part)] = np.fromiter(map(_numbers.__getitem__, part), dtype=np.uint64, count=len(part))
     return out
 
 
-def shingles(seq: list[str], size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingles(seq: list[str] | list[bytes], size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingles, how often each occurs). A text of fewer words than ``size`` is one shingle."""
     if not seq:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
