@@ -4,13 +4,14 @@ A set of n shingles reaches the similarity with none that shares fewer than T =
 T - 1 at most are set aside as long; a partner stands in one of the others, so only those are sent and grouped.
 
 1. Each text becomes its sorted 64-bit shingles in one pass, which keeps the lowest of them and a sketch. Equal sets are
-   one from here on.
+   one from here on. Texts are read again only for the sets that a step asks for.
 2. Sets that agree in their lowest shingle, then those that agree in their highest, are searched in blocks of at most
    about ``BLOCK`` sets. A block is an inverted index; every set is a query against it. A group of near copies becomes a few
    components here, however large it is.
 3. Short lists: the first n - T + 1 shingles of each set, in an order that puts frequent shingles last. Lists that lie in
    one component join nothing. The others are cut into chunks of bounded size; pairs of sets of different components
-   that length, place and sketch allow are candidates.
+   that length, place and sketch allow are candidates. Sketches are parities: what two sets differ by is at least what
+   their sketches do.
 4. Candidates of a set are searched in blocks again. A search merges the short lists of a block by a heap and skips what
    cannot occur often enough; what has occurred is probed for in the long ones by binary search, and kept if it reaches
    the overlap that the similarity asks of both sizes. Only such occurrences become links.
@@ -40,10 +41,12 @@ BLOCK, CHUNK = 128, 256
 FREQUENT, MOST_FREQUENT = 32, 1 << 17
 #: Weight of a long list's probe against a merge step, by which DivideSkip parts short from long lists.
 PROBE = 0.01
-#: Bits of a set's sketch.
-SKETCH = 512
-#: Lists up to this length are paired entry by entry, longer ones as matrices.
+#: Bits of the sketch in a list's entries; a set's own has up to ``MOST_BITS``, two at least for each shingle.
+SKETCH, MOST_BITS = 512, 1 << 16
+#: Lists up to this length are paired many at a time, longer ones each as a matrix.
 SHORT = 12
+#: Rows of a table of ids that is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -125,9 +128,21 @@ class Block:
                     heapq.heappush(heap, (holders[start], start, end))
 
 
-def _sketch(items: np.ndarray) -> bytes:
-    """Parities of the shingles by their last bits: two sets differ in as many shingles at least as sketches in bits."""
-    return np.packbits((np.bincount((items & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+def sketch(items: np.ndarray) -> bytes:
+    """Parities of the shingles by their last bits, two bits at least for each shingle up to ``MOST_BITS``."""
+    bits = min(MOST_BITS, max(SKETCH, 1 << (2 * len(items) - 1).bit_length())) if len(items) else SKETCH
+    return np.packbits((np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(own: bytes, size: int) -> np.ndarray:
+    """A sketch of ``size`` bytes: of a larger one, parities of what falls together."""
+    whole = np.frombuffer(own, np.uint8)
+    return np.bitwise_xor.reduce(whole.reshape(-1, size), axis=0)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` (materialised), marked for broadcast if its size is known to allow it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -143,7 +158,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
                 prefix = len(items) - least_overlap(len(items), percent)
                 lows.append(items[: prefix + prefix // 2 + 2].view(np.int64))
                 highs.append(int(items[-1:].view(np.int64).sum()))
-                sketches.append(_sketch(items))
+                sketches.append(sketch(items))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(lows, pa.list_(pa.int64())),
@@ -203,7 +218,7 @@ def _block_links(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     # a group larger than a block is dealt by the key's own hash of its members, so that the next key mixes it anew
     block = F.xxhash64("key", F.pmod(F.xxhash64("key", "uid"), F.col("blocks")))
     dealt = materialize(placed.join(keys, "key").select(block.alias("block"), "uid", "component"), "dealt")
-    rows = dealt.join(sets.select("uid", "text"), "uid").select("block", "uid", "component", "text")
+    rows = sets.select("uid", "text").join(few(dealt), "uid").select("block", "uid", "component", "text")
     found = materialize(
         rows.repartition("block").sortWithinPartitions("block", "uid").mapInArrow(lambda b: _in_blocks(b, percent), "a bigint, b bigint"),
         "links",
@@ -212,111 +227,164 @@ def _block_links(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     return found
 
 
-def _frequent(lows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, occurrences among the lowest ones), at most ``MOST_FREQUENT``: any such list gives right results."""
-    found = (
-        lows.select(F.explode("lows").alias("item")).groupBy("item").agg(F.count("*").alias("c"))
-        .filter(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "item").limit(MOST_FREQUENT).toPandas()
-    )
+def _counted(sets: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """Shingles that occur twice or more among the lowest ones of all sets, materialised; and the frequent of them.
+
+    Those are at most ``MOST_FREQUENT`` (shingles, occurrences); whichever are put last, results are the same.
+    """
+    often = materialize(
+        sets.select(F.explode("lows").alias("item")).groupBy("item").agg(F.count("*").alias("c")).filter("c > 1"), "often"
+    )
+    found = often.filter(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "item").limit(MOST_FREQUENT).toPandas()
     items = found["item"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(items)
-    return items[order], found["c"].to_numpy(dtype=np.int64)[order]
+    return often, (items[order], found["c"].to_numpy(dtype=np.int64)[order])
+
 
+def _short_lists(sets: DataFrame, texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[DataFrame, DataFrame]:
+    """(item, uid, place): entries of the short lists of ``sets`` (uid, n, lows); and those read from ``texts`` (uid, text), materialised.
 
-def _prefixes(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """(item, uid, component, n, place): the short lists' entries of ``sets`` (uid, component, n, lows, text)."""
+    The lowest shingles do for most sets. A set that has too few beside frequent ones is read again from its text, and
+    frequent ones come last, the rarest of them first.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(frequent)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def occurrences(items: np.ndarray) -> np.ndarray:
         often, counts = shared.value
+        if not len(often):
+            return np.zeros(len(items), np.int64)
+        at = np.minimum(np.searchsorted(often, items), len(often) - 1)
+        return np.where(often[at] == items, counts[at], 0)
+
+    def entries(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        uids = np.repeat([uid for uid, _ in found], [len(x) for _, x in found]).astype(np.int64)
+        items = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.uint64)
+        places = np.concatenate([np.arange(len(x)) for _, x in found]) if found else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(items.view(np.int64)), pa.array(uids), pa.array(places)], names=["item", "uid", "place"])
+
+    def lowest(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+        for uid, n, lows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            items = np.asarray(lows.values, dtype=np.int64).view(np.uint64)
+            yield uid, n - least_overlap(n, percent) + 1, items[occurrences(items) == 0]
+
+    def from_lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield entries([(uid, rare[:length]) for uid, length, rare in lowest(batch) if len(rare) >= length])
 
-        def occurrences(items: np.ndarray) -> np.ndarray:
-            if not len(often):
-                return np.zeros(len(items), np.int64)
-            at = np.minimum(np.searchsorted(often, items), len(often) - 1)
-            return np.where(often[at] == items, counts[at], 0)
+    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([uid for uid, length, rare in lowest(batch) if len(rare) < length], pa.int64())], names=["uid"])
 
+    def from_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for uid, component, n, lows, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4), strict=True):
-                length = n - least_overlap(n, percent) + 1
-                items = np.asarray(lows.values, dtype=np.int64).view(np.uint64)
-                rare = items[occurrences(items) == 0]
-                if len(rare) < length:  # the lowest don't do: all of them, frequent ones last
-                    items = shingle_set(text.as_py())
-                    rare = items[np.lexsort((items, occurrences(items)))]
-                for column, value in zip(out, (rare[:length].view(np.int64), uid, component, n, np.arange(length)), strict=True):
-                    column.append(np.broadcast_to(np.asarray(value, np.int64), length))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["item", "uid", "component", "n", "place"])
-
-    return sets.select("uid", "component", "n", "lows", "text").mapInArrow(
-        emit, "item bigint, uid bigint, component bigint, n bigint, place bigint"
-    )
+            found = []
+            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                items = shingle_set(text.as_py())
+                order = np.lexsort((items, occurrences(items)))
+                found.append((uid, items[order[: len(items) - least_overlap(len(items), percent) + 1]]))
+            yield entries(found)
+
+    entry = "item bigint, uid bigint, place bigint"
+    low = sets.select("uid", "n", "lows")
+    asked = materialize(low.mapInArrow(lacking, "uid bigint"), "lacking")
+    read = materialize(texts.join(few(asked), "uid").mapInArrow(from_text, entry), "entries")
+    discard(asked)
+    return low.mapInArrow(from_lows, entry), read
+
+
+def _pairs_of(lengths: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs within lists of up to ``SHORT`` entries."""
+    left, right = [], []
+    for c in range(2, SHORT + 1):
+        at = starts[lengths == c]
+        i, j = np.triu_indices(c, 1)
+        left.append((at[:, None] + i).ravel())
+        right.append((at[:, None] + j).ravel())
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _paired(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Chunks (one, other) of lists to the pairs (a, b) that may reach the similarity; other: null for those within one."""
 
-    def fits(x: dict, y: dict) -> bool:
-        n, m = x["n"], y["n"]
-        need = needed(n, m, percent)
-        return (
-            x["component"] != y["component"] and min(n - x["place"], m - y["place"]) >= need
-            and n + m - 2 * need >= (x["bits"] ^ y["bits"]).bit_count()
-        )
-
-    def matrix(rows: list[dict]) -> tuple[np.ndarray, ...]:
-        whole = [np.array([r[k] for r in rows]) for k in ("uid", "component", "n", "place")]
-        return *whole, np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint64).reshape(len(rows), -1)
+    def columns(lists: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        flat = lists.flatten()
+        numbers = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        bits = np.frombuffer(b"".join(flat.field(4).to_pylist()), np.uint64).reshape(len(flat), -1) if len(flat) else np.zeros((0, SKETCH // 64), np.uint64)
+        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return lengths, numbers, bits
+
+    def fitting(x: list[np.ndarray], sx: np.ndarray, i: np.ndarray, y: list[np.ndarray], sy: np.ndarray, j: np.ndarray) -> set[tuple[int, int]]:
+        (uid, c, n, p), (uid2, c2, n2, p2) = x, y
+        need = -(-percent * (n[i] + n2[j]) // (100 + percent))
+        ok = (c[i] != c2[j]) & (np.minimum(n[i] - p[i], n2[j] - p2[j]) >= need)
+        i, j, need = i[ok], j[ok], need[ok]
+        ok = n[i] + n2[j] - 2 * need >= np.bitwise_count(sx[i] ^ sy[j]).sum(axis=1, dtype=np.int64)
+        a, b = uid[i[ok]], uid2[j[ok]]
+        return set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
 
     for batch in batches:
-        found: set[tuple[int, int]] = set()
-        for one, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if len(one) <= SHORT and other is None:
-                for r in one:
-                    r["bits"] = int.from_bytes(r["sketch"])
-                found.update(
-                    (min(x["uid"], y["uid"]), max(x["uid"], y["uid"])) for k, x in enumerate(one) for y in one[:k] if fits(x, y)
-                )
-                continue
-            uid, c, n, p, s = matrix(one)
-            uid2, c2, n2, p2, s2 = matrix(other or one)
-            both = n[:, None] + n2
-            need = -(-percent * both // (100 + percent))
-            ok = (c[:, None] != c2) & (np.minimum((n - p)[:, None], n2 - p2) >= need)
-            i, j = np.nonzero(ok if other else np.tril(ok, -1))
-            apart = np.bitwise_count(s[i] ^ s2[j]).sum(axis=1, dtype=np.int64)
-            near = both[i, j] - 2 * need[i, j] >= apart
-            a, b = uid[i[near]], uid2[j[near]]
-            found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+        lengths, x, sx = columns(batch.column(0))
+        lengths2, y, sy = columns(batch.column(1))
+        starts, starts2 = np.cumsum(lengths) - lengths, np.cumsum(lengths2) - lengths2
+        alone = lengths2 == 0
+        i, j = _pairs_of(np.where(alone, lengths, 0), starts)
+        found = fitting(x, sx, i, x, sx, j)
+        for k in np.flatnonzero(~alone | (lengths > SHORT)):
+            if alone[k]:
+                i, j = np.triu_indices(lengths[k], 1)
+                found |= fitting(x, sx, i + starts[k], x, sx, j + starts[k])
+            else:
+                i, j = np.divmod(np.arange(lengths[k] * lengths2[k]), lengths2[k])
+                found |= fitting(x, sx, i + starts[k], y, sy, j + starts2[k])
         a, b = zip(*found, strict=True) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _candidates(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+def _sketched(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, n, m, sketch, other) to those whose whole sketches allow the similarity."""
+    for batch in batches:
+        ok = []
+        for n, m, one, other in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+            size = min(len(one), len(other))
+            apart = int(np.bitwise_count(folded(one, size) ^ folded(other, size)).sum(dtype=np.int64))
+            ok.append(n + m - 2 * needed(n, m, percent) >= apart)
+        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+
+def _candidates(sets: DataFrame, singles: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets of different components that share a short list and may reach the similarity, materialised."""
+    often, frequent = _counted(sets)
+    mine = sets.select("uid", "n", "lows").join(few(singles), "uid")
+    low, read = _short_lists(mine, sets.select("uid", "text"), frequent, percent)
+    # an item of one set's lowest only joins nothing, unless a set that was read from its text has it
+    joining = often.select("item").unionByName(read.select("item")).distinct()
+    shared = materialize(low.unionByName(read).join(joining, "item"), "shared")
+    lists = shared.join(singles, "uid")
     mixed = materialize(
-        prefixes.groupBy("item").agg(F.count("*").alias("c"), F.min("component").alias("c1"), F.max("component").alias("c2"))
+        lists.groupBy("item").agg(F.count("*").alias("c"), F.min("component").alias("c1"), F.max("component").alias("c2"))
         .filter("c1 < c2").select("item", F.ceil(F.col("c") / F.lit(CHUNK)).alias("chunks")),
         "lists",
     )
-    entries = materialize(prefixes.join(mixed, "item"), "entries")
-    involved = entries.select("uid").distinct()
-    sketches = sets.select("uid", "sketch").join(involved, "uid")
+    entries = materialize(lists.join(mixed, "item"), "entries")
+    fold = F.udf(lambda own: folded(own, SKETCH // 8).tobytes(), "binary", useArrow=True)
+    involved = materialize(entries.select("uid").distinct(), "involved")
+    own = materialize(sets.select("uid", "n", "sketch").join(few(involved), "uid"), "sketches")
     entry = F.struct("uid", "component", "n", "place", "sketch")
     chunks = materialize(
-        entries.join(sketches, "uid").withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")))
+        entries.join(own.withColumn("sketch", fold("sketch")), "uid").withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")))
         .groupBy("item", "chunks", "chunk").agg(F.collect_list(entry).alias("list")),
         "chunks",
     )
     cut = chunks.filter("chunks > 1")
     across = cut.join(cut.select("item", F.col("chunk").alias("next"), F.col("list").alias("other")), "item").filter("chunk < next")
     within = chunks.withColumn("other", F.lit(None).cast(chunks.schema["list"].dataType)).filter(F.size("list") > 1)
-    pairs = within.select("list", "other").unionByName(across.select("list", "other"))
-    found = materialize(pairs.mapInArrow(lambda b: _paired(b, percent), "a bigint, b bigint").distinct(), "pairs")
-    discard(mixed, entries, chunks)
-    return found
+    paired = within.select("list", "other").unionByName(across.select("list", "other"))
+    found = materialize(paired.mapInArrow(lambda b: _paired(b, percent), "a bigint, b bigint").distinct(), "pairs")
+    one, other = (own.select(F.col("uid").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab")
+    both = found.join(one, "a").join(other, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    kept = materialize(both.mapInArrow(lambda b: _sketched(b, percent), "a bigint, b bigint"), "pairs")
+    discard(often, read, shared, mixed, entries, involved, chunks, found, own)
+    return kept
 
 
 def _searched(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -344,7 +412,8 @@ def _searched(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 def _search(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets reach the similarity, materialised: a is the query, blocks of its b's are indexed."""
     parts = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts")), "queries")
-    texts = sets.select("uid", "text")
+    asked = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "uid"), "asked")
+    texts = materialize(sets.select("uid", "text").join(few(asked), "uid"), "texts")
     part = F.pmod(F.xxhash64("b"), F.col("parts"))
     indexed = pairs.join(parts, "a").select("a", part.alias("part"), "b").join(texts.withColumnRenamed("uid", "b"), "b")
     queries = parts.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")).join(
@@ -356,7 +425,7 @@ def _search(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         .mapInArrow(lambda b: _searched(b, percent), "a bigint, b bigint"),
         "links",
     )
-    discard(parts)
+    discard(parts, asked, texts)
     return found
 
 
@@ -396,11 +465,9 @@ def shingle_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         links = found if links is None else links.unionByName(found)
         discard(placed)
     singles = materialize(_labelled(one_each, links), "singles")
-    frequent = _frequent(sets.join(one_each, "uid").select("lows"))
-    prefixes = materialize(_prefixes(sets.join(singles, "uid"), frequent, percent), "prefixes")
-    pairs = _candidates(sets, prefixes, percent)
+    pairs = _candidates(sets, singles, percent)
     links = links.unionByName(_search(sets, pairs, percent))
-    discard(prefixes, pairs, singles)
+    discard(pairs, singles)
     labelled = materialize(_labelled(members.withColumnRenamed("uid", "own").withColumnRenamed("first", "uid"), links), "labelled")
     least = materialize(labelled.groupBy("component").agg(F.min("id").alias("least")), "components")
     return labelled.join(least, "component").select(
@@ -415,10 +482,10 @@ def op13_occurrence_jaccard_join(spark, sf_dir):
 OP13_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), sets AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words
 ), shingles AS MATERIALIZED (
   SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
 ), links AS MATERIALIZED (

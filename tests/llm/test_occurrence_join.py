@@ -90,9 +90,9 @@ def test_block_search_finds_what_reaches_the_overlap(percent):
             assert set(index.search(x, percent, after)) == want
 
 
-@pytest.mark.parametrize(("block", "chunk", "frequent", "short"), [(128, 256, 32, 12), (2, 3, 2, 2), (4, 5, 6, 0)])
-def test_against_brute_force(spark, monkeypatch, block, chunk, frequent, short):
-    for name, value in (("BLOCK", block), ("CHUNK", chunk), ("FREQUENT", frequent), ("SHORT", short)):
+@pytest.mark.parametrize(("block", "chunk", "frequent", "rows"), [(128, 256, 32, 10**6), (2, 3, 2, 0), (4, 40, 6, 10)])
+def test_against_brute_force(spark, monkeypatch, block, chunk, frequent, rows):
+    for name, value in (("BLOCK", block), ("CHUNK", chunk), ("FREQUENT", frequent), ("BROADCAST_ROWS", rows)):
         monkeypatch.setattr(oj, name, value)
     rows = texts(block, 40, 12)
     rows += [(5, None), (6, ""), (7, " \t\n"), (8, "One"), (9, "oNE"), (10, "one two"), (11, "one\ttwo "), (None, "One"), (None, "a b c d"), (12, "ß Ä"), (13, "ß ä")]
@@ -100,6 +100,17 @@ def test_against_brute_force(spark, monkeypatch, block, chunk, frequent, short):
     assert got(oj.shingle_components(frame(spark, rows))) == brute(rows)
 
 
+def test_sketches_bound_the_difference():
+    r = np.random.default_rng(5)
+    for n in (1, 3, 200, 900, 40_000):
+        x = np.unique(r.integers(0, 1 << 62, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[r.random(len(x)) < 0.9], r.integers(0, 1 << 62, n // 9, dtype=np.uint64)]))
+        one, other = oj.sketch(x), oj.sketch(y)
+        apart = len(np.setxor1d(x, y))
+        for size in (64, min(len(one), len(other))):
+            assert int(np.bitwise_count(oj.folded(one, size) ^ oj.folded(other, size)).sum()) <= apart
+
+
 def test_chains_are_followed_and_the_threshold_is_exact(spark):
     words = [f"w{k}" for k in range(102)]  # 100 shingles
     rows = [(1, " ".join(words))]
