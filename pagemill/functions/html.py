@@ -1,36 +1,10 @@
-"""Reading one page's markup: a small tree, and what is taken from it. Used inside Arrow tasks, one page at a time."""
+"""A page's rows as a small tree, for selectors that are looked up one page at a time."""
 
 from __future__ import annotations
 
-import json
 import re
-from html.parser import HTMLParser
-from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Tags that a new tag of the same kind closes, up to the nearest of the containers.
-CLOSES = {
-    "p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"),
-    "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",), "thead": ("tr", "td", "th"),
-    "tbody": ("thead", "tr", "td", "th", "p"), "tfoot": ("tbody", "tr", "td", "th", "p"),
-}
-BLOCK_TAGS = frozenset(
-    "address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main "
-    "menu nav ol pre section table ul".split()
-)
-SCOPES = frozenset("table ul ol dl td th body html div article section main".split())
-SKIPPED = frozenset(
-    "script style noscript template svg nav footer header aside form button input select textarea iframe".split()
-)
-KINDS = {
-    "p": "paragraph", "li": "list_item", "dt": "list_item", "dd": "list_item", "pre": "code", "blockquote": "quote",
-    "table": "table", "figure": "figure", **{f"h{n}": "heading" for n in range(1, 7)},
-}
-MAIN_CLASSES = ("docs-content", "docs-post-content", "markdown-body", "article-body", "post-content")
-MAX_BLOCKS, MAX_TEXT, MAX_LINKS = 400, 8000, 32
-MAX_TABLES, MAX_ROWS, MAX_COLUMNS, MAX_CELL = 40, 200, 40, 2000
-MAX_MEDIA = 32
-DOWNLOADS = re.compile(r"\.(pdf|zip|gz|docx?|xlsx?|pptx?|csv|epub)$", re.I)
+from .markup import tokenize
 
 
 class Node:
@@ -48,9 +22,6 @@ class Node:
             yield node
             stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
-    def find(self, *tags: str):
-        return (n for n in self.walk() if n.tag in tags)
-
     def text(self, skip=frozenset()) -> str:
         out, stack = [], [self]
         while stack:
@@ -61,355 +32,17 @@ class Node:
                 stack += reversed(node.children)
         return "".join(out)
 
-    def within(self, tag: str) -> Node | None:
-        node = self.parent
-        while node and node.tag != tag:
-            node = node.parent
-        return node
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", {}, None)
-
-    def _close(self, tags) -> None:
-        """Close open elements of ``tags`` that no container separates from here."""
-        node = self.at
-        while node.parent:
-            if node.tag in tags:
-                self.at = node.parent
-            elif node.tag in SCOPES:
-                break
-            node = node.parent
-
-    def handle_starttag(self, tag, attrs):
-        if tag in CLOSES:
-            self._close(CLOSES[tag])
-        elif tag in BLOCK_TAGS:
-            self._close(("p",))
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.at.tag == tag:
-            self.at = self.at.parent
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent and node.tag != tag:
-            node = node.parent
-        if node.parent:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
 
 def build_tree(html: str | None) -> Node:
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
+    root = Node("#root", {}, None)
+    made = {-1: root}
+    for pos, _, parent, _, _, tag, attrs, _, text, _ in tokenize(html, None):
+        above = made[parent]
+        if text is None:
+            made[pos] = Node(tag, attrs, above)
+        above.children.append(made[pos] if text is None else text)
+    return root
 
 
 def squeeze(text: str | None) -> str:
     return re.sub(r"\s+", " ", text or "").strip()
-
-
-def absolute(href: str | None, base: str) -> str | None:
-    """An http address resolved against the page, its path percent-encoded; null for anything else."""
-    href = (href or "").strip()
-    if not href or href.startswith("#") or re.match(r"(?i)(javascript|mailto|tel|data):", href):
-        return None
-    try:
-        parts = urlsplit(urljoin(base, href))
-    except ValueError:
-        return None
-    if parts.scheme not in ("http", "https") or not parts.netloc:
-        return None
-    safe = "%/:=&?~#+!$,;'@()*[]"
-    return urlunsplit((parts.scheme, parts.netloc.lower(), quote(parts.path, safe) or "/", quote(parts.query, safe), ""))
-
-
-def selector_of(node: Node, unique: dict[str, int]) -> str:
-    path = []
-    while node.parent:
-        name = node.attrs.get("id")
-        if name and unique.get(name) == 1:
-            path.append(f"#{name}")
-            break
-        same = [c for c in node.parent.children if isinstance(c, Node) and c.tag == node.tag]
-        path.append(f"{node.tag}:nth-of-type({same.index(node) + 1})")
-        node = node.parent
-    return " > ".join(reversed(path))
-
-
-def main_content(root: Node) -> Node:
-    """The element that holds the page's own text; the body, else everything, if none stands out."""
-
-    def good(n: Node) -> bool:
-        size = len(n.text().strip())
-        return size > 200 or (size > 120 and sum(1 for _ in n.find("h2", "h3", "a")) >= 4)
-
-    nodes = list(root.walk())
-    tests = [
-        lambda n: n.tag == "article", lambda n: n.attrs.get("role") == "main", lambda n: n.tag == "main",
-        *[lambda n, c=c: c in n.attrs.get("class", "").split() for c in MAIN_CLASSES],
-        lambda n: n.attrs.get("id") in ("main-content", "content", "docs"),
-    ]
-    for test in tests:
-        first = next((n for n in nodes if test(n)), None)
-        if first and good(first):
-            return first
-    return next((n for n in nodes if n.tag == "body"), root)
-
-
-def blocks_of(content: Node, base: str, unique: dict[str, int]) -> list[dict]:
-    out: list[dict] = []
-    stack = [c for c in reversed(content.children) if isinstance(c, Node)]
-    while stack and len(out) < MAX_BLOCKS:
-        node = stack.pop()
-        if node.tag in SKIPPED:
-            continue
-        kind = KINDS.get(node.tag)
-        if not kind:
-            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
-            continue
-        text = squeeze(node.text())
-        if text:
-            links, seen = [], set()
-            for a in node.find("a"):
-                href = absolute(a.attrs.get("href"), base)
-                if href and href not in seen and len(links) < MAX_LINKS:
-                    seen.add(href)
-                    links.append({"text": squeeze(a.text()), "href": href})
-            out.append({
-                "type": kind, "text": text[:MAX_TEXT], "links": links, "selector": selector_of(node, unique),
-                "level": int(node.tag[1]) if kind == "heading" else None,
-            })
-    return out
-
-
-def _own_rows(table: Node) -> list[Node]:
-    return [r for r in table.find("tr") if r.within("table") is table]
-
-
-def _cells(row: Node) -> list[Node]:
-    return [c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")]
-
-
-def tables_of(content: Node, unique: dict[str, int]) -> list[dict]:
-    """Data tables: those that hold no other table, with a header or more than one column."""
-    out = []
-    for table in content.find("table"):
-        if len(out) >= MAX_TABLES:
-            break
-        rows = [r for r in _own_rows(table) if _cells(r)]
-        if not rows or any(True for _ in table.find("table")):
-            continue
-        heads = [r for r in rows if r.within("thead")]
-        if not heads and all(c.tag == "th" for c in _cells(rows[0])):
-            heads = rows[:1]
-        values = [[squeeze(c.text())[:MAX_CELL] for c in _cells(r)][:MAX_COLUMNS] for r in rows if r not in heads][:MAX_ROWS]
-        headers = [squeeze(c.text())[:MAX_CELL] for c in _cells(heads[0])][:MAX_COLUMNS] if heads else []
-        if headers or max(map(len, values), default=0) >= 2:
-            caption = next(table.find("caption"), None)
-            out.append({
-                "caption": squeeze(caption.text()) if caption else "", "headers": headers, "rows": values,
-                "selector": selector_of(table, unique),
-            })
-    return out
-
-
-def media_of(content: Node, base: str) -> list[dict]:
-    """Pictures, clips and files, each with the nearest heading before it."""
-    out, seen, heading = [], set(), None
-    for n in content.walk():
-        if KINDS.get(n.tag) == "heading":
-            heading = squeeze(n.text()) or heading
-            continue
-        srcset = n.attrs.get("srcset", "").split(",")[0].split()
-        source = n.attrs.get("src") or (srcset[0] if srcset else None)
-        kind = {"img": "image", "video": "video", "audio": "audio", "source": "source"}.get(n.tag)
-        if n.tag == "a" and DOWNLOADS.search(re.sub(r"[?#].*", "", n.attrs.get("href", ""))):
-            kind, source = "download", n.attrs.get("href")
-        url = absolute(source, base) if kind else None
-        if url and url not in seen and len(out) < MAX_MEDIA:
-            seen.add(url)
-            alt = squeeze(n.attrs.get("alt") or n.attrs.get("title") or (n.text() if kind == "download" else ""))
-            out.append({"url": url, "kind": kind, "alt": alt or None, "heading": heading})
-    return out
-
-
-def links_of(root: Node, base: str) -> list[dict]:
-    """Every anchor's address once (whatever its case), with its text."""
-    out, seen = [], set()
-    for a in root.find("a"):
-        url = absolute(a.attrs.get("href"), base)
-        if url and url.lower() not in seen:
-            seen.add(url.lower())
-            out.append({"url": url, "title": squeeze(a.text())[:120]})
-    return out
-
-
-def metadata_of(root: Node, base: str) -> dict:
-    metas = [n.attrs for n in root.find("meta")]
-
-    def meta(key: str, value: str) -> str | None:
-        return next((squeeze(m.get("content")) for m in metas if m.get(key, "").lower() == value), None) or None
-
-    ld: dict = {}
-    for script in root.find("script"):
-        if script.attrs.get("type") == "application/ld+json" and not ld:
-            try:
-                data = json.loads(script.text())
-            except ValueError:
-                continue
-            for item in data if isinstance(data, list) else [data, *((data.get("@graph") or []) if isinstance(data, dict) else [])]:
-                if isinstance(item, dict) and not ld and (item.get("datePublished") or item.get("author")):
-                    who = item.get("author")
-                    ld = {"date": item.get("datePublished"), "author": who.get("name") if isinstance(who, dict) else who}
-    page = next(root.find("html"), root)
-    title = next(root.find("title"), None)
-    by = next((n for n in root.walk() if n.attrs.get("rel") == "author"), None)
-    time = next((n for n in root.find("time") if n.attrs.get("datetime")), None)
-    canonical = next((n.attrs.get("href") for n in root.find("link") if n.attrs.get("rel") == "canonical"), None)
-    return {
-        "title": squeeze(title.text()) if title else None,
-        "lang": squeeze(page.attrs.get("lang")) or None,
-        "published": meta("property", "article:published_time") or meta("itemprop", "datepublished") or meta("name", "date")
-        or meta("name", "dc.date") or squeeze(str(ld.get("date") or "")) or (squeeze(time.attrs["datetime"]) if time else None),
-        "author": meta("name", "author") or meta("property", "article:author") or squeeze(str(ld.get("author") or ""))
-        or (squeeze(by.text()) if by else None),
-        "canonical": absolute(canonical, base),
-        "og_title": meta("property", "og:title") or meta("name", "title"),
-        "og_image": absolute(meta("property", "og:image"), base),
-        "description": meta("property", "og:description") or meta("name", "description"),
-    }
-
-
-# markdown
-
-
-def _inline(node: Node, base: str) -> str:
-    out = []
-    for c in node.children:
-        if isinstance(c, str):
-            out.append(re.sub(r"\s+", " ", c))
-        elif c.tag == "br":
-            out.append("  \n")
-        elif c.tag == "img":
-            url = absolute(c.attrs.get("src"), base)
-            out.append(f"![{squeeze(c.attrs.get('alt'))}]({url})" if url else "")
-        elif c.tag in SKIPPED:
-            continue
-        else:
-            text = _inline(c, base)
-            bare = text.strip()
-            url = absolute(c.attrs.get("href"), base) if c.tag == "a" else None
-            mark = {"b": "**", "strong": "**", "i": "_", "em": "_", "code": "`"}.get(c.tag)
-            if url and bare:
-                out.append(f"[{bare}]({url})")
-            elif mark and bare:
-                out.append(text.replace(bare, f"{mark}{bare}{mark}", 1))
-            else:
-                out.append(text)
-    return "".join(out)
-
-
-def _table_lines(table: Node) -> list[str]:
-    rows = [[squeeze(c.text()).replace("|", "\\|") for c in _cells(r)] for r in _own_rows(table)]
-    rows = [r for r in rows if r]
-    width = max(map(len, rows), default=0)
-    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-    return [*lines[:1], "| " + " | ".join(["---"] * width) + " |", *lines[1:]] if lines else []
-
-
-def markdown_of(node: Node, base: str) -> list[str]:
-    """Markdown blocks of an element, to be joined by blank lines."""
-    out: list[str] = []
-    loose: list[Node | str] = []
-
-    def flush() -> None:
-        if loose:
-            text = _inline(_wrap(loose), base).strip()
-            if text:
-                out.append(text)
-            loose.clear()
-
-    for c in node.children:
-        if isinstance(c, str) or (c.tag not in BLOCK_TAGS and c.tag not in KINDS and not _holds_block(c)):
-            if isinstance(c, str) or c.tag not in SKIPPED:
-                loose.append(c)
-            continue
-        flush()
-        if c.tag in SKIPPED:
-            continue
-        if KINDS.get(c.tag) == "heading":
-            text = squeeze(_inline(c, base))
-            out += [f"{'#' * int(c.tag[1])} {text}"] if text else []
-        elif c.tag == "pre":
-            out.append("```\n" + c.text().strip("\n") + "\n```")
-        elif c.tag == "blockquote":
-            inner = "\n\n".join(markdown_of(c, base))
-            out += ["\n".join(("> " + line).rstrip() for line in inner.split("\n"))] if inner else []
-        elif c.tag == "table":
-            out += ["\n".join(_table_lines(c))] if _own_rows(c) else []
-        elif c.tag in ("ul", "ol"):
-            items = []
-            for place, item in enumerate((x for x in c.children if isinstance(x, Node) and x.tag == "li"), 1):
-                mark = "*   " if c.tag == "ul" else f"{place}.  "
-                inner = "\n".join(markdown_of(item, base))
-                items.append(mark + inner.replace("\n", "\n    "))
-            out += ["\n".join(items)] if items else []
-        elif c.tag == "hr":
-            out.append("* * *")
-        else:
-            out += markdown_of(c, base)
-    flush()
-    return out
-
-
-def _wrap(children: list) -> Node:
-    node = Node("span", {}, None)
-    node.children = list(children)
-    return node
-
-
-def _holds_block(node: Node) -> bool:
-    return any(n.tag in BLOCK_TAGS or n.tag in KINDS for n in node.walk())
-
-
-def read_page(html: str | None, url: str | None, wanted: frozenset[str]) -> dict:
-    """What ``wanted`` names of: meta, blocks, tables, media, links, markdown."""
-    root, base = build_tree(html), url or ""
-    content = main_content(root)
-    unique: dict[str, int] = {}
-    if wanted & {"blocks", "tables"}:
-        for n in root.walk():
-            if n.attrs.get("id"):
-                unique[n.attrs["id"]] = unique.get(n.attrs["id"], 0) + 1
-    out: dict = {}
-    if "meta" in wanted:
-        out["meta"] = metadata_of(root, base)
-    if "blocks" in wanted:
-        out["blocks"] = blocks_of(content, base, unique)
-    if "tables" in wanted:
-        out["tables"] = tables_of(content, unique)
-    if "media" in wanted:
-        out["media"] = media_of(content, base)
-    if "links" in wanted:
-        out["links"] = links_of(root, base)
-    if "markdown" in wanted:
-        try:
-            body = "\n\n".join(markdown_of(content, base))
-        except RecursionError:  # nested beyond any real page: its plain text
-            body = squeeze(content.text(SKIPPED))
-        title = metadata_of(root, base)["title"]
-        lead = f"# {title}\n\n" if title and f"# {title}" not in body else ""
-        out["markdown"] = re.sub(r"\n{3,}", "\n\n", lead + body).strip()
-    return out

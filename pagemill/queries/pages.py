@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import article as A
 from ..operators import pages as P
+from ..operators.nodes import CHROME, CONSENT, PROMO, page_nodes, select_nodes, strip, subtree_text
 from ..registry import query, table
 
 #: A table, pictures and metadata in every page, made of its own id and address, so that these operators have input.
@@ -29,35 +31,35 @@ def raw_pages(spark, sf_dir):
 
 @query("page_blocks")
 def page_blocks(spark, sf_dir):
-    return P.page_blocks(rich_pages(spark, sf_dir)).select("page_id", "pos", "type", "text", "selector", "level", F.size("links").alias("links"))
+    return P.page_blocks(page_nodes(rich_pages(spark, sf_dir))).select("page_id", "pos", "type", "text", "selector", "level", F.size("links").alias("links"))
 
 
 @query("page_paragraphs", r"""
 WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS x FROM pages)
-SELECT page_id, CAST(len(list_filter(string_split_regex(x, '<p>'), lambda s: trim(regexp_replace(s, '<[^>]*>|\s+', '', 'g')) <> '' )) - 1 AS INTEGER) AS paragraphs FROM a WHERE length(regexp_replace(x, '<[^>]*>', '', 'g')) > 200
+SELECT page_id, CAST(len(list_filter(string_split_regex(x, '<p>'), lambda s: trim(regexp_replace(s, '<[^>]*>|\s+', '', 'g')) <> '' )) - 1 AS BIGINT) AS paragraphs FROM a
 """)
 def page_paragraphs(spark, sf_dir):
-    """Pages with a main article: how many paragraphs it holds."""
-    df = P.read_pages(raw_pages(spark, sf_dir).withColumn("size", F.length(F.regexp_replace(F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1), "<[^>]*>", ""))), "blocks")
-    paragraphs = F.filter("blocks", lambda b: b["type"] == "paragraph")
-    return df.filter("size > 200").select("page_id", F.size(paragraphs).alias("paragraphs"))
+    """How many paragraphs each page's content holds."""
+    blocks = P.page_blocks(page_nodes(raw_pages(spark, sf_dir)))
+    counts = blocks.filter("type = 'paragraph'").groupBy("page_id").agg(F.count("*").alias("paragraphs"))
+    return table(spark, sf_dir, "pages").select("page_id").join(counts, "page_id", "left").select("page_id", F.coalesce("paragraphs", F.lit(0).cast("bigint")).alias("paragraphs"))
 
 
 @query("page_tables", """
 SELECT page_id, 'T ' || page_id AS caption, 'k,v|w' AS headers, CAST(2 AS INTEGER) AS rows, page_id || ',x ' || (page_id % 9 + 1) || ';only' AS cells FROM pages WHERE html LIKE '%</article>%'
 """)
 def page_tables(spark, sf_dir):
-    df = P.read_pages(rich_pages(spark, sf_dir), "tables").select("page_id", F.explode("tables").alias("t"))
-    cells = F.array_join(F.transform("t.rows", lambda r: F.array_join(r, ",")), ";")
-    return df.select("page_id", "t.caption", F.array_join("t.headers", ",").alias("headers"), F.size("t.rows").alias("rows"), cells.alias("cells"))
+    cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";")
+    found = P.page_tables(page_nodes(rich_pages(spark, sf_dir)))
+    return found.select("page_id", "caption", F.array_join("headers", ",").alias("headers"), F.size("rows").alias("rows"), cells.alias("cells"))
 
 
 @query("page_meta", """
 SELECT page_id, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang, 'A ' || page_id AS author, '2024-01-0' || (page_id % 9 + 1) AS published FROM pages WHERE html LIKE '%</article>%'
 """)
 def page_meta(spark, sf_dir):
-    df = P.read_pages(rich_pages(spark, sf_dir), "meta").filter("meta.author is not null")
-    return df.select("page_id", "meta.lang", "meta.author", "meta.published")
+    found = P.page_meta(page_nodes(rich_pages(spark, sf_dir))).filter("author is not null")
+    return found.select("page_id", "lang", "author", "published")
 
 
 @query("media_refs", """
@@ -66,8 +68,7 @@ SELECT page_id, b || '/m/' || page_id || '.png' AS url, 'image' AS kind, 'pic '
 UNION ALL SELECT page_id, b || '/f/' || page_id || '.pdf', 'download', 'file', 'H ' || page_id FROM a
 """)
 def media_refs(spark, sf_dir):
-    df = P.read_pages(rich_pages(spark, sf_dir).withColumnRenamed("url", "address"), "media", url="address")
-    return df.select("page_id", F.explode("media").alias("m")).select("page_id", "m.*")
+    return P.page_media(page_nodes(rich_pages(spark, sf_dir))).drop("pos")
 
 
 @query("page_links", r"""
@@ -76,10 +77,67 @@ SELECT page_id, count(DISTINCT lower(b || h)) AS links FROM a GROUP BY page_id
 """)
 def page_links(spark, sf_dir):
     """How many different addresses each page links to, whatever their letters."""
-    df = P.read_pages(raw_pages(spark, sf_dir), "links").select("page_id", F.explode("links").alias("l"))
-    return df.groupBy("page_id").agg(F.count("*").alias("links"))
+    return P.page_links(page_nodes(raw_pages(spark, sf_dir))).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
 @query("page_markdown")
 def page_markdown(spark, sf_dir):
-    return P.read_pages(rich_pages(spark, sf_dir), "markdown").select("page_id", "markdown", F.length("markdown").alias("chars"))
+    return P.page_markdown(page_nodes(rich_pages(spark, sf_dir))).select("page_id", "markdown", F.length("markdown").alias("chars"))
+
+
+#: The paragraphs of a page's article element, whose heading precedes them; entities as the reader resolves them.
+_PARAGRAPHS = r"""
+a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS x, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages),
+b AS (SELECT page_id, t, list_filter(list_transform(string_split_regex(x, '<p>|</p>|<h1>|</h1>'),
+  lambda s: trim(regexp_replace(replace(replace(regexp_replace(s, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda s: s <> '') AS ps FROM a)
+"""
+
+
+@query("article_text", f"""
+WITH {_PARAGRAPHS}
+SELECT page_id, true AS ok, 'density' AS method, trim(regexp_replace(replace(replace(t, '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, array_to_string(ps, chr(10) || chr(10)) AS text FROM b
+""")
+def article_text(spark, sf_dir):
+    """The article of every page, found by text density; the ad and the menu beside it stay out."""
+    return A.article_text(raw_pages(spark, sf_dir)).select("page_id", "ok", "method", "title", "text")
+
+
+@query("extraction_failed", """
+SELECT p.page_id, f.page_id AS made, f.page_id = 1 AS spa_stub, 'extraction_failed' AS failure FROM pages p, (VALUES (1), (2)) f(page_id)
+""")
+def extraction_failed(spark, sf_dir):
+    """Each page without its article, once with a mount point for scripts in its place and once with nothing: both fail."""
+    cut = F.regexp_replace("html", r"(?s)<div class=\"ad\">.*<footer>.*</footer>", F.lit(""))
+    made = F.explode(F.array(F.lit(1), F.lit(2))).alias("made")
+    shells = raw_pages(spark, sf_dir).select("page_id", "url", cut.alias("html"), made)
+    mount = F.when(F.col("made") == 1, '<div id="app"></div>').otherwise("")
+    shells = shells.select(F.struct("page_id", "made").alias("page_id"), "url", F.concat("html", mount).alias("html"))
+    found = A.article_text(shells).filter("not ok")
+    return found.select("page_id.page_id", "page_id.made", "spa_stub", "failure")
+
+
+@query("page_strip", r"""
+WITH v AS (SELECT page_id, regexp_replace(html, '(?s)<(style|script|title)>.*?</(style|script|title)>', '', 'g') AS x FROM pages)
+SELECT page_id, length(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '(?s)<nav>.*?</nav>|<footer>.*?</footer>', '', 'g'), '<!--.*?-->|<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '&copy;', '.'), '&middot;', '.'), '\s+', '', 'g'), '\s', '', 'g')) AS chars FROM v
+""")
+def page_strip(spark, sf_dir):
+    """Characters, white space aside, that are left of each page once chrome, consent and promotion are stripped."""
+    left = strip(page_nodes(raw_pages(spark, sf_dir)), (*CHROME, *CONSENT, *PROMO, "head style", "head > script", "title"))
+    chars = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", ""))
+    return left.groupBy("page_id").agg(F.sum(chars).alias("chars"))
+
+
+@query("selector_match", r"""
+WITH n AS (SELECT page_id, 'nav li > a' AS selector, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a [^>]*>([^<]*)</a>', 1)) AS text FROM pages)
+SELECT page_id, selector, text, count(*) AS n FROM n GROUP BY ALL
+UNION ALL SELECT page_id, 'body > div.ad', regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), 1 FROM pages
+""")
+def selector_match(spark, sf_dir):
+    """What two selectors of several steps match in each page: joins of intervals within the page."""
+    nodes = page_nodes(raw_pages(spark, sf_dir))
+    ids = nodes.filter("tag = '#page'").select("page", "page_id")
+    out = None
+    for selector in ("nav li > a", "body > div.ad"):
+        found = subtree_text(nodes, select_nodes(nodes, selector)).withColumn("selector", F.lit(selector))
+        out = found if out is None else out.unionByName(found)
+    return out.join(ids, "page").groupBy("page_id", "selector", "text").agg(F.count("*").alias("n"))
