@@ -54,6 +54,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of ids that are broadcast (a few dozen MB at most); more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A materialised table of ids and numbers, marked for broadcast if its counted size allows it."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
+
+
 def row_uid() -> Column:
     """A row id. Only stable once the frame that holds it has been materialised."""
     return F.monotonically_increasing_id()

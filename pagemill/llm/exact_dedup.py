@@ -5,8 +5,9 @@ a document alone in its group leaves as unique; a group whose texts ended inside
 the other groups are split again by the next digit, each twice as wide as the one before, so that the splits of a text
 are logarithmic in its length. A split is an aggregation by (group, digit), which combines on the map side however large a
 group is; its result is written, then joined back to the rows. As the written side is no part of the join's stage, Spark
-splits a hot digit over tasks (AQE). The joins are sort-merge joins at every size, so that cost grows with the input
-evenly. Only the first split sees all documents, and its aggregation sees their first bytes only.
+splits a hot digit over tasks (AQE). Only the first split sees all documents. It counts their first bytes by a number, and
+only tells the documents whose number is their own from the others: two digits of one number stay together until the next
+split parts them, so it decides no equality. No body is moved for it while the shared numbers are few enough to broadcast.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, row_uid, whole_row
+from .common import discard, few, materialize, read_table, row_uid, whole_row
 
 #: Bytes of the first digit, and how many times wider each further one is.
 FIRST_DIGIT = 128
@@ -29,28 +30,29 @@ def normalized(text: Column) -> Column:
 def split_rows(df: DataFrame, id_col: str, text_col: str, carry: bool) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): the materialised rows with a ``__uid``, and (``__uid``, ``__class``) of those not unique.
 
-    ``rows`` has ``__row`` (the whole row, if ``carry``), ``__id``, ``__sha`` and ``__alone`` (true: unique after the first split).
+    ``rows`` has ``__row`` (the whole row, if ``carry``), ``__id``, ``__sha`` (if not) and ``__alone`` (true: unique after the
+    first split).
     """
     body = F.encode(normalized(F.col(f"`{text_col}`")), "UTF-8")
-    digit = F.substring(body, 1, FIRST_DIGIT)
-    row = whole_row(df) if carry else F.lit(None).cast("int")
+    number = F.xxhash64(F.substring(body, 1, FIRST_DIGIT))
+    row, sha = (whole_row(df), F.lit(None).cast("string")) if carry else (F.lit(None).cast("int"), F.sha2(body, 256))
     source = df.select(
-        row.alias("__row"), F.col(f"`{id_col}`").alias("__id"),
-        F.sha2(body, 256).alias("__sha"), body.alias("__body"), digit.alias("__digit"),
-    )
+        row.alias("__row"), F.col(f"`{id_col}`").alias("__id"), sha.alias("__sha"), body.alias("__body"), number.alias("__digit")
+    )
     shared = materialize(
-        df.select(digit.alias("__digit")).groupBy("__digit").agg(F.count("*").alias("__n")).filter("__n > 1")
+        df.select(number.alias("__digit")).groupBy("__digit").agg(F.count("*").alias("__n")).filter("__n > 1")
         .select("__digit", F.lit(False).alias("__single")),
         "digits",
     )
     alone = F.col("__single").isNull()
     rows = materialize(
-        source.join(shared.hint("merge"), "__digit", "left").select(
+        source.join(few(shared), "__digit", "left").select(
             "__row", "__id", "__sha", alone.alias("__alone"),
             F.when(~alone, F.col("__body")).alias("__body"), row_uid().alias("__uid"),
         ),
         "radix",
     )
+    discard(shared)
     active = rows.filter(~F.col("__alone")).select("__uid", F.lit(0).cast("bigint").alias("__group"), "__body")
     ended: list[DataFrame] = []
     width = FIRST_DIGIT * WIDER
@@ -118,10 +120,9 @@ def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns as they were."""
     rows, classes = split_rows(df, id_col, text_col, carry=True)
-    rows = rows.drop("__body", "__sha")
-    return rows.filter("__alone").select("__row.*").unionByName(
-        _decided(rows, classes).filter("__kept").select("__row.*")
-    )
+    ids = rows.select("__uid", "__id", "__alone")
+    copies = materialize(_decided(ids, classes).filter("not __kept").select("__uid"), "copies")
+    return rows.join(few(copies), "__uid", "left_anti").select("__row.*")
 
 
 def op5_radix_exact_dedup(spark, sf_dir):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, read_table, row_uid
+from .common import discard, few, materialize, read_table, row_uid
 from .components import connected_components
 from .shingles import shingles
 
@@ -45,8 +45,6 @@ PROBE = 0.01
 SKETCH, MOST_BITS = 512, 1 << 16
 #: Lists up to this length are paired many at a time, longer ones each as a matrix.
 SHORT = 12
-#: Rows of a table of ids that is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -140,11 +138,6 @@ def folded(own: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(whole.reshape(-1, size), axis=0)
 
 
-def few(df: DataFrame) -> DataFrame:
-    """``df`` (materialised), marked for broadcast if its size is known to allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _sets(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Materialised rows: id, text, n, digest of the set, lows (more than the prefix), high, sketch, uid."""
 

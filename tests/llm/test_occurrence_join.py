@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
+from pagemill.llm import common
 from pagemill.llm import occurrence_join as oj
 from pagemill.llm.queries import QUERIES
 
@@ -92,8 +93,9 @@ def test_block_search_finds_what_reaches_the_overlap(percent):
 
 @pytest.mark.parametrize(("block", "chunk", "frequent", "rows"), [(128, 256, 32, 10**6), (2, 3, 2, 0), (4, 40, 6, 10)])
 def test_against_brute_force(spark, monkeypatch, block, chunk, frequent, rows):
-    for name, value in (("BLOCK", block), ("CHUNK", chunk), ("FREQUENT", frequent), ("BROADCAST_ROWS", rows)):
+    for name, value in (("BLOCK", block), ("CHUNK", chunk), ("FREQUENT", frequent)):
         monkeypatch.setattr(oj, name, value)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
     rows = texts(block, 40, 12)
     rows += [(5, None), (6, ""), (7, " \t\n"), (8, "One"), (9, "oNE"), (10, "one two"), (11, "one\ttwo "), (None, "One"), (None, "a b c d"), (12, "ß Ä"), (13, "ß ä")]
     rows += rows[:3]
