@@ -10,6 +10,60 @@ def content_hash(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def canonical_json(text: Column, without: str | None = None) -> Column:
+    """An object's JSON without white space, keys in order at every level, top key ``without`` left out; null if it is none.
+
+    Numbers are written by value: 1.50 as 1.5. A key that occurs twice makes it no valid object.
+    """
+    entries = F.map_entries(F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>"))
+    kept = entries if without is None else F.filter(entries, lambda e: e["key"] != without)
+    ordered = F.array_sort(F.transform(kept, lambda e: e["key"]))
+    values = F.map_from_entries(kept)
+    return F.to_json(F.map_from_arrays(ordered, F.transform(ordered, lambda k: F.element_at(values, k))))
+
+
+def recipe_hash(text: Column) -> Column:
+    """Content hash of a recipe: of its canonical JSON, without what is said about its provenance; null if it is no object."""
+    whole = canonical_json(text, "provenance")
+    return F.when(whole.isNotNull(), content_hash(whole))
+
+
+# Names of the two schemes by which recipes are signed, and the algorithm.
+RECIPE_V1, RECIPE_V2, RECIPE_ALG = "playbook-sig-v1", "playbook-sig-v2", "ecdsa-p256-sha256"
+
+
+def recipe_assertion(key_id: Column, recipe: Column, signed_at: Column, score: Column, passes: Column, noise: Column) -> Column:
+    """What a signature of the second scheme covers; a null score or noise is left out."""
+    fields = F.struct(
+        F.lit(RECIPE_ALG).alias("alg"), recipe.alias("contentHash"), key_id.alias("keyId"), signed_at.alias("signedAt"), F.lit(2).alias("v"),
+        F.struct(noise.alias("noiseLeakage"), passes.alias("passesGate"), score.alias("score")).alias("verify"),
+    )
+    return F.concat(F.lit(RECIPE_V2 + "\n"), F.to_json(fields))
+
+
+def recipe_status(text: Column, local_key: Column, signature_valid: Column) -> Column:
+    """(signed, status, key_id, score, passes_gate, version) of a recipe, as ``signature_valid`` says of its signature.
+
+    A recipe whose hash is not that of its content is invalid whatever its signature. What cannot be read is unsigned.
+    """
+    v = F.try_variant_get(F.try_parse_json(text), "$.provenance", "variant")
+    field = lambda path, kind="string": F.try_variant_get(v, path, kind)
+    signed = F.coalesce(F.try_variant_get(v, "$.signature", "variant").isNotNull(), F.lit(False))
+    scheme, key = field("$.sigScheme"), field("$.keyId")
+    version = F.when(scheme.isNull() | (scheme == RECIPE_V1), 1).when(scheme == RECIPE_V2, 2)
+    valid = F.coalesce((field("$.contentHash") == recipe_hash(text)) & signature_valid, F.lit(False))
+    ours = key.eqNullSafe(local_key)
+    status = (
+        F.when(~signed, "unsigned").when(version.isNull(), "unsupported_version").when(valid & ours, "verified")
+        .when(valid, "key_mismatch").when(ours, "invalid").otherwise("wrong_key")
+    )
+    of = lambda c: F.when(signed, c)
+    return F.struct(
+        signed.alias("signed"), status.alias("status"), of(key).alias("key_id"), of(field("$.verify.score", "int")).alias("score"),
+        of(field("$.verify.passesGate", "boolean")).alias("passes_gate"), of(version).alias("version"),
+    )
+
+
 def same_hash(a: Column, b: Column) -> Column:
     """Equal as content hashes, with or without prefix, in any case."""
 

@@ -215,3 +215,61 @@ def subtree_text(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     held = roots.join(texts, (F.col("page") == F.col("p")) & F.col("at").between(F.col("pos"), F.col("last")), "left")
     pieces = F.collect_list(F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("pos"), F.col("piece").alias("text"))))
     return held.groupBy(*roots.columns).agg(joined_text(pieces).alias("text"))
+
+
+# the skeleton of a page
+
+SKELETON_NODES, SKELETON_DEPTH, SKELETON_MAINS = 400, 12, 8
+_BARE = ("script", "style", "noscript", "svg", "path", "link", "meta")
+_INTERACTIVE = ("a", "button", "input", "select", "textarea", "summary")
+
+
+def _short(text: Column, most: int = 80) -> Column:
+    bare = F.nullif(squeeze(text), F.lit(""))
+    return F.when(F.length(bare) > most, F.concat(F.substring(bare, 1, most), F.lit("…"))).otherwise(bare)
+
+
+def skeleton(nodes: DataFrame, most: int = SKELETON_NODES, deepest: int = SKELETON_DEPTH) -> DataFrame:
+    """(page_id, pos, parent, depth, tag, id, classes, role, test_id, aria, text, interactive, main_score): bounded trees.
+
+    The elements of each page's body in order, down to ``deepest`` levels, ``most`` of them: as whatever is cut by depth or tag is a
+    whole interval, the first ones in order are always a tree. ``text`` is that of an element with one text and nothing else;
+    ``main_score`` says how likely an element holds the page's matter.
+    """
+    body = nodes.filter("tag = 'body'").groupBy("page").agg(F.min_by(F.struct("pos", "last", F.size("path").alias("at")), "pos").alias("body"))
+    held = nodes.join(body, "page").filter((F.col("pos") >= F.col("body.pos")) & (F.col("pos") <= F.col("body.last")))
+    attrs, depth = F.col("attrs"), F.size("path") - F.col("body.at")
+    elements = held.filter((F.col("tag") != "#text") & (depth <= deepest) & ~within(F.col("path"), _BARE))
+    first = elements.withColumn("n", F.row_number().over(_in_order())).filter(F.col("n") <= most)
+    texts = held.filter("tag = '#text'").select("page", F.explode(F.transform("path", lambda p: p["pos"])).alias("pos"), F.col("pos").alias("at"), "parent", "text")
+    whole = texts.groupBy("page", "pos").agg(
+        joined_text(F.collect_list(F.struct(F.col("at").alias("pos"), "text"))).alias("whole"), F.sum((F.col("parent") == F.col("pos")).cast("int")).alias("own")
+    )
+    marks = nodes.filter(F.col("tag").isin("article", "h1", "h2")).select("page", F.explode(F.transform("path", lambda p: p["pos"])).alias("pos"), F.col("pos").alias("mark"))
+    marked = marks.filter("mark > pos").select("page", "pos", F.lit(True).alias("marked")).distinct()
+    both = first.join(whole, ["page", "pos"], "left").join(marked, ["page", "pos"], "left")
+    alone = (F.col("own") == 1) & (F.col("last") == F.col("pos") + 1)
+    score = (
+        F.when((F.col("tag") == "main") | F.coalesce(attrs["role"] == "main", F.lit(False)), 40).otherwise(0)
+        + F.when(F.coalesce(attrs["id"].rlike("(?i)content|main|readme|article"), F.lit(False)), 20).otherwise(0)
+        + F.when(F.coalesce(F.length(squeeze(F.col("whole"))) > 120, F.lit(False)), 25).otherwise(0) + F.when(F.col("marked"), 15).otherwise(0)
+    )
+    acts = F.col("tag").isin(*_INTERACTIVE) | F.coalesce(attrs["role"] == "button", F.lit(False)) | attrs["onclick"].isNotNull() | attrs["tabindex"].isNotNull()
+    given = F.filter(classes(attrs), lambda c: c != "")
+    return both.select(
+        "page_id", "pos", F.when(F.col("pos") > F.col("body.pos"), F.col("parent")).alias("parent"), depth.alias("depth"), "tag",
+        F.nullif(attrs["id"], F.lit("")).alias("id"), F.slice(given, 1, 3).alias("classes"), F.nullif(attrs["role"], F.lit("")).alias("role"),
+        F.nullif(attrs["data-testid"], F.lit("")).alias("test_id"), _short(attrs["aria-label"]).alias("aria"), F.when(alone, _short(F.col("whole"))).alias("text"),
+        acts.alias("interactive"), (score / 100).alias("main_score"),
+    )
+
+
+def main_candidates(tree: DataFrame, most: int = SKELETON_MAINS) -> DataFrame:
+    """(page_id, selector, score): of each skeleton the elements that most likely hold the page's matter, best first."""
+    hint = (
+        F.when(F.col("id").isNotNull(), F.concat(F.lit("#"), "id"))
+        .when(F.col("test_id").isNotNull(), F.concat(F.lit('[data-testid="'), "test_id", F.lit('"]')))
+        .when(F.size("classes") > 0, F.concat("tag", F.lit("."), F.array_join("classes", "."))).otherwise(F.col("tag"))
+    )
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("main_score"), "pos"))
+    return tree.filter("main_score >= 0.45").withColumn("n", place).filter(F.col("n") <= most).select("page_id", hint.alias("selector"), F.col("main_score").alias("score"))

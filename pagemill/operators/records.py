@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import materialize
+from . import nodes as N
 from .classify import nonsense_link
 
 # Limits and patterns that results depend on.
 RECORDS, LEAST_ROWS, LEAST_RECORDS = 200, 4, 2
 RANK, POINTS, BY, AGO = r"^[0-9]+\.?$", r"(?i)([0-9]+)\s+points?\b", r"(?i)\bby\s+(\S+)", r"(?i)([0-9]+\s+(?:minute|hour|day|week|month|year)s?\s+ago)"
 COMMENTS, SITE = r"(?i)([0-9]+)\s+comments?", r"\(([^)]+)\)"
-MAP_LINKS = 64
+MAP_LINKS, MAP_HUBS = 64, 3
 
 RECORD = "struct<rank: string, title: string, url: string, site: string, author: string, points: int, comments: int, age: string, row: int>"
 
@@ -63,6 +65,25 @@ def paired_records(rows: Column) -> Column:
     return F.when(F.size(listed) >= LEAST_RECORDS, listed).otherwise(F.array().cast(f"array<{RECORD}>"))
 
 
+def table_rows(nodes: DataFrame) -> DataFrame:
+    """(page_id, table, rows): the rows of every innermost table, as ``paired_records`` takes them, with their first links."""
+    table, tr = N.nearest(F.col("path"), ["table"])["pos"], N.nearest(F.col("path"), ["tr"])["pos"]
+    cell = N.nearest(F.col("path"), ["td", "th"])["pos"]
+    rows = nodes.withColumn("table", table).withColumn("tr", tr).filter("table is not null and tr > table")
+    texts = F.collect_list(F.when(F.col("tag") == "#text", F.struct("pos", "text")))
+    cells = rows.withColumn("cell", cell).filter("cell > tr").groupBy("page", "page_id", "table", "tr", "cell").agg(N.squeeze(N.joined_text(texts)).alias("text"))
+    anchor = N.nearest(F.col("path"), ["a"])["pos"]
+    links = rows.withColumn("a", anchor).filter("a > tr").groupBy("page", "tr", "a").agg(
+        N.squeeze(N.joined_text(texts)).alias("title"), F.max(F.when(F.col("pos") == F.col("a"), F.col("url"))).alias("url")
+    )
+    first = links.filter("url is not null").groupBy("page", "tr").agg(F.min_by(F.struct("title", "url"), "a").alias("link"))
+    filled = cells.groupBy("page", "page_id", "table", "tr").agg(F.array_sort(F.collect_list(F.struct("cell", "text"))).alias("cells"))
+    row = F.struct("tr", F.transform("cells", lambda c: c["text"]).alias("cells"), F.col("link.title").alias("title"), F.col("link.url").alias("url"))
+    listed = filled.join(first, ["page", "tr"], "left").groupBy("page", "page_id", "table").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    bare = F.transform("rows", lambda r: F.struct(r["cells"].alias("cells"), r["title"].alias("title"), r["url"].alias("url")))
+    return listed.select("page_id", "table", bare.alias("rows"))
+
+
 def site_map(pages: DataFrame, key: str, host: str, links: str, most: int = MAP_LINKS, same_host: bool = True) -> DataFrame:
     """``key`` with ``urls``, the links of each page that a reader would follow, and ``filtered``, how many are none.
 
@@ -80,12 +101,26 @@ def site_map(pages: DataFrame, key: str, host: str, links: str, most: int = MAP_
     )
 
 
-def second_level(maps: DataFrame, key: str, url: str, urls: str, other: DataFrame) -> DataFrame:
-    """(key, url) of what the mapped pages link to in turn: a join of each map's addresses with the pages of that address.
+def link_rounds(starts: DataFrame, edges: DataFrame, rounds: int | None = None, hubs: int | None = None, order: str = "node") -> DataFrame:
+    """(start, node, level): what links reach from each of ``starts`` (start, node), by rounds; materialised.
 
-    ``other``: (``url``, ``urls``) of the pages that may be hubs. Each address once a key, none of its own first level.
+    Semi-naive: a round joins only what the one before reached first with ``edges`` (node, next), and drops by an anti join
+    what is known. Without ``rounds`` it goes on until nothing is new, else so many times. ``hubs``: each start goes on
+    from the first so many of a round's nodes, by ``order``, an expression over (start, node). A start is at level 0; what
+    it never reaches has no row. Repeated starts, edges and circles add nothing; nulls join nothing.
     """
-    one = maps.select(key, F.explode(urls).alias("__via"))
-    hubs = other.select(F.col(url).alias("__via"), F.col(urls).alias("__urls"))
-    further = one.join(hubs, "__via").select(key, F.explode("__urls").alias("url")).distinct()
-    return further.join(one.withColumnRenamed("__via", "url"), [key, "url"], "left_anti")
+    frontier = materialize(starts.select("start", "node").distinct().filter("start is not null and node is not null").withColumn("level", F.lit(0)), "level")
+    known, level = frontier, 0
+    while rounds is None or level < rounds:
+        level += 1
+        going = frontier
+        if hubs is not None and level > 1:
+            place = F.row_number().over(Window.partitionBy("start").orderBy(F.expr(order)))
+            going = frontier.withColumn("__n", place).filter(F.col("__n") <= hubs)
+        reached = going.select("start", "node").join(edges.select("node", "next"), "node").select("start", F.col("next").alias("node")).distinct()
+        fresh = reached.filter("node is not null").join(known.select("start", "node"), ["start", "node"], "left_anti")
+        frontier = materialize(fresh.withColumn("level", F.lit(level)), "level")
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier)
+    return known

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import article as A
 from ..operators import pages as P
-from ..operators.nodes import CHROME, CONSENT, PROMO, page_nodes, select_nodes, strip, subtree_text
+from ..operators.nodes import CHROME, CONSENT, PROMO, page_nodes, select_nodes, skeleton, strip, subtree_text
 from ..registry import query, table
 
 #: A table, pictures and metadata in every page, made of its own id and address, so that these operators have input.
@@ -141,3 +141,13 @@ def selector_match(spark, sf_dir):
         found = subtree_text(nodes, select_nodes(nodes, selector)).withColumn("selector", F.lit(selector))
         out = found if out is None else out.unionByName(found)
     return out.join(ids, "page").groupBy("page_id", "selector", "text").agg(F.count("*").alias("n"))
+
+
+@query("page_skeleton", r"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<body>(.*)</body>', 1), '(?s)<!--.*?-->', '', 'g') AS x FROM pages)
+SELECT page_id, CAST(1 + len(regexp_extract_all(x, '<[a-z]')) AS BIGINT) AS nodes, CAST(len(regexp_extract_all(x, '<a ')) AS BIGINT) AS interactive, CAST(4 AS INTEGER) AS deepest FROM a
+""")
+def page_skeleton(spark, sf_dir):
+    """How many elements, and of them how many to act on, each page's skeleton has, and how deep it goes."""
+    tree = skeleton(page_nodes(raw_pages(spark, sf_dir)))
+    return tree.groupBy("page_id").agg(F.count("*").alias("nodes"), F.sum(F.col("interactive").cast("bigint")).alias("interactive"), F.max("depth").alias("deepest"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import integrity as I
 from ..operators import playbooks as B
 from ..registry import query, table
 
@@ -111,3 +112,46 @@ def manifest_check(spark, sf_dir):
     digest = B.file_digest(F.concat("text", F.when(i % 4 == 1, " ").otherwise("")))
     manifest = pages.filter(i % 5 != 0).select(F.concat(F.lit("file"), i.cast("string"), F.lit(".json")).alias("file"), F.upper(digest).alias("sha256"))
     return B.verified_files(files, manifest).select("page_id", "status")
+
+
+#: A recipe for each page out of its own values, its keys in two orders; DuckDB writes it in the one that is hashed.
+_RECIPE = """
+r AS (SELECT page_id, url, length(html) AS chars, '{"extract":{"chars":' || length(html) || ',"selectors":["article",' || to_json('#p' || page_id)::VARCHAR || ']},"url":' || to_json(url)::VARCHAR || '}' AS canonical FROM pages)
+"""
+
+
+@query("recipe_hash", f"""
+WITH {_RECIPE}
+SELECT page_id, canonical, 'sha256:' || sha256(canonical) AS content_hash, true AS same, true AS changed FROM r
+""")
+def recipe_hash(spark, sf_dir):
+    """A hash that is the same in any order of keys, whatever is said of provenance, and another once a value differs."""
+    chars, name = F.length("html"), F.concat(F.lit("#p"), F.col("page_id").cast("string"))
+    selectors = F.array(F.lit("article"), name).alias("selectors")
+    one = F.to_json(F.struct("url", F.struct(selectors, chars.alias("chars")).alias("extract"), F.struct(chars.alias("score")).alias("provenance")))
+    other = F.concat(F.lit(" "), F.replace(F.to_json(F.struct(F.struct(chars.alias("chars"), selectors).alias("extract"), "url")), F.lit('":'), F.lit('" : ')))
+    changed = F.to_json(F.struct(F.struct((chars + 1).alias("chars"), selectors).alias("extract"), "url"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", I.canonical_json(one, "provenance").alias("canonical"), I.recipe_hash(one).alias("content_hash"),
+        I.recipe_hash(one).eqNullSafe(I.recipe_hash(other)).alias("same"), (I.recipe_hash(one) != I.recipe_hash(changed)).alias("changed"),
+    )
+
+
+@query("recipe_status", f"""
+WITH {_RECIPE}, s AS (SELECT *, chars % 5 AS k FROM r)
+SELECT page_id, CASE k WHEN 0 THEN 'unsigned' WHEN 1 THEN 'verified' WHEN 2 THEN 'key_mismatch' WHEN 3 THEN 'invalid' ELSE 'unsupported_version' END AS status,
+  CASE WHEN k IN (1, 2, 3) THEN CAST(CASE WHEN chars % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) END AS version, CASE WHEN k > 0 THEN CAST(chars AS INTEGER) END AS score FROM s
+""")
+def recipe_status(spark, sf_dir):
+    """What is to be thought of each page's signed recipe: by its size it is unsigned, ours, another's, altered or of a later scheme."""
+    chars, name = F.length("html"), F.concat(F.lit("#p"), F.col("page_id").cast("string"))
+    k = chars % 5
+    body = F.struct(F.struct(F.array(F.lit("article"), name).alias("selectors"), chars.alias("chars")).alias("extract"), "url")
+    told = F.when(k == 3, I.content_hash(F.lit("altered"))).otherwise(I.recipe_hash(F.to_json(body)))
+    provenance = F.struct(
+        F.when(k == 4, "playbook-sig-v9").when(chars % 2 == 0, I.RECIPE_V2).alias("sigScheme"), F.when(k == 2, "other").otherwise("local").alias("keyId"),
+        told.alias("contentHash"), F.when(k > 0, "c2ln").alias("signature"), F.struct(chars.alias("score")).alias("verify"),
+    )
+    text = F.to_json(F.struct("url", body["extract"].alias("extract"), provenance.alias("provenance")))
+    status = I.recipe_status(text, F.lit("local"), F.lit(True))
+    return table(spark, sf_dir, "pages").select("page_id", status.alias("s")).select("page_id", "s.status", "s.version", "s.score")
