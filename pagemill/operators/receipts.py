@@ -71,7 +71,7 @@ def numbered_within(df: DataFrame, by: str, order: list[str]) -> DataFrame:
         F.col(by).alias("__by"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), F.sum("__n").over(group).alias("__total")
     )
     place = F.row_number().over(Window.partitionBy("__part", by).orderBy(*order))
-    joined = ranged.withColumn("__k", place).join(F.broadcast(sizes), F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__p")))
+    joined = ranged.withColumn("__k", place).join(sizes, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__p")))
     return joined.withColumn("__i", F.col("__base") + F.col("__k") - 1).drop("__by", "__p", "__part", "__k", "__base")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classify as C
+from ..operators import ordered as O
 from ..operators import receipts as R
 from ..registry import query, table
 from .classify import FAILURE_SQL, attempts
@@ -86,8 +87,10 @@ def engine_latency(spark, sf_dir):
 
     Rows are placed by ranges of values, so that no task holds all values of an engine.
     """
-    run = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    df = table(spark, sf_dir, "events").withColumn("run", run).filter("run > 1 and value > 5")
+    events, keys = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"]
+    first = events.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    same = F.col("user_id").eqNullSafe(F.col("_user_id")) & F.col("event_type").eqNullSafe(F.col("_event_type"))
+    df = events.filter("value > 5").join(first, same).filter(F.struct("ts", "event_id") > F.col("first"))
     placed = R.numbered_within(df.select(F.col("event_type").alias("engine"), "value"), "engine", ["value"])
     at = {p: F.least(F.col("__total") - 1, F.floor(F.col("__total") * F.lit(p))) for p in (0.5, 0.95)}
     picked = [F.min(F.when(F.col("__i") == at[p], F.col("value"))).alias(name) for p, name in ((0.5, "p50"), (0.95, "p95"))]
@@ -183,13 +186,19 @@ def batch_page(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("event_id > 500").withColumn("k", k).filter("k <= 5").select(F.col("user_id").alias("job"), "event_id")
 
 
+def _with_before(spark, sf_dir):
+    """Events with the time of the one before of the same user and type."""
+    df = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    keys, order = ["user_id", "event_type"], ["ts", "event_id"]
+    return O.with_previous(O.in_parts(df, keys, order), keys, order, "ts", "before")
+
+
 @query("batch_idempotency", """
 WITH a AS (SELECT event_id, user_id, event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events) SELECT event_id, p IS NOT NULL AND ts - p <= INTERVAL 24 HOURS AS repeated FROM a
 """)
 def batch_idempotency(spark, sf_dir):
     """Submissions that repeat one of the same key within a day."""
-    before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    df = table(spark, sf_dir, "events").withColumn("before", before)
+    df = _with_before(spark, sf_dir)
     return df.select("event_id", F.coalesce(F.col("ts") - F.col("before") <= F.expr("INTERVAL 24 HOURS"), F.lit(False)).alias("repeated"))
 
 
@@ -198,7 +207,6 @@ WITH a AS (SELECT event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type
 """)
 def cache_hits(spark, sf_dir):
     """Requests that a cache of six hours would answer; each request renews its entry."""
-    before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    df = table(spark, sf_dir, "events").withColumn("before", before)
+    df = _with_before(spark, sf_dir)
     fresh = F.coalesce(F.col("ts") - F.col("before") <= F.expr("INTERVAL 6 HOURS"), F.lit(False))
     return df.groupBy("event_type").agg(F.count("*").alias("requests"), F.count_if(fresh).alias("hits"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import integrity as I
 from ..functions import text as T
 from ..operators import knowledge as K
+from ..operators import ordered as O
 from ..operators import receipts as R
 from ..registry import query, table
 from .rank import _dataset
@@ -131,10 +131,10 @@ SELECT user_id, CAST(count(*) FILTER (WHERE p IS NULL OR p <> event_type) AS INT
 def history_chain(spark, sf_dir):
     """Hash chains of what each watched key showed; intact as made, not so with an entry taken out. Only visits that
     changed something are gathered, as the others leave a chain as it is."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("hash"))
-    same = F.coalesce(F.lag("hash").over(w) == F.col("hash"), F.lit(False))
-    changed = events.withColumn("same", same).filter(~F.col("same"))
+    keys, order = ["user_id"], ["ts", "event_id"]
+    seen = O.with_previous(O.in_parts(events, keys, order), keys, order, "hash", "last")
+    changed = seen.filter(~F.coalesce(F.col("last") == F.col("hash"), F.lit(False)))
     return chains(changed.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "hash"))).alias("visits")))
 
 

@@ -144,7 +144,7 @@ def selector_match(spark, sf_dir):
 
 
 @query("page_skeleton", r"""
-WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<body>(.*)</body>', 1), '(?s)<!--.*?-->', '', 'g') AS x FROM pages)
+WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<!--.*?-->', '', 'g') AS x FROM pages)
 SELECT page_id, CAST(1 + len(regexp_extract_all(x, '<[a-z]')) AS BIGINT) AS nodes, CAST(len(regexp_extract_all(x, '<a ')) AS BIGINT) AS interactive, CAST(4 AS INTEGER) AS deepest FROM a
 """)
 def page_skeleton(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import ordered as O
 from ..registry import query, table
 from ..sources import web as S
 
@@ -156,13 +157,16 @@ SELECT event_id, CAST(max(t - k * 500) OVER (PARTITION BY user_id ORDER BY k) +
 """)
 def host_throttle(spark, sf_dir):
     """Earliest start of each request if a host may be asked once in 500 ms: a running maximum says it."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    df = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), (F.row_number().over(w) - 1).alias("k"))
-    return df.select("event_id", (F.max(F.col("t") - F.col("k") * 500).over(w) + F.col("k") * 500).cast("bigint").alias("start_ms"))
+    df = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    keys, order = ["user_id"], ["ts", "event_id"]
+    placed = O.with_place(O.in_parts(df, keys, order), keys, order, "k").withColumn("free", F.col("t") - F.col("k") * 500)
+    latest = O.with_running_max(placed, keys, order, "free", "latest")
+    return latest.select("event_id", (F.col("latest") + F.col("k") * 500).cast("bigint").alias("start_ms"))
 
 
 @query("round_robin", "SELECT event_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 5 AS INTEGER) AS slot FROM events")
 def round_robin(spark, sf_dir):
     """Turns of each user over five slots."""
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    return table(spark, sf_dir, "events").select("event_id", F.pmod(k, F.lit(5)).cast("int").alias("slot"))
+    df = table(spark, sf_dir, "events").select("event_id", "user_id")
+    placed = O.with_place(O.in_parts(df, ["user_id"], ["event_id"]), ["user_id"], ["event_id"], "k")
+    return placed.select("event_id", F.pmod("k", F.lit(5)).cast("int").alias("slot"))
