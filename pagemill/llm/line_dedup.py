@@ -1,11 +1,11 @@
 """Repeated lines and sentences, found by the digests of normalised units.
 
-A unit is a sentence of a line: lines are cut at line ends, and within a line after ``.``, ``!`` or ``?`` before white
-space, since a repeated passage can start amid a line. With ``lines``, whole lines of several sentences are units too, so that
-a line of short sentences counts. A unit is normalised to its lower-case words; units of fewer than ``min_words`` words
-repeat by chance and are passed over. The digests are grouped over all documents; the earliest occurrence (by document
-id, then place) stays, every other one is removed. As an option, ``min_passage`` removes only those in a passage: a run of
-neighbouring units that all occur earlier, of so many words or more together.
+Every line with a word is a unit, and so is every sentence of ``min_words`` words within a line: lines are cut after ``.``, ``!``
+or ``?`` before white space, since a repeated passage can start amid a line. A line that is one such sentence is one unit.
+With ``paragraphs``, so are runs of several lines without an empty one; as a repeated paragraph's lines all occur
+earlier, lines alone find it too. A unit is normalised to its lower-case words. The digests are grouped over all documents;
+the earliest occurrence (by document id, then place) stays, every other one is removed. As an option, ``min_passage``
+removes only those in a passage: a run of neighbouring units that all occur earlier, of so many words or more together.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read_table, row_uid, whole_row
 
-#: Fewest words of a unit.
+#: Fewest words of a sentence within a line; shorter ones are left to the line.
 MIN_WORDS = 4
+SENTENCE, LINE, PARAGRAPH = range(3)
 _UNIT = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 _WORD = re.compile(r"\w+")
 _LINE = re.compile(r"[^\n]+")
+_PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]+)+")
 
 
 def units(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -43,40 +45,50 @@ def _digest(seq: list[str]) -> bytes:
     return hashlib.blake2b(" ".join(seq).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def line_units(text: str | None, min_words: int) -> Iterator[tuple[int, tuple[int, int, int, bytes]]]:
-    """Line number and unit of each line of ``min_words`` words that are not all in one of its sentences.
+def _whole(m: re.Match, seq: list[str]) -> tuple[int, int, int, bytes]:
+    body = m[0]
+    return m.start() + len(body) - len(body.lstrip()), m.start() + len(body.rstrip()), len(seq), _digest(seq)
 
-    A line holds more words than any sentence in it, so that none is taken for a repeat of the line around it.
-    """
+
+def line_units(text: str | None, min_words: int) -> Iterator[tuple[int, tuple[int, int, int, bytes]]]:
+    """Line number and unit of each line with a word, but for those that are one sentence of ``min_words`` words and nothing else."""
     for k, m in enumerate(_LINE.finditer(text or "")):
-        line = m[0]
-        if len(line) < 2 * min_words - 1:
-            continue
-        seq = _WORD.findall(line.lower())
-        if len(seq) >= min_words and len(seq) > max(len(_WORD.findall(u[0].lower())) for u in _UNIT.finditer(line)):
-            start = m.start() + len(line) - len(line.lstrip())
-            yield k, (start, m.start() + len(line.rstrip()), len(seq), _digest(seq))
+        seq = _WORD.findall(m[0].lower())
+        if seq and (len(seq) < min_words or len(seq) > max(len(_WORD.findall(u[0].lower())) for u in _UNIT.finditer(m[0]))):
+            yield k, _whole(m, seq)
+
+
+def paragraph_units(text: str | None) -> Iterator[tuple[int, tuple[int, int, int, bytes]]]:
+    """Number and unit of each paragraph that has words in more than one line."""
+    for k, m in enumerate(_PARAGRAPH.finditer(text or "")):
+        seq = _WORD.findall(m[0].lower())
+        if seq and len(seq) > max(len(_WORD.findall(line.lower())) for line in m[0].split("\n")):
+            yield k, _whole(m, seq)
 
 
-def unit_table(df: DataFrame, id_col: str, text_col: str, min_words: int, lines: bool = False, uid: str | None = None) -> DataFrame:
-    """(id, uid, line, place, start, end, words, digest) of all units, materialised; ``uid`` is the row's, drawn
-    here or read from the column so named; ``line`` says whether the unit is a line of several sentences."""
+def unit_table(
+    df: DataFrame, id_col: str, text_col: str, min_words: int, lines: bool = False, paragraphs: bool = False, uid: str | None = None,
+) -> DataFrame:
+    """(id, uid, level, place, start, end, words, digest) of all units, materialised; ``uid`` is the row's, drawn
+    here or read from the column so named; ``level`` says whether the unit is a sentence, a line or a paragraph."""
 
     def cut_text(text: str | None) -> list[dict]:
-        found = [(False, k, u) for k, u in enumerate(units(text, min_words))]
+        found = [(SENTENCE, k, u) for k, u in enumerate(units(text, min_words))]
         if lines:
-            found += [(True, k, u) for k, u in line_units(text, min_words)]
-        return [{"line": x, "place": k, "start": s, "end": e, "words": n, "digest": d} for x, k, (s, e, n, d) in found]
+            found += [(LINE, k, u) for k, u in line_units(text, min_words)]
+        if paragraphs:
+            found += [(PARAGRAPH, k, u) for k, u in paragraph_units(text)]
+        return [{"level": x, "place": k, "start": s, "end": e, "words": n, "digest": d} for x, k, (s, e, n, d) in found]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [cut_text(t.as_py()) for t in batch.column(1)]
-            kind = pa.struct([("line", pa.bool_()), ("place", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int32()), ("digest", pa.binary())])
+            kind = pa.struct([("level", pa.int32()), ("place", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int32()), ("digest", pa.binary())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(kind))], names=["id", "units"])
 
     ids = F.struct(F.col(f"`{id_col}`").alias("id"), (F.col(f"`{uid}`") if uid else F.lit(None).cast("bigint")).alias("uid"))
     lean = df.select(ids.alias("ids"), F.col(f"`{text_col}`"))
-    schema = f"id {lean.schema[0].dataType.simpleString()}, units array<struct<line: boolean, place: int, start: bigint, end: bigint, words: int, digest: binary>>"
+    schema = f"id {lean.schema[0].dataType.simpleString()}, units array<struct<level: int, place: int, start: bigint, end: bigint, words: int, digest: binary>>"
     return materialize(
         lean.mapInArrow(cut, schema).select("id.id", (F.col("id.uid") if uid else row_uid()).alias("uid"), "units")
         .select("id", "uid", F.explode("units").alias("u")).select("id", "uid", "u.*"),
@@ -86,17 +98,17 @@ def unit_table(df: DataFrame, id_col: str, text_col: str, min_words: int, lines:
 
 def repeated_units(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-    min_passage: int = 1, lines: bool = True,
+    min_passage: int = 1, lines: bool = True, paragraphs: bool = False,
 ) -> DataFrame:
     """One row per removed unit: doc_id, start, end, words, keep_doc_id, keep_start, passage_words.
 
     ``start`` and ``end`` are code points of the original text; ``keep_doc_id`` and ``keep_start`` say where the
     earliest occurrence stands, in the same document perhaps. Null ids come last; of rows that share an id, one is
     earlier. Null and empty texts have no units. Repeated rows are copies and lose all units but the first row's. An
-    empty frame gives an empty one. Other columns are not read. With ``lines``, a removed line stands beside its own
-    removed sentences, so spans can overlap; its ``passage_words`` counts neighbouring lines of several sentences.
+    empty frame gives an empty one. Other columns are not read. A removed line stands beside its own removed sentences,
+    and a paragraph beside its lines, so spans can overlap; ``passage_words`` counts neighbours of the same kind.
     """
-    return _repeats(unit_table(df, id_col, text_col, min_words, lines), min_passage).drop("uid")
+    return _repeats(unit_table(df, id_col, text_col, min_words, lines, paragraphs), min_passage).drop("uid")
 
 
 def _repeats(table: DataFrame, min_passage: int) -> DataFrame:
@@ -112,8 +124,8 @@ def _repeats(table: DataFrame, min_passage: int) -> DataFrame:
     later = (F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start"))
     repeats = table.join(earliest.hint("merge"), "digest").filter(later)
     # places of a run ascend by one; a window holds the units of one document
-    run = F.col("place") - F.row_number().over(Window.partitionBy("uid", "line").orderBy("place"))
-    words = F.sum("words").over(Window.partitionBy("uid", "line", "run"))
+    run = F.col("place") - F.row_number().over(Window.partitionBy("uid", "level").orderBy("place"))
+    words = F.sum("words").over(Window.partitionBy("uid", "level", "run"))
     return repeats.withColumn("run", run).withColumn("passage_words", words).filter(F.col("passage_words") >= min_passage).select(
         "uid", F.col("id").alias("doc_id"), "start", "end", "words", F.col("first.id").alias("keep_doc_id"),
         F.col("first.start").alias("keep_start"), "passage_words",
@@ -136,14 +148,14 @@ def cut_out(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 def without_repeats(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_passage: int = 1,
-    lines: bool = True,
+    lines: bool = True, paragraphs: bool = False,
 ) -> DataFrame:
     """All rows and columns of ``df``, the text without its repeated units; a text made of them becomes empty.
 
     Rows are numbered and materialised first, so that rows that share an id keep their own spans apart.
     """
     whole = materialize(df.select(whole_row(df).alias("row"), row_uid().alias("uid")), "rows")
-    table = unit_table(whole.select("uid", F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text")), "id", "text", min_words, lines, "uid")
+    table = unit_table(whole.select("uid", F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text")), "id", "text", min_words, lines, paragraphs, "uid")
     spans = _repeats(table, min_passage).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     kept = F.udf(lambda text, spans: cut_out(text, [tuple(s) for s in spans or ()]), "string")
     text = kept(F.col("row")[text_col], "spans")
@@ -151,6 +163,6 @@ def without_repeats(
 
 
 def op3_sentence_hash_dedup(spark, sf_dir):
-    """Every later occurrence of a repeated sentence or line of the documents, with its original offsets and where the
+    """Every later occurrence of a repeated line of the documents, of any length, and of a repeated sentence within one, with its original offsets and where the
     earliest occurrence stands."""
     return repeated_units(read_table(spark, sf_dir, "documents"))
