@@ -307,6 +307,35 @@ def find_personal_data(
     )
 
 
+def held_out_recovery(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_patterns: int = BLOCK_PATTERNS, **limits) -> DataFrame:
+    """(kind, hidden, recovered, added, wrong): a quarter of each kind's seeds is hidden, and looked for by the others' patterns.
+
+    Hidden are the seeds whose digest 4 divides; ``recovered`` counts those that the patterns find and hold; ``added`` counts all
+    instances held beyond the seeds given, and ``wrong`` those of them that are no seed at all: other identifiers, or
+    mistakes. Kinds without a seed have no row. Keywords as in :func:`find_personal_data`.
+    """
+    rows = materialize(scan_seeds(df, id_col, text_col).withColumn("__uid", row_uid()), "pii")
+    seeds = materialize(rows.select(F.explode("contexts").alias("c")).select("c.*").distinct(), "pii-seeds")
+    hidden = F.col("instance") % 4 == 0
+    given, every = seeds.filter(~hidden), seeds.select("kind", "instance").distinct()
+    found = extract(rows, induce(given, limits.get("min_instances", MIN_INSTANCES)), block_patterns)
+    if found is None:
+        held = every.filter("false")
+    else:
+        held = score_instances(found.select("pattern", "kind", "instance").distinct(), given.select("kind", "instance").distinct(), **limits)
+    both = every.withColumn("seed", F.lit(True)).join(held.withColumn("held", F.lit(True)), ["kind", "instance"], "full")
+    seed, got = F.coalesce("seed", F.lit(False)), F.coalesce("held", F.lit(False))
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
+    return both.groupBy(F.element_at(names, F.col("kind") + 1).alias("kind")).agg(
+        F.count_if(seed & hidden).alias("hidden"), F.count_if(seed & hidden & got).alias("recovered"),
+        F.count_if(got & (hidden | ~seed)).alias("added"), F.count_if(got & ~seed).alias("wrong"),
+    )
+
+
+def pii_held_out(spark, sf_dir):
+    return held_out_recovery(read_table(spark, sf_dir, "documents"))
+
+
 def apart(base, found):
     """The spans of ``found`` that overlap none of ``base`` nor an earlier one; the longer of two that start together."""
     span = f"array<{_SPAN}>"

@@ -10,6 +10,7 @@ QUERIES = {
     "llm_page_languages": language.page_languages,
     "op10_weighted_minhash": near_dedup.op10_weighted_minhash,
     "op4_bootstrapped_pii": pii.op4_bootstrapped_pii,
+    "llm_pii_held_out": pii.pii_held_out,
     "op8_string_tiling_decontamination": decontaminate.op8_string_tiling_decontamination,
     "op5_radix_exact_dedup": exact_dedup.op5_radix_exact_dedup,
     "op7_wildcard_url_filter": url_filter.op7_wildcard_url_filter,

@@ -143,3 +143,25 @@ def test_query_columns(spark, tmp_path):
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.n_added, r.n_all) == (1, 1, 1, 1, 0, 4)
     assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and r.spans == want
     assert rows[1].spans == "" and rows[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_hidden_seeds_are_recovered_by_the_others_patterns(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = [f"lamp river contact me at: u{i}@h{i}.org for more walk" for i in range(60)]
+    texts += [f'x\nsecret_key = "{"".join(rng.choice("0123456789abcdef") for _ in range(38))}a1"\ny' for _ in range(60)]
+    texts += ["card 4000 none", *(f"a{i} b{i} c{i} +1 555 010 {1000 + i} d{i}" for i in range(20))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    out = {r.kind: r for r in pii.held_out_recovery(df).collect()}
+    for kind in ("email", "secret"):
+        assert out[kind].recovered == out[kind].hidden > 7 and out[kind].wrong == 0 and out[kind].added == out[kind].recovered
+    assert out["phone"].recovered == 0 and out["phone"].hidden > 0
+    assert pii.held_out_recovery(df.limit(0)).count() == 0
+    assert [r.recovered for r in pii.held_out_recovery(df.filter("doc_id = 0")).collect() if r.hidden] in ([], [0])
+
+
+def test_hidden_keys_of_the_tables_are_recovered(spark):
+    out = {r.kind: r for r in pii.pii_held_out(spark, "/root/testdata/sf0.01").collect()}
+    print(out)
+    assert out["secret"].recovered >= 0.9 * out["secret"].hidden > 0 and out["secret"].wrong == 0
