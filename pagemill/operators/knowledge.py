@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .rank import focus_match, prefix_fill, skip_fill
 
 #: Precedence of recipes.
 TIERS = {"local": 4, "user": 3, "community": 2, "seed": 1}
@@ -96,3 +97,81 @@ def trace(tables: dict[str, DataFrame]) -> DataFrame:
         .when(F.col("has_provenance").isNull(), "provenance_missing").otherwise("complete")
     )
     return out.withColumn("status", status)
+
+
+# What claims may take of a page's tokens, at least and as a share.
+LEAST_CLAIM_TOKENS, CLAIM_SHARE = 8, 4
+
+
+def focus_share(text: Column, focus: str | None) -> Column:
+    """How well a claim answers a focus: 1 if it matches, else the share of the focus's words of three letters it holds."""
+    terms = [t for t in (focus or "").replace(",", " ").replace(";", " ").split() if t]
+    if not terms:
+        return F.lit(0.0)
+    low, hits = F.lower(text), F.lit(0)
+    for t in terms:
+        if len(t) >= 3:
+            hits = hits + F.when(low.contains(t.lower()), 1).otherwise(0)
+    return F.when(focus_match(text, focus)["matched"], 1.0).otherwise(hits / len(terms))
+
+
+def retain_within(tables: dict[str, DataFrame], page: str, budget: Column, focus: str | None = None) -> dict[str, DataFrame]:
+    """The claims of each page that its share of ``budget`` (a column of the claims) pays for, and what they rest on.
+
+    The best answers come first, then the order of the page. With a focus, a claim too dear is passed over; without one the
+    first that is too dear ends it. A null budget keeps everything. All sources stay: they say where a page was read.
+    """
+    claims = tables["claim"].withColumn("__cap", F.when(budget.isNotNull(), F.greatest(F.lit(LEAST_CLAIM_TOKENS), F.floor(budget / CLAIM_SHARE)).cast("int")))
+    cost = F.greatest(F.lit(1), T.token_estimate(F.col("text")))
+    ranked = claims.groupBy(page, "__cap").agg(
+        F.array_sort(F.collect_list(F.struct((-focus_share(F.col("text"), focus)).alias("less"), F.col("pos").alias("pos"), cost.alias("cost")))).alias("ranked")
+    )
+    costs = F.transform("ranked", lambda r: r["cost"])
+    if (focus or "").strip():
+        kept = skip_fill(F.transform("ranked", lambda r: F.struct(r["pos"].alias("pos"), r["cost"].alias("cost"))), F.col("__cap"))
+    else:
+        kept = F.transform(F.slice("ranked", 1, prefix_fill(costs, F.col("__cap"))["n"]), lambda r: r["pos"])
+    every = F.transform("ranked", lambda r: r["pos"])
+    places = ranked.select(page, F.explode(F.when(F.col("__cap").isNull(), every).otherwise(kept)).alias("pos"))
+    mine = tables["claim"].join(places, [page, "pos"], "left_semi")
+    evidence = tables["evidence"].join(mine.select("evidence_id"), "evidence_id", "left_semi")
+    return {
+        "claim": mine, "evidence": evidence, "source": tables["source"],
+        "provenance": tables["provenance"].join(evidence.select("evidence_id"), "evidence_id", "left_semi"),
+    }
+
+
+def integrity_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """(finding, id): every claim, evidence or provenance whose reference leads nowhere, and every id that occurs twice.
+
+    References are found missing by anti joins; a null reference leads nowhere too. Empty tables have no findings.
+    """
+    found = None
+    for table, key, ref, other in (
+        ("claim", "claim_id", "evidence_id", "evidence"), ("evidence", "evidence_id", "source_id", "source"),
+        ("provenance", "provenance_id", "claim_id", "claim"), ("provenance", "provenance_id", "evidence_id", "evidence"),
+    ):
+        lost = tables[table].join(tables[other].select(ref), ref, "left_anti").select(F.lit(f"{table}_without_{other}").alias("finding"), F.col(key).alias("id"))
+        found = lost if found is None else found.unionByName(lost)
+    for table in ("source", "evidence", "claim", "provenance"):
+        key = f"{table}_id"
+        twice = tables[table].groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+        found = found.unionByName(twice.select(F.lit(f"{table}_twice").alias("finding"), F.col(key).alias("id")))
+    return found
+
+
+def retention_report(before: dict[str, DataFrame], after: dict[str, DataFrame], page: str) -> DataFrame:
+    """One row a page: claims and terms before and after, the shares kept; a page without claims has none.
+
+    Terms are the different words of a page's claims: they are distinct by page first, so that counting them combines.
+    """
+    def terms(tables: dict[str, DataFrame], name: str) -> DataFrame:
+        words = tables["claim"].select(page, F.explode(T.word_tokens(F.col("text"))).alias("term")).distinct()
+        sizes = words.groupBy(page).agg(F.count("*").alias(f"terms_{name}"))
+        return tables["claim"].groupBy(page).agg(F.count("*").alias(f"claims_{name}")).join(sizes, page, "left")
+
+    both = terms(before, "before").join(terms(after, "after"), page, "left")
+    none = F.lit(0).cast("bigint")
+    both = both.select(page, *[F.coalesce(F.col(c), none).alias(c) for c in both.columns if c != page])
+    share = lambda k: F.round(F.col(f"{k}_after") / F.when(F.col(f"{k}_before") > 0, F.col(f"{k}_before")), 4)
+    return both.withColumns({"claims_kept": share("claims"), "terms_kept": share("terms")})

@@ -55,3 +55,10 @@ def with_running_max(parts: DataFrame, keys: list[str], order: list[str], value:
     carried = _carried(parts, keys, F.max(value), F.max)
     own = F.max(value).over(_within(keys, order))
     return carried.withColumn(name, F.greatest(own, F.col("__carry"))).drop("__carry")
+
+
+def with_last(parts: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """The last value that is not null, up to the row itself: an as-of join of rows that have one with those that do not."""
+    carried = _carried(parts, keys, F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))), lambda end: F.last(end, ignorenulls=True))
+    own = F.last(value, ignorenulls=True).over(_within(keys, order))
+    return carried.withColumn(name, F.coalesce(own, F.col("__carry"))).drop("__carry")

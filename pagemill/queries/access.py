@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import access as A
 from ..operators import classify as C
+from ..operators import outcomes as X
 from ..registry import query, table
 from .classify import _HITS, _MD, LOGIN_PATH, QUALITY_SQL, VISIBLE, markdown
 from .text import sql_any
@@ -177,3 +178,54 @@ def recipe_verify(spark, sf_dir):
     host = F.when(i % 7 == 0, "other.net").otherwise("WWW.docs.example.org")
     hosts = F.array(F.lit("x.net"), F.lit("www.example.ORG"))
     return A.verify_recipe(df, "md", host, hosts, F.when(i % 11 == 0, "timeout")).select("doc_id", "verdict")
+
+
+#: Events as reads and as what was found of access: a signup opens, an error shuts with its value's digit, all else reads.
+_ASSESSED = "(SELECT user_id, ts, event_id, CASE WHEN event_type = 'signup' THEN 'open' ELSE 'restricted' END AS disposition, value / 100 AS confidence FROM events WHERE event_type IN ('signup', 'error'))"
+
+
+@query("read_outcome", f"""
+WITH r AS (SELECT event_id, user_id, ts, event_type, value FROM events WHERE event_type NOT IN ('signup', 'error')),
+a AS (SELECT user_id, ts, arg_max(disposition, event_id) AS disposition, arg_max(confidence, event_id) AS confidence FROM {_ASSESSED} GROUP BY user_id, ts)
+SELECT r.event_id, a.disposition, round_even(a.confidence, 2) AS confidence, CASE a.disposition WHEN 'open' THEN 'continue' WHEN 'restricted' THEN 'use_session' END AS action,
+  CASE WHEN event_type = 'view' THEN 'not_requested' WHEN value > 20 THEN 'hit' WHEN value > 10 THEN 'weak' ELSE 'miss' END AS focus,
+  CASE WHEN value > 30 THEN 'complete' WHEN value > 5 THEN 'partial' ELSE 'incomplete' END AS completeness
+FROM r ASOF LEFT JOIN a ON r.user_id = a.user_id AND r.ts >= a.ts
+""")
+def read_outcome(spark, sf_dir):
+    """Each read with what was last known of the user's access at that time, and how focus and completeness are told."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    kind, value = F.col("event_type"), F.col("value")
+    opened = kind == "signup"
+    found = F.struct(
+        F.when(opened, "Open").otherwise("Restricted").alias("disposition"), (value / 100).alias("confidence"), F.array(kind).alias("codes"),
+        F.when(opened, "continue").otherwise("use_session").alias("action"),
+    )
+    assessments = events.filter(kind.isin("signup", "error")).select("user_id", "ts", "event_id", found.alias("assessment"))
+    reads = X.reads_with_access(events.filter(~kind.isin("signup", "error")), assessments, "user_id", ["ts", "event_id"])
+    focus = F.when(value > 20, "Hit").when(value > 10, "Weak").otherwise("None")
+    asked = F.when(kind != "view", kind)
+    done = F.when(value > 30, "Complete").when(value > 5, "Partial").otherwise("Truncated")
+    return reads.select(
+        "event_id", "access.disposition", "access.confidence", F.col("access.recommended_action").alias("action"),
+        X.focus_outcome(focus, asked, F.lit(None).cast("string")).alias("focus"), X.completeness_outcome(done).alias("completeness"),
+    )
+
+
+_ATTEMPTS = """(SELECT user_id AS key, ts, event_id, CASE WHEN event_type = 'error' THEN CASE WHEN value > 15 THEN 'http_403' ELSE 'timeout' END END AS failure, event_type AS fp FROM events WHERE user_id IS NOT NULL)"""
+
+
+@query("crosscheck", f"""
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY key ORDER BY ts, event_id) >= INTERVAL 8 HOURS THEN 1 ELSE 0 END AS cut FROM {_ATTEMPTS}),
+r AS (SELECT *, sum(cut) OVER (PARTITION BY key ORDER BY ts, event_id) AS run FROM g),
+s AS (SELECT key, run, min(ts) AS start, count(*) AS attempts, count(*) FILTER (WHERE failure IS NULL) AS ok, count(*) FILTER (WHERE failure = 'http_403') AS walls, count(DISTINCT fp) FILTER (WHERE failure IS NULL) AS kinds FROM r GROUP BY key, run)
+SELECT key, epoch_us(start) AS start_us, attempts, ok, walls, CASE WHEN ok = 0 AND walls > 0 THEN 'walled' WHEN ok = 0 THEN 'failed' WHEN ok = 1 THEN 'single' WHEN kinds = 1 THEN 'agree' ELSE 'diverge' END AS verdict FROM s
+""")
+def crosscheck(spark, sf_dir):
+    """Each user's events in runs that eight quiet hours part, and whether what was read in a run agrees."""
+    kind = F.col("event_type")
+    failure = F.when(kind == "error", F.when(F.col("value") > 15, "http_403").otherwise("timeout"))
+    attempts = table(spark, sf_dir, "events").filter("user_id is not null").select(
+        F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), failure.alias("failure"), kind.alias("fingerprint")
+    )
+    return X.crosscheck(attempts, "8 hours").select("key", F.unix_micros("start").alias("start_us"), "attempts", "ok", "walls", "verdict")

@@ -10,7 +10,9 @@ from ..operators import knowledge as K
 from ..operators import ordered as O
 from ..operators import receipts as R
 from ..registry import query, table
+from ..storage import materialize
 from .rank import _dataset
+from .text import sql_estimate, sql_tokens
 
 RECIPES = (
     ("example.com", "seed", "article", "", "seed com"), ("example.net", "seed", "main", "http", ""), ("blog.tionble.example.com", "community", "div.post", "", ""),
@@ -142,3 +144,57 @@ def chains(visits):
     df = visits.select("user_id", R.history_chain(F.col("visits")).alias("chain"))
     cut = F.filter("chain", lambda e: e["seq"] != 1)
     return df.select("user_id", F.size("chain").alias("entries"), R.chain_intact(F.col("chain")).alias("intact"), R.chain_intact(cut).alias("forged"))
+
+
+_CLAIMS = f"(SELECT doc_id, pos, line, greatest(1, {sql_estimate('line')}) AS cost, greatest(8, floor(n_chars / 32)) AS cap FROM (SELECT doc_id, n_chars, unnest(range(0, len(s))) AS pos, unnest(s) AS line FROM (SELECT doc_id, n_chars, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)))"
+_KEPT = f"(SELECT * FROM (SELECT *, sum(cost) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM {_CLAIMS}) WHERE upto <= cap)"
+
+
+def _within_budget(spark, sf_dir):
+    """Canonical rows of all documents, and what an eighth of each one's characters, in tokens, keeps of them."""
+    tables = {k: materialize(t, k) for k, t in _canonical(spark, sf_dir).items()}
+    budget = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") / 8).alias("budget"))
+    claims = tables["claim"].join(budget, "doc_id")
+    return tables, K.retain_within(tables | {"claim": claims}, "doc_id", F.col("budget"))
+
+
+@query("canonical_budget", f"""
+SELECT substr(sha256('claim:' || doc_id || ':' || pos), 1, 16) AS claim_id, substr(sha256('evidence:' || doc_id || ':' || pos), 1, 16) AS evidence_id FROM {_KEPT}
+""")
+def canonical_budget(spark, sf_dir):
+    """The claims that a share of each document's budget pays for, in its order, with their evidence."""
+    _, kept = _within_budget(spark, sf_dir)
+    return kept["claim"].join(kept["evidence"].select("evidence_id"), "evidence_id").select("claim_id", "evidence_id")
+
+
+@query("retention_report", f"""
+WITH b AS (SELECT doc_id, count(*) AS n FROM {_CLAIMS} GROUP BY doc_id), a AS (SELECT doc_id, count(*) AS n FROM {_KEPT} GROUP BY doc_id),
+tb AS (SELECT doc_id, count(DISTINCT t) AS n FROM (SELECT doc_id, unnest({sql_tokens("line")}) AS t FROM {_CLAIMS}) GROUP BY doc_id),
+ta AS (SELECT doc_id, count(DISTINCT t) AS n FROM (SELECT doc_id, unnest({sql_tokens("line")}) AS t FROM {_KEPT}) GROUP BY doc_id)
+SELECT b.doc_id, b.n AS claims_before, coalesce(a.n, 0) AS claims_after, coalesce(tb.n, 0) AS terms_before, coalesce(ta.n, 0) AS terms_after,
+  round(coalesce(a.n, 0) / b.n, 4) AS claims_kept, CASE WHEN tb.n > 0 THEN round(coalesce(ta.n, 0) / tb.n, 4) END AS terms_kept
+FROM b LEFT JOIN a USING (doc_id) LEFT JOIN tb USING (doc_id) LEFT JOIN ta USING (doc_id)
+""")
+def retention_report(spark, sf_dir):
+    """What a budget leaves of each document's claims and of their terms."""
+    before, after = _within_budget(spark, sf_dir)
+    return K.retention_report(before, after, "doc_id")
+
+
+@query("integrity_report", f"""
+WITH r AS (SELECT *, substr(sha256('provenance:' || doc_id || ':' || pos), 1, 16) AS provenance_id FROM {_ROWS})
+SELECT 'claim_without_evidence' AS finding, claim_id AS id FROM r WHERE n % 5 = 4
+UNION ALL SELECT 'provenance_without_evidence', provenance_id FROM r WHERE n % 5 = 4
+UNION ALL SELECT 'provenance_without_claim', provenance_id FROM r WHERE n % 7 = 3
+UNION ALL SELECT 'claim_twice', claim_id FROM r WHERE n % 11 = 5 AND n % 7 <> 3
+UNION ALL SELECT 'claim_without_evidence', claim_id FROM r WHERE n % 11 = 5 AND n % 7 <> 3 AND n % 5 = 4
+EXCEPT ALL SELECT 'claim_without_evidence', claim_id FROM r WHERE n % 5 = 4 AND n % 7 = 3
+""")
+def integrity_report(spark, sf_dir):
+    """What is found in tables that were damaged by the length of lines: evidence and claims gone, claims there twice."""
+    tables = _canonical(spark, sf_dir)
+    sized = tables["claim"].withColumn("n", F.length("text"))
+    claims = sized.filter("n % 7 <> 3")
+    gone = sized.filter("n % 5 = 4").select("evidence_id")
+    damaged = tables | {"claim": claims.unionByName(claims.filter("n % 11 = 5")), "evidence": tables["evidence"].join(gone, "evidence_id", "left_anti")}
+    return K.integrity_report(damaged)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import codecs as K
 from ..operators import rank as R
 from ..operators import reconcile as X
+from ..operators.nodes import page_nodes
 from ..registry import query, table
 from .classify import LINKS, page_links
+from .pages import _PARAGRAPHS
 from .rank import CLAIM, SCORES, _soft_sql, pages_of_blocks
 from .text import BLOCKS, sql_estimate, sql_tokens
 
@@ -135,33 +138,62 @@ def digest_inputs(spark, sf_dir):
     return pages.select("page_id", F.posexplode(X.digest_entries(text)).alias("k", "e")).select("page_id", "k", "e.*")
 
 
-CODECS = ("text", "lines", "form")
-_LINES = f"(SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS x FROM {BLOCKS} WHERE line <> '' AND length(line) >= 40 GROUP BY doc_id)"
+_BLOCKS = _PARAGRAPHS + r"""
+, v AS (SELECT page_id, ps, array_to_string(ps, chr(10) || chr(10)) AS text, array_to_string(list_concat(['# ' || ps[1]], ps[2:]), chr(10) || chr(10)) || chr(10) AS compact,
+  '{"v":1,"text":' || to_json(array_to_string(ps, chr(10) || chr(10)))::VARCHAR || ',"blocks":[{"type":"heading","level":1,"text":' || to_json(ps[1])::VARCHAR || '}' ||
+  array_to_string(list_transform(ps[2:], lambda x: ',{"type":"paragraph","text":' || to_json(x)::VARCHAR || '}'), '') || '],"tables":[]}' AS json FROM b)
+"""
+
+
+def views(spark, sf_dir):
+    """Every page's blocks and tables, with its blocks' texts as the text."""
+    found = K.page_views(page_nodes(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return found.withColumn("text", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n"))
+
+
+ASKED = ("", "compact", " json ", "external", "toml")
+
+
+@query("codec_forms", rf"""
+WITH {_BLOCKS}, f AS (SELECT page_id, '' AS asked, 'markdown' AS codec, NULL AS failure, text AS x, false AS round_trip FROM v
+  UNION ALL SELECT page_id, 'compact', 'compact', NULL, compact, len(list_filter(ps, lambda x: regexp_matches(x, '^(#|- |> |```|\| )'))) = 0 FROM v
+  UNION ALL SELECT page_id, ' json ', 'json', NULL, json, true FROM v
+  UNION ALL SELECT page_id, 'external', NULL, 'codec_cannot_encode', NULL, false FROM v UNION ALL SELECT page_id, 'toml', NULL, 'unsupported_codec', NULL, false FROM v)
+SELECT page_id, asked, codec, failure, sha256(x) AS digest, round_trip FROM f
+""")
+def codec_forms(spark, sf_dir):
+    """Every page in every form that is asked for, and whether reading the form gives the blocks and tables back."""
+    asked = F.explode(F.array(*[F.lit(a) for a in ASKED]))
+    rows = views(spark, sf_dir).withColumn("asked", asked)
+    rows = rows.withColumn("surface", K.encoded(F.col("asked"), F.col("text"), F.col("blocks"), F.col("tables"))).withColumn("s", K.selected(F.col("asked")))
+    back = F.lit(False)
+    for name, codec in K.CODECS.items():
+        if codec.decode:
+            same = codec.decode(F.col("surface")) == F.struct("blocks", "tables").cast(K.VIEW)
+            back = F.when(F.col("s.codec") == name, F.coalesce(same, F.lit(False))).otherwise(back)
+    return rows.select("page_id", "asked", "s.codec", "s.failure", F.sha2("surface", 256).alias("digest"), back.alias("round_trip"))
 
 
 @query("codec_bench", rf"""
-WITH c AS (SELECT doc_id, 'text' AS codec, text AS x FROM documents WHERE text IS NOT NULL
-  UNION ALL SELECT doc_id, 'lines', coalesce(x, '') FROM documents LEFT JOIN {_LINES} USING (doc_id) WHERE text IS NOT NULL
-  UNION ALL SELECT doc_id, 'form', {_form("text")} FROM documents WHERE text IS NOT NULL),
+WITH {_BLOCKS}, c AS (SELECT 'markdown' AS codec, text AS x FROM v UNION ALL SELECT 'compact', compact FROM v UNION ALL SELECT 'json', json FROM v),
 m AS (SELECT codec, {sql_estimate("x")} AS tokens, octet_length(encode(x)) AS bytes, length(x) AS chars FROM c),
 g AS (SELECT codec, count(*) AS pages, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(chars) AS BIGINT) AS chars, CAST(median(tokens) AS DOUBLE) AS median_tokens FROM m GROUP BY codec)
-SELECT codec, pages, tokens, bytes, chars, median_tokens, round(1 - tokens::DOUBLE / (SELECT tokens FROM g WHERE codec = 'text'), 4) AS saved,
-  CASE WHEN codec = 'text' THEN 'baseline' WHEN tokens < (SELECT tokens FROM g WHERE codec = 'text') THEN 'smaller' ELSE 'not_smaller' END AS disposition FROM g
+SELECT codec, pages, tokens, bytes, chars, median_tokens, round(1 - tokens::DOUBLE / (SELECT tokens FROM g WHERE codec = 'markdown'), 4) AS saved,
+  CASE WHEN codec = 'markdown' THEN 'baseline' WHEN tokens < (SELECT tokens FROM g WHERE codec = 'markdown') THEN 'smaller' ELSE 'not_smaller' END AS disposition FROM g
 """)
 def codec_bench(spark, sf_dir):
-    """Three forms of every document measured against its text as it is. Medians are of counts of distinct sizes."""
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
-    lines = F.array_join(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 40), "\n")
-    forms = F.array(*[F.struct(F.lit(c).alias("codec"), x.alias("x")) for c, x in zip(CODECS, (F.col("text"), lines, X.reflow_form(F.col("text"))), strict=True)])
-    rows = docs.select(F.explode(forms).alias("f")).select(
+    """The forms of every page measured against its text as it is. Medians are of counts of distinct sizes."""
+    able = [k for k, c in K.CODECS.items() if c.encode]
+    forms = F.array(*[F.struct(F.lit(k).alias("codec"), K.CODECS[k].encode(F.col("text"), F.col("blocks"), F.col("tables")).alias("x")) for k in able])
+    rows = views(spark, sf_dir).select(F.explode(forms).alias("f")).select(
         "f.codec", T.token_estimate(F.col("f.x")).alias("tokens"), F.octet_length("f.x").alias("bytes"), F.length("f.x").alias("chars")
     )
     sums = rows.groupBy("codec").agg(
         F.count("*").alias("pages"), F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"), F.sum("chars").alias("chars"),
         F.percentile("tokens", 0.5).alias("median_tokens"),
     )
-    base = sums.filter("codec = 'text'").select(F.col("tokens").alias("base"))
-    told = F.when(F.col("codec") == "text", "baseline").when(F.col("tokens") < F.col("base"), "smaller").otherwise("not_smaller")
+    base = sums.filter(F.col("codec") == K.DEFAULT).select(F.col("tokens").alias("base"))
+    told = F.when(F.col("codec") == K.DEFAULT, "baseline").when(F.col("tokens") < F.col("base"), "smaller").otherwise("not_smaller")
     return sums.join(F.broadcast(base)).select(  # one row
         "codec", "pages", "tokens", "bytes", "chars", "median_tokens", F.round(1 - F.col("tokens") / F.col("base"), 4).alias("saved"), told.alias("disposition")
     )

@@ -33,9 +33,10 @@ def test_against_windows(spark, rows, keys):
     parts = parts_of(spark, rows, keys)
     assert parts.filter("k = 'hot'").select(O.PART).distinct().count() > 5
     w = Window.partitionBy(*keys).orderBy("i")
-    want = {tuple(r) for r in rows.select("i", F.row_number().over(w) - 1, F.lag("v").over(w), F.max("v").over(w)).collect()}
+    want = {tuple(r) for r in rows.select("i", F.row_number().over(w) - 1, F.lag("v").over(w), F.max("v").over(w), F.last("v", True).over(w)).collect()}
     out = O.with_running_max(O.with_previous(O.with_place(parts, keys, ["i"], "n"), keys, ["i"], "v", "p"), keys, ["i"], "v", "m")
-    assert {tuple(r) for r in out.select("i", "n", "p", "m").collect()} == want
+    out = O.with_last(out, keys, ["i"], "v", "l")
+    assert {tuple(r) for r in out.select("i", "n", "p", "m", "l").collect()} == want
     assert out.count() == rows.count()
 
 
