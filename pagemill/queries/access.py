@@ -100,15 +100,23 @@ def _case(key, values):
     return f"CASE {key} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
 
 
+#: What an event's value says: in hundredths, as a whole number.
+_VALUES = "(SELECT event_id, CAST(round(coalesce(value, 0) * 100) AS BIGINT) AS v FROM events)"
+
+
+def _value():
+    return F.round(F.coalesce("value", F.lit(0.0)) * 100).cast("bigint")
+
+
 @query("heal_offer", f"""
-WITH a AS (SELECT event_id, lower({_case("event_id % 10", _CODES)}) AS raw, {_case("event_id // 10 % 5", _WARNINGS)} AS w, {_case("event_id // 50 % 5", _URLS)} AS u, event_id % 3 = 0 AS session FROM events),
+WITH a AS (SELECT event_id, lower({_case("v % 10", _CODES)}) AS raw, {_case("v // 10 % 5", _WARNINGS)} AS w, {_case("v // 50 % 5", _URLS)} AS u, v % 3 = 0 AS session FROM {_VALUES}),
 b AS (SELECT *, CASE WHEN raw = 'anti_bot' THEN 'captcha_or_challenge' ELSE raw END AS c, starts_with(w, 'content_selectors_miss') OR contains(w, 'noise_only') AS poor,
   starts_with(w, 'challenge_kind:') OR regexp_matches(u, '^https://[^/]*captcha') OR regexp_matches(u, '/js_challenge(/|$)') OR contains(u, '__cf_chl') AS challenge FROM a)
 SELECT event_id, CASE WHEN challenge THEN false WHEN c = '' THEN poor WHEN c IN ('requires_login', 'http_401', 'http_403') THEN session
   WHEN c IN ({", ".join(f"'{c}'" for c in A.TERMINAL)}) OR starts_with(c, 'http_4') OR starts_with(c, 'http_5') THEN false WHEN c IN ({", ".join(f"'{c}'" for c in A.HEALABLE)}) THEN true ELSE poor END AS heal FROM b
 """)
 def heal_offer(spark, sf_dir):
-    i = F.col("event_id")
+    i = _value()
 
     def pick(key, values):
         return F.element_at(F.array(*[F.lit(v) for v in values]), (key + 1).cast("int"))
@@ -128,14 +136,14 @@ def _rank_sql(x):
 
 
 @query("backend_cascade", f"""
-WITH a AS (SELECT event_id, {_case("event_id % 6", _KIND)} AS h, {_case("event_id // 6 % 6", _KIND)} AS b, CASE WHEN event_id % 5 = 0 THEN {_case("event_id // 36 % 6", _KIND)} END AS m, event_id % 11 = 0 AS reference FROM events),
+WITH a AS (SELECT event_id, {_case("v % 6", _KIND)} AS h, {_case("v // 6 % 6", _KIND)} AS b, CASE WHEN v % 5 = 0 THEN {_case("v // 36 % 6", _KIND)} END AS m, v % 11 = 0 AS reference FROM {_VALUES}),
 c AS (SELECT *, CASE WHEN h = 'usable' OR h = 'http_404' OR reference THEN 1 WHEN b = 'usable' OR m IS NULL THEN 2 ELSE 3 END AS tries FROM a),
 d AS (SELECT *, h = 'usable' OR (tries > 1 AND b = 'usable') OR (tries = 3 AND m = 'usable') AS ok, tries > 1 AND {_rank_sql("b")} >= {_rank_sql("h")} AS second FROM c)
 SELECT event_id, CASE WHEN ok THEN CASE tries WHEN 1 THEN 'http' WHEN 2 THEN 'browser' ELSE 'managed' END WHEN second THEN 'browser' ELSE 'http' END AS backend, ok,
   CASE WHEN NOT ok THEN CASE WHEN second THEN b ELSE h END END AS failure, CAST(tries AS INTEGER) AS tries FROM d
 """)
 def backend_cascade(spark, sf_dir):
-    i = F.col("event_id")
+    i = _value()
 
     def attempt(backend, key):
         kind = F.element_at(F.array(*[F.lit(k) for k in _KIND]), (key + 1).cast("int"))
@@ -146,8 +154,8 @@ def backend_cascade(spark, sf_dir):
 
     tries = [attempt("http", i % 6), attempt("browser", F.floor(i / 6) % 6)]
     managed = attempt("managed", F.floor(i / 36) % 6)
-    df = table(spark, sf_dir, "events").select("event_id", F.when(i % 5 == 0, F.array(*tries, managed)).otherwise(F.array(*tries)).alias("a"))
-    return A.cascade(df, "a", F.col("event_id") % 11 == 0).select("event_id", "backend", "ok", "failure", "tries")
+    df = table(spark, sf_dir, "events").select("event_id", i.alias("v"), F.when(i % 5 == 0, F.array(*tries, managed)).otherwise(F.array(*tries)).alias("a"))
+    return A.cascade(df, "a", F.col("v") % 11 == 0).select("event_id", "backend", "ok", "failure", "tries")
 
 
 _NEEDLES = [n for _, _, names in C.CHALLENGE_KINDS for n in names]

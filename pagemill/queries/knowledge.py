@@ -53,11 +53,15 @@ def knowledge_id(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", K.knowledge_id(F.col("url"), F.lit("article"), revision).alias("ko_id"))
 
 
-@query("genome_merge", "SELECT page_id, 'recipe' AS a, 'site' || page_id AS b, CAST(2 AS INTEGER) AS n FROM pages")
+@query("genome_merge", r"""
+SELECT page_id, regexp_extract(html, 'lang="([a-z]*)"', 1) AS lang, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host, CAST(3 AS INTEGER) AS n FROM pages
+""")
 def genome_merge(spark, sf_dir):
-    site = F.create_map(F.lit("a"), F.lit("site"), F.lit("b"), F.concat(F.lit("site"), F.col("page_id").cast("string")))
-    merged = K.merge_maps(site, F.create_map(F.lit("a"), F.lit("recipe")))
-    return table(spark, sf_dir, "pages").select("page_id", merged["a"].alias("a"), merged["b"].alias("b"), F.size(merged).alias("n"))
+    """What a page's site says of it under what its recipe says."""
+    host, lang = T.url_host(F.col("url")), F.regexp_extract("html", 'lang="([a-z]*)"', 1)
+    site = F.create_map(F.lit("lang"), F.lit("any"), F.lit("host"), host, F.lit("size"), F.length("html").cast("string"))
+    merged = K.merge_maps(site, F.create_map(F.lit("lang"), lang))
+    return table(spark, sf_dir, "pages").select("page_id", merged["lang"].alias("lang"), merged["host"].alias("host"), F.size(merged).alias("n"))
 
 
 def _canonical(spark, sf_dir):

@@ -83,17 +83,17 @@ def recipe_hygiene(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(B.violations(text), ",").alias("violations"))
 
 
-@query("lesson_export", """
-WITH a AS (SELECT page_id, page_id % 14 AS n, 'h' || page_id || CASE page_id % 3 WHEN 0 THEN '-Secret' WHEN 1 THEN '.example.org' ELSE '.averyveryverylonghost.net' END AS h FROM pages),
+@query("lesson_export", r"""
+WITH a AS (SELECT page_id, len(regexp_extract_all(html, '<p>')) % 14 AS n, regexp_extract(url, '://([^/?#:]*)', 1) || CASE WHEN length(html) % 3 = 0 THEN '-Secret' ELSE '' END AS h FROM pages),
 b AS (SELECT *, CASE WHEN length(h) >= 24 OR contains(lower(h), 'secret') THEN 'redacted' ELSE h END AS host, len(list_filter(range(0, least(n, 10)), lambda k: k % 4 <> 3)) AS kept FROM a)
 SELECT page_id, CAST(CASE WHEN kept > 0 THEN kept END AS INTEGER) AS lessons, CASE WHEN kept > 0 THEN host END AS host, CASE WHEN kept > 0 THEN 'note ' || h END AS note FROM b
 """)
 def lesson_export(spark, sf_dir):
-    i = F.col("page_id")
-    tail = F.when(i % 3 == 0, "-Secret").when(i % 3 == 1, ".example.org").otherwise(".averyveryverylonghost.net")
-    host = F.concat(F.lit("h"), i.cast("string"), tail)
+    """Lessons of each page's paragraphs about its host, some of them empty, as they may be shared."""
+    host = F.concat(F.regexp_extract("url", "://([^/?#:]*)", 1), F.when(F.length("html") % 3 == 0, "-Secret").otherwise(""))
     lesson = F.create_map(F.lit("host"), host, F.lit("note"), F.concat(F.lit("note "), host))
-    listed = F.transform(F.slice(F.sequence(F.lit(0), F.lit(14)), F.lit(1), (i % 14).cast("int")), lambda k: F.when(k % 4 != 3, lesson))
+    n = F.regexp_count("html", F.lit("<p>")) % 14
+    listed = F.transform(F.slice(F.sequence(F.lit(0), F.lit(14)), F.lit(1), n), lambda k: F.when(k % 4 != 3, lesson))
     out = table(spark, sf_dir, "pages").select("page_id", B.shared_lessons(listed).alias("ls"))
     first = F.try_element_at("ls", F.lit(1))
     return out.select("page_id", F.when(F.col("ls").isNotNull(), F.size("ls")).alias("lessons"), first["host"].alias("host"), first["note"].alias("note"))

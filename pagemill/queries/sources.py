@@ -136,19 +136,26 @@ def url_privacy(spark, sf_dir):
     return table(spark, sf_dir, "pages").filter("url is not null").select("page_id", S.url_privacy(url).alias("privacy"))
 
 
-@query("headers_merge", "SELECT page_id, 'b' || page_id AS accept, 'x' AS cookie, CAST(2 AS INTEGER) AS n FROM pages")
+@query("headers_merge", r"""
+SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS accept, regexp_extract(html, 'lang="([a-z]*)"', 1) AS cookie, CAST(2 AS INTEGER) AS n FROM pages
+""")
 def headers_merge(spark, sf_dir):
-    i = F.col("page_id").cast("string")
-    merged = S.merge_headers(F.create_map(F.lit("Accept"), F.lit("a"), F.lit("Cookie"), F.lit("x")), F.create_map(F.lit("ACCEPT"), F.concat(F.lit("b"), i)))
+    """Each page's default headers under its own, whatever their case."""
+    lang = F.regexp_extract("html", 'lang="([a-z]*)"', 1)
+    merged = S.merge_headers(F.create_map(F.lit("Accept"), F.lit("a"), F.lit("Cookie"), lang), F.create_map(F.lit("ACCEPT"), T.url_host(F.col("url"))))
     return table(spark, sf_dir, "pages").select("page_id", merged["accept"].alias("accept"), merged["cookie"].alias("cookie"), F.size(merged).alias("n"))
 
 
-@query("proxy_list", "SELECT user_id, CAST(2 AS INTEGER) AS n, 'http://u:p@h' || user_id || ':81' AS second FROM events GROUP BY user_id")
+@query("proxy_list", """
+SELECT user_id, CAST(count(DISTINCT event_type) + 1 AS INTEGER) AS n, 'http://u:p@h' || count(*) || ':81' AS last FROM events GROUP BY user_id
+""")
 def proxy_list(spark, sf_dir):
-    i = F.col("user_id").cast("string")
-    text = F.concat(F.lit("# list\nsocks5://a:1\n h"), i, F.lit(" , 81, u, p\n\nsocks5://a:1\nbroken"))
-    entries = S.proxy_entries(text)
-    return table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", F.size(entries).alias("n"), entries[1].alias("second"))
+    """A list of what each user's events name, some of it twice and some broken."""
+    kinds = F.transform(F.array_sort(F.collect_set("event_type")), lambda k: F.concat(F.lit("socks5://"), k, F.lit(":1")))
+    text = F.concat(F.lit("# list\n"), F.array_join(F.concat(kinds, kinds), "\n"), F.lit("\n\nbroken\n h"), F.count("*").cast("string"), F.lit(" , 81, u, p\n"))
+    lists = table(spark, sf_dir, "events").groupBy("user_id").agg(text.alias("text"))
+    entries = S.proxy_entries(F.col("text"))
+    return lists.select("user_id", F.size(entries).alias("n"), F.element_at(entries, -1).alias("last"))
 
 
 @query("host_throttle", """
