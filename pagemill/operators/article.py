@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.markup import BLOCKS, HEADINGS
+from ..storage import materialize
 from . import nodes as N
 from .access import SPA_MARKERS
 
@@ -96,14 +97,20 @@ def scored(nodes: DataFrame) -> DataFrame:
     return held.select("page", "pos", "last", "parent", "tag", "chars", ((F.col("raw") + F.col("weight")) * (1 - F.col("density"))).alias("score"))
 
 
+def likely(nodes: DataFrame) -> DataFrame:
+    """``nodes`` without promotion, consent and elements whose names speak against them only; a page's own frame stays."""
+    names = F.lower(F.concat_ws(" ", F.col("attrs")["class"], F.col("attrs")["id"]))
+    unlikely = ~F.col("tag").isin("#page", "#text", "html", "body", "article", "main") & names.rlike(AGAINST) & ~names.rlike(FOR)
+    return N.strip(nodes, (*N.PROMO, *N.CONSENT), unlikely)
+
+
 def article_roots(nodes: DataFrame) -> DataFrame:
-    """(page, pos, last, method): the elements that make up each page's article.
+    """(page, pos, last, method): the elements that make up each page's article, in likely ``nodes``.
 
     The best scored element, and those of its siblings that come near it; where no element has a positive score, the
-    element picked by name. Pages with neither have no rows.
+    element picked by name; where none is, the body, or the page without one.
     """
-    clean = N.strip(nodes, (*N.PROMO, *N.CONSENT))
-    all_scored = scored(clean).filter("score > 0")
+    all_scored = materialize(scored(nodes).filter("score > 0"), "scores")
     by_score = Window.partitionBy("page").orderBy(F.desc("score"), F.desc("pos"))  # of equals the inner one
     ranked = all_scored.withColumn("rank", F.row_number().over(by_score))
     best = F.struct("pos", "parent", "score")
@@ -111,22 +118,26 @@ def article_roots(nodes: DataFrame) -> DataFrame:
     beside = (F.col("parent") == F.col("best.parent")) & (F.col("score") >= F.greatest(F.lit(10.0), 0.2 * F.col("best.score")))
     kept = ranked.filter((F.col("rank") == 1) | beside).select("page", "pos", "last", F.lit("density").alias("method"))
     rest = nodes.join(all_scored.select("page").distinct(), "page", "left_anti")
-    return kept.unionByName(picked(rest).withColumn("method", F.lit("pick")))
+    by_name = picked(rest).withColumn("method", F.lit("pick"))
+    bare = rest.filter(F.col("tag").isin("body", "#page")).join(by_name.select("page"), "page", "left_anti")
+    body = bare.groupBy("page").agg(F.max_by(F.struct("pos", "last"), F.struct(F.col("tag") == "body", -F.col("pos"))).alias("e"))
+    return kept.unionByName(by_name).unionByName(body.select("page", "e.pos", "e.last", F.lit("body").alias("method")))
 
 
 def article_text(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """One row a page: page_id, ok, method, title, text, failure, spa_stub.
 
-    ``text`` has the article's paragraphs, parted by empty lines. A page without an article is an ``extraction_failed``; it is a
+    ``text`` has the article's paragraphs, parted by empty lines. A page without text is an ``extraction_failed``; it is a
     stub if it has little text and a mount point for scripts. Null and empty pages fail. Repeated rows give a row each.
     """
     low, marked = F.lower(F.coalesce(F.col(html), F.lit(""))), F.lit(False)
     for marker in SPA_MARKERS:
         marked |= low.contains(marker)
     nodes = N.page_nodes(df, html=html, url=url, marks={"mount": marked})
-    roots = article_roots(nodes)
+    clean = materialize(likely(nodes), "likely")
+    roots = materialize(article_roots(clean), "roots")
     inside = roots.select(F.col("page").alias("p"), F.col("pos").alias("root"), "last", "method")
-    runs = paragraphs(nodes).join(inside, (F.col("page") == F.col("p")) & F.col("pos").between(F.col("root"), F.col("last")), "left_semi")
+    runs = paragraphs(clean).join(inside, (F.col("page") == F.col("p")) & F.col("pos").between(F.col("root"), F.col("last")), "left_semi")
     texts = runs.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
     titles = nodes.filter(N.within(F.col("path"), ("title",)) & (F.col("tag") == "#text")).groupBy("page").agg(
         F.nullif(N.squeeze(F.min_by("text", "pos")), F.lit("")).alias("title")

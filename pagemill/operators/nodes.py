@@ -172,12 +172,12 @@ def _in_order() -> Window:
     return Window.partitionBy("page").orderBy("pos")
 
 
-def strip(nodes: DataFrame, selectors: Sequence[str]) -> DataFrame:
-    """``nodes`` without the elements that any of ``selectors`` matches, and without what they hold.
+def strip(nodes: DataFrame, selectors: Sequence[str], also: Column | None = None) -> DataFrame:
+    """``nodes`` without the elements that any of ``selectors`` matches, or for which ``also`` holds, and without what they hold.
 
     A node goes if an element that goes, before it or itself, spans its place: a running maximum in the order of the page.
     """
-    one_step, joined = F.lit(False), []
+    one_step, joined = F.lit(False) if also is None else F.coalesce(also, F.lit(False)), []
     for selector in selectors:
         for steps in parse_selector(selector):
             if len(steps) == 1:

@@ -95,7 +95,7 @@ b AS (SELECT page_id, t, list_filter(list_transform(string_split_regex(x, '<p>|<
 
 @query("article_text", f"""
 WITH {_PARAGRAPHS}
-SELECT page_id, true AS ok, 'density' AS method, trim(regexp_replace(replace(replace(t, '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, array_to_string(ps, chr(10) || chr(10)) AS text FROM b
+SELECT page_id, true AS ok, CASE WHEN len(list_filter(ps, lambda x: length(x) >= 25)) > 0 THEN 'density' ELSE 'body' END AS method, trim(regexp_replace(replace(replace(t, '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, array_to_string(ps, chr(10) || chr(10)) AS text FROM b
 """)
 def article_text(spark, sf_dir):
     """The article of every page, found by text density; the ad and the menu beside it stay out."""

@@ -89,8 +89,9 @@ def test_articles_are_found_by_density(spark):
     assert out[0].text.split("\n\n") == [f"{PROSE * 2}Part {k}." for k in range(5)]
     assert out[1].method == "density" and out[1].text == (PROSE * 2).strip().replace(". The", ". The")
     assert out[2].ok and "w w" in out[2].text
-    assert [(r.ok, r.failure, r.spa_stub, r.text) for r in out[3:]] == [
-        (False, "extraction_failed", True, None), (False, "extraction_failed", False, None),
+    assert (out[4].ok, out[4].method, out[4].text) == (True, "body", "too short")
+    assert [(r.ok, r.failure, r.spa_stub, r.text) for r in (out[3], *out[5:])] == [
+        (False, "extraction_failed", True, None),
         (False, "extraction_failed", False, None), (False, "extraction_failed", False, None),
     ]
 
