@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +46,21 @@ CONSENT = (
 )
 
 
+def _columns(rows: list[list]) -> list[pa.Array]:
+    """The rows of a tokenizer as columns; maps and paths are made of flat ones."""
+    columns = [list(c) for c in zip(*rows, strict=True)]
+    attrs, paths = columns[6], columns[9]
+    pairs = [x for a in attrs if a for x in a.items()]
+    ends, steps = list(accumulate((len(a or ()) for a in attrs), initial=0)), [s for path in paths for s in path]
+    known = pa.array([None if a is None else n for a, n in zip([*attrs, {}], ends, strict=True)], pa.int32())
+    keys, values = (pa.array([x[k] for x in pairs], pa.string()) for k in (0, 1))
+    fields = [pa.array([s[k] for s in steps], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int32()))]
+    path = pa.StructArray.from_arrays(fields, fields=list(_TYPES["path"].value_type))
+    offsets = pa.array(accumulate(map(len, paths), initial=0), pa.int32())
+    made = {6: pa.MapArray.from_arrays(known, keys, values), 9: pa.ListArray.from_arrays(offsets, path)}
+    return [made[k] if k in made else pa.array(c, t) for k, (c, t) in enumerate(zip(columns, _TYPES.values(), strict=True))]
+
+
 def page_nodes(df: DataFrame, key: str = "page_id", html: str = "html", url: str = "url", marks: dict[str, Column] | None = None) -> DataFrame:
     """The materialised node table of ``df``: page (a number of the row), page_id, and a row for each element and text.
 
@@ -63,15 +79,8 @@ def page_nodes(df: DataFrame, key: str = "page_id", html: str = "html", url: str
             ids, rows, at = batch.column(1), [], []
 
             def out() -> pa.RecordBatch:
-                columns = [list(c) for c in zip(*rows, strict=True)]  # noqa: B023
-                columns[6] = [None if a is None else list(a.items()) for a in columns[6]]
-                columns[9] = [[{"pos": p, "tag": t, "nth": n} for p, t, n in path] for path in columns[9]]
-                numbers = [k for k, n in at for _ in range(n)]  # noqa: B023
-                return pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(numbers)), ids.take(pa.array(numbers))]  # noqa: B023
-                    + [pa.array(c, t) for c, t in zip(columns, _TYPES.values(), strict=True)],
-                    names=["page", "page_id", *_TYPES],
-                )
+                numbers = pa.array([k for k, n in at for _ in range(n)])  # noqa: B023
+                return pa.RecordBatch.from_arrays([batch.column(0).take(numbers), ids.take(numbers), *_columns(rows)], names=["page", "page_id", *_TYPES])  # noqa: B023
 
             for k in range(batch.num_rows):
                 base, marks = batch.column(3)[k].as_py(), batch.column(4)[k].as_py()

@@ -299,7 +299,8 @@ def _runs(inside: DataFrame) -> DataFrame:
     runs = held.groupBy(*_key(), "run").agg(
         F.min("pos").alias("pos"), F.min_by("own", "pos").alias("own"), F.array_sort(F.collect_list(F.struct("pos", "text", "marks"))).alias("pieces")
     )
-    body, raw = _marked(F.col("pieces")), F.array_join(F.transform("pieces", lambda x: x["text"]), "")
+    raw = F.array_join(F.transform("pieces", lambda x: x["text"]), "")
+    body = F.when(F.exists("pieces", lambda x: F.size(x["marks"]) > 0), _marked(F.col("pieces"))).otherwise(raw)
     heading = N.nearest(F.col("own"), HEADINGS)["tag"]
     runs = runs.withColumn("body", F.regexp_replace(body, r"^\s+|\s+$", "")).withColumn("pre", pre)
     code = F.concat(F.lit("```\n"), F.regexp_replace(raw, r"^\n+|\n+$", ""), F.lit("\n```"))
