@@ -74,6 +74,11 @@ def page_nodes(df: DataFrame, key: str = "page_id", html: str = "html", url: str
         given.cast("map<string,string>").alias("marks"),
     )
 
+    # a table of few splits would be tokenized, and its nodes read again, by few tasks; one of many is left as it lies
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if source.rdd.getNumPartitions() < tasks:
+        source = source.repartition(tasks)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows, at = batch.column(1), [], []
