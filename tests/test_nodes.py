@@ -26,6 +26,12 @@ def test_intervals_nest_and_end_tags_are_implied():
     assert [r[8] for r in tokenize("&amp;<br/><img src=x>t", URL) if r[5] == "#text"] == ["&", "t"]
 
 
+def test_a_reference_ends_with_a_semicolon():
+    rows = tokenize("<title>a &amp; b&amp</title><script>x && y &amp; \"&lt\"</script>R&D &copy 2 &#65;&#x42; &#65 &copy;&quot<a href='/x?a=1&copy=2&amp;b=3'>\ufdd0</a>&", URL)
+    assert [r[8] for r in rows if r[5] == "#text"] == ["a & b&amp", 'x && y &amp; "&lt"', "R&D &copy 2 AB &#65 \u00a9&quot", "\ufdd0", "&"]
+    assert [r[6]["href"] for r in rows if r[5] == "a"] == ["/x?a=1&copy=2&b=3"]
+
+
 def test_deep_and_broken_markup_keeps_paths_short():
     rows = tokenize("<div>" * 5000 + "deep", URL)
     assert max(len(r[9]) for r in rows) == MAX_DEPTH + 1 and rows[-1][8] == "deep"
