@@ -32,8 +32,10 @@ def _first(value: Column) -> Column:
     return F.first(value, ignorenulls=True)
 
 
-def _ranked(df: DataFrame, most: int, order: str = "pos") -> DataFrame:
-    """The first ``most`` rows of each page."""
+def _ranked(df: DataFrame, most: int | None, order: str = "pos") -> DataFrame:
+    """The first ``most`` rows of each page, or all."""
+    if most is None:
+        return df
     place = F.row_number().over(Window.partitionBy("page").orderBy(order))
     return df.withColumn("__n", place).filter(F.col("__n") <= most).drop("__n")
 
@@ -77,8 +79,11 @@ def with_selectors(df: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
     return found.withColumn("selector", F.array_join(F.concat(lead, steps), " > ")).drop("__ids", "__at")
 
 
-def page_blocks(nodes: DataFrame) -> DataFrame:
-    """(page_id, pos, type, text, links, selector, level): the content's outermost blocks outside chrome, at most 400 a page."""
+def page_blocks(nodes: DataFrame, most: int | None = MAX_BLOCKS, longest: int | None = MAX_TEXT) -> DataFrame:
+    """(page_id, pos, type, text, links, selector, level): the content's outermost blocks outside chrome.
+
+    ``most`` of them a page, with ``longest`` characters each; with None all of them, whole.
+    """
     inside = content(nodes)
     stop = F.try_element_at(F.filter("own", lambda p: p["tag"].isin(*KINDS, *N.SKIPPED)), F.lit(1))
     rows = inside.withColumn("stop", stop).filter(F.col("stop.tag").isin(*KINDS))
@@ -101,8 +106,9 @@ def page_blocks(nodes: DataFrame) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
     place = (F.row_number().over(Window.partitionBy("page").orderBy("pos")) - 1).alias("pos")
     level = F.when(F.col("tag").isin(*HEADINGS), F.substring("tag", 2, 1).cast("int"))
-    return with_selectors(_ranked(blocks, MAX_BLOCKS), nodes, "path").select(
-        "page_id", place, kinds[F.col("tag")].alias("type"), F.substring("text", 1, MAX_TEXT).alias("text"), "links", "selector", level.alias("level")
+    shown = F.col("text") if longest is None else F.substring("text", 1, longest).alias("text")
+    return with_selectors(_ranked(blocks, most), nodes, "path").select(
+        "page_id", place, kinds[F.col("tag")].alias("type"), shown, "links", "selector", level.alias("level")
     )
 
 
