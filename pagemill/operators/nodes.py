@@ -243,10 +243,10 @@ def _short(text: Column, most: int = 80) -> Column:
     return F.when(F.length(bare) > most, F.concat(F.substring(bare, 1, most), F.lit("…"))).otherwise(bare)
 
 
-def skeleton(nodes: DataFrame, most: int = SKELETON_NODES, deepest: int = SKELETON_DEPTH) -> DataFrame:
+def skeleton(nodes: DataFrame, most: int | None = SKELETON_NODES, deepest: int = SKELETON_DEPTH) -> DataFrame:
     """(page_id, pos, parent, depth, tag, id, classes, role, test_id, aria, text, interactive, main_score): bounded trees.
 
-    The elements of each page's body in order, down to ``deepest`` levels, ``most`` of them: as whatever is cut by depth or tag is a
+    The elements of each page's body in order, down to ``deepest`` levels, ``most`` of them, or all with None: as whatever is cut by depth or tag is a
     whole interval, the first ones in order are always a tree. ``text`` is that of an element with one text and nothing else;
     ``main_score`` says how likely an element holds the page's matter.
     """
@@ -254,7 +254,7 @@ def skeleton(nodes: DataFrame, most: int = SKELETON_NODES, deepest: int = SKELET
     held = nodes.join(body, "page").filter((F.col("pos") >= F.col("body.pos")) & (F.col("pos") <= F.col("body.last")))
     attrs, depth = F.col("attrs"), F.size("path") - F.col("body.at")
     elements = held.filter((F.col("tag") != "#text") & (depth <= deepest) & ~within(F.col("path"), _BARE))
-    first = elements.withColumn("n", F.row_number().over(_in_order())).filter(F.col("n") <= most)
+    first = elements if most is None else elements.withColumn("n", F.row_number().over(_in_order())).filter(F.col("n") <= most)
     texts = held.filter("tag = '#text'").select("page", F.explode(F.transform("path", lambda p: p["pos"])).alias("pos"), F.col("pos").alias("at"), "parent", "text")
     whole = texts.groupBy("page", "pos").agg(
         joined_text(F.collect_list(F.struct(F.col("at").alias("pos"), "text"))).alias("whole"), F.sum((F.col("parent") == F.col("pos")).cast("int")).alias("own")

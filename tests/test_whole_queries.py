@@ -122,3 +122,13 @@ def test_links_with_any_letters_count(spark, tmp_path):
     html = '<html><body><a href="/abc">one</a><a href="/a1-b">two</a><a href="/é/x_y">three</a><a href="/abc">one</a></body></html>'
     folder = save(spark, tmp_path, "pages", [(1, "http://h.net/", html)], "page_id bigint, url string, html string")
     assert [tuple(r) for r in queries.QUERIES["page_links"](spark, folder).collect()] == [(1, 3)]
+
+
+def test_long_pages_are_counted_whole(spark, tmp_path):
+    body = "".join(f"<p>part {k} {'x' * 9000 if k == 3 else ''}</p>" for k in range(450))
+    html = f"<html><head><title>t</title></head><body><article><h1>t</h1>{body}</article></body></html>"
+    folder = save(spark, tmp_path, "pages", [(1, "https://a.org/b", html)], "page_id bigint, url string, html string")
+    assert queries.QUERIES["page_paragraphs"](spark, folder).first().paragraphs == 450
+    assert queries.QUERIES["page_skeleton"](spark, folder).first().nodes == 453
+    (form,) = queries.QUERIES["codec_bench"](spark, folder).filter("codec = 'markdown'").collect()
+    assert form.chars == len("\n\n".join(["t", *(f"part {k} {'x' * 9000 if k == 3 else ''}".strip() for k in range(450))]))
