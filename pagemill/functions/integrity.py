@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import round_even
+
 
 def content_hash(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.coalesce(text, F.lit("")), 256))
@@ -144,4 +146,4 @@ def from_base64url(text: Column) -> Column:
 
 def drift(present: Column, total: Column) -> Column:
     """Share of cited parts that are gone."""
-    return F.when(total > 0, F.bround(1 - present / total, 3)).otherwise(0.0)
+    return F.when(total > 0, round_even(1 - present / total, 3)).otherwise(0.0)

@@ -52,6 +52,16 @@ def contains_any(text: Column, phrases) -> Column:
     return reduce(operator.or_, [text.contains(p) for p in phrases])
 
 
+def round_even(value: Column, digits: int) -> Column:
+    """A double rounded by what it holds in binary, halves to even: 0.575 lies under its half. (``bround`` goes by its decimals.)"""
+    return F.rint(value * 10.0**digits) / 10.0**digits
+
+
+def round_half(value: Column, digits: int) -> Column:
+    """As :func:`round_even`, halves away from zero."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def length_of(text: Column, chars: str) -> Column:
     """How many characters of a class ``text`` has."""
     return F.length(F.regexp_replace(text, f"[^{chars}]", ""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import ordered as O
 
 ASSESSMENT = "struct<disposition: string, confidence: double, codes: array<string>, action: string>"
@@ -14,7 +15,7 @@ def access_outcome(assessment: Column) -> Column:
     """(disposition, confidence, evidence_codes, recommended_action) as they are told; null without an assessment."""
     codes = F.coalesce(assessment["codes"], F.array().cast("array<string>"))
     told = F.struct(
-        F.lower(assessment["disposition"]).alias("disposition"), F.bround(assessment["confidence"], 2).alias("confidence"),
+        F.lower(assessment["disposition"]).alias("disposition"), T.round_even(assessment["confidence"], 2).alias("confidence"),
         codes.alias("evidence_codes"), assessment["action"].alias("recommended_action"),
     )
     return F.when(assessment.isNotNull(), told)
