@@ -62,3 +62,11 @@ def with_last(parts: DataFrame, keys: list[str], order: list[str], value: str, n
     carried = _carried(parts, keys, F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))), lambda end: F.last(end, ignorenulls=True))
     own = F.last(value, ignorenulls=True).over(_within(keys, order))
     return carried.withColumn(name, F.coalesce(own, F.col("__carry"))).drop("__carry")
+
+
+def sums(parts: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """(keys, ``name``): the sum of doubles in order, part by part, so that its last digits do not depend on how rows met."""
+    upto = parts.withColumn("__sum", F.sum(value).over(_within(keys, order)))
+    ends = upto.groupBy(*keys, PART).agg(F.max_by("__sum", F.struct(*order)).alias("end"))
+    of_key = F.array_sort(F.collect_list(F.struct(F.col(PART), F.col("end"))))
+    return ends.groupBy(*keys).agg(F.aggregate(of_key, F.lit(0.0), lambda a, x: a + x["end"]).alias(name))

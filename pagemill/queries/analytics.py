@@ -46,7 +46,7 @@ def atlas(df, host: str, code: str):
         F.min(F.when(failed, F.struct((-F.col("n")).alias("minus"), F.col(code).alias("code"))))["code"].alias("dominant"),
     )
     walled = (F.col("successes") == 0) & (F.col("attempts") > 0) & F.coalesce(F.col("dominant").isin(*C.CLOSURES), F.lit(False))
-    return out.select(host, "attempts", "successes", F.bround(F.col("closures") / F.col("attempts"), 4).alias("closure_rate"), "dominant", walled.alias("walled"))
+    return out.select(host, "attempts", "successes", T.round_even(F.col("closures") / F.col("attempts"), 4).alias("closure_rate"), "dominant", walled.alias("walled"))
 
 
 @query("failure_rollup", ATLAS_SQL + "SELECT host, code, CAST(sum(n) AS BIGINT) AS n FROM ac WHERE code IS NOT NULL GROUP BY ROLLUP (host, code)")
@@ -57,13 +57,17 @@ def failure_rollup(spark, sf_dir):
 _PCT = "list_sort(list(value))[CAST(least(count(*), floor(count(*) * {p}) + 1) AS INTEGER)]"
 
 
+#: Events whose values are summed one after the other; the sums of several such parts are added in order.
+PART_EVENTS = 1_000_000
+
+
 @query("run_summary", f"""
 SELECT event_type, CAST(floor(user_id / 30) AS BIGINT) AS engine, count(*) AS n, round(avg(CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END), 3) AS ok_rate, {_PCT.format(p=0.5)} AS p50, {_PCT.format(p=0.95)} AS p95, round(avg(value), 1) AS mean
 FROM events WHERE value IS NOT NULL GROUP BY 1, 2
 """)
 def run_summary(spark, sf_dir):
     """Rates and latencies of runs. Percentiles are elements, not interpolations: Spark's histogram of distinct
-    values, which combines on the map side, gives the same element."""
+    values, which combines on the map side, gives the same element. Means are summed in the order of events."""
     df = table(spark, sf_dir, "events").filter("value is not null").withColumn("engine", F.floor(F.col("user_id") / 30))
     keys = ["event_type", "engine"]
     counts = df.groupBy(*keys, "value").agg(F.count("*").alias("c"))
@@ -73,10 +77,15 @@ def run_summary(spark, sf_dir):
     at = {p: F.least(F.col("total"), F.floor(F.col("total") * p) + 1) for p in (0.5, 0.95)}
     picked = [F.min(F.when(F.col("upto") >= at[p], F.col("value"))).alias(name) for p, name in ((0.5, "p50"), (0.95, "p95"))]
     out = ranked.groupBy(*keys).agg(*picked)
-    base = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.round(F.avg(F.when(F.col("value") > 10, 1.0).otherwise(0.0)), 3).alias("ok_rate"), F.round(F.avg("value"), 1).alias("mean")
-    )
-    return base.join(out, keys)
+    rate = T.round_half(F.count_if(F.col("value") > 10) / F.count("*"), 3)
+    base = df.groupBy(*keys).agg(F.count("*").alias("n"), rate.alias("ok_rate"))
+    parts = df.select(*keys, "event_id", "value", F.floor(F.col("event_id") / PART_EVENTS).alias(O.PART))
+    summed = O.sums(parts, keys, ["event_id"], "value", "sum")
+    both = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    named = [x.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in x.columns if c not in keys]) for x in (out, summed)]
+    for other in named:
+        base = base.join(other, both).drop(*[f"__{k}" for k in keys])
+    return base.select(*keys, "n", "ok_rate", "p50", "p95", T.round_half(F.col("sum") / F.col("n"), 1).alias("mean"))
 
 
 @query("engine_latency", f"""

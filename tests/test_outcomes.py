@@ -7,8 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.functions import text as T
 from pagemill.operators import codecs as K
 from pagemill.operators import knowledge as N
+from pagemill.operators import ordered as O
 from pagemill.operators import outcomes as X
 from pagemill.operators.nodes import page_nodes
 
@@ -107,6 +109,26 @@ def test_reads_meet_the_last_assessment(spark):
         assert best is None or (out[i].recommended_action, out[i].disposition, out[i].evidence_codes) == (best[2][3], "open", [])
 
 
+def test_halves_are_told_by_what_a_double_holds(spark):
+    values = [0.575, 1.035, 0.125, 0.375, -0.125, 57.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", T.round_even(F.col("v"), 2).alias("even"), T.round_half(F.col("v"), 2).alias("half"))
+    assert [(r.even, r.half) for r in df.collect()] == [(0.57, 0.57), (1.03, 1.03), (0.12, 0.13), (0.38, 0.38), (-0.12, -0.13), (57.0, 57.0), (None, None)]
+
+
+def test_sums_go_in_order_over_parts(spark):
+    rows = [("hot" if i % 5 else None, i, random.Random(i).random() * 10 ** (i % 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").withColumn("__part", F.floor(F.col("i") / 150)).repartition(7)
+    for r in O.sums(df, ["k"], ["i"], "v", "s").collect():
+        of = [[v for k, i, v in rows if k == r.k and i // 150 == p] for p in range(3)]
+        want = 0.0
+        for part in of:
+            own = 0.0
+            for v in part:
+                own += v
+            want += own
+        assert r.s == want
+
+
 def test_focus_and_completeness(spark):
     cases = itertools.product([None, "Hit", "weak", "None"], [None, " ", "q"], [None, "f"])
     df = spark.createDataFrame(list(cases), "s string, q string, f string")
