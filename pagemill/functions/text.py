@@ -64,15 +64,21 @@ def round_half(value: Column, digits: int) -> Column:
 
 def length_of(text: Column, chars: str) -> Column:
     """How many characters of a class ``text`` has."""
-    return F.length(F.regexp_replace(text, f"[^{chars}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
 def token_estimate(text: Column) -> Column:
     """Estimated tokens: a quarter for an ASCII character, one for a wide one, a half for each other UTF-16 unit."""
     text = F.coalesce(text, F.lit(""))
-    narrow, wide, astral = length_of(text, r"\x00-\x7F"), length_of(text, WIDE), length_of(text, r"\x{10000}-\x{10FFFF}")
-    cost = F.ceil(narrow * 0.25 + wide + astral + (F.length(text) - narrow - wide - astral) * 0.5)
-    return F.when(text == "", 0).otherwise(F.greatest(F.lit(1), cost)).cast("int")
+    n = F.length(text)
+
+    # only what is not ASCII is looked at, and only if it has characters of three bytes or more, letter by letter
+    def cost(rest: Column) -> Column:
+        full = F.when(F.octet_length(rest) > 2 * F.length(rest), length_of(rest, WIDE + r"\x{10000}-\x{10FFFF}")).otherwise(0)
+        return F.ceil((n - F.length(rest)) * 0.25 + full + (F.length(rest) - full) * 0.5)
+
+    mixed = F.element_at(F.transform(F.array(F.regexp_replace(text, r"[\x00-\x7F]+", "")), cost), 1)
+    return F.when(F.octet_length(text) == n, F.ceil(n * 0.25)).otherwise(mixed).cast("int")
 
 
 def bytes_estimate(n: Column) -> Column:

@@ -1,6 +1,8 @@
 """Sections, budgets, claims, links, hashes, histories and sources on small inputs."""
 
 import hashlib
+import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -150,3 +152,13 @@ def test_private_addresses(spark):
     urls = ["http://10.1.1.1/", "http://[::1]/", "http://[fe80::1]/", "https://8.8.8.8/", "ftp://h/", "http://localhost:80/", "http://a.internal/"]
     row = one(spark, *[W.url_privacy(F.lit(u)) for u in urls])
     assert list(row) == ["private_ip", "private_ip", "private_ip", "public", "bad_scheme", "localhost", "internal_name"]
+
+
+def test_estimates_look_at_few_letters(spark):
+    texts = ["", " ", "abc", "abcde", "stra\u00dfe", "\u00e9" * 7, "\u65e5\u672c\u8a9e x", "\u20ac\u20ac\u20ac", "\U0001f600a\u00e9\u3042", "\u4e00", "\n\u0416", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.token_estimate(F.col("t")).alias("n"))
+    full = lambda c: 1.0 if re.match("[\u4e00-\u9fff\u3400-\u4dbf\u3040-\u30ff\uac00-\ud7a3\uf900-\ufaff]", c) or ord(c) > 0xFFFF else 0.25 if ord(c) < 128 else 0.5
+    for r in df.collect():
+        assert r.n == math.ceil(sum(map(full, r.t or ""))), r.t
+    # ASCII is passed over in runs, not letter by letter, and the rest is looked at once
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 3
