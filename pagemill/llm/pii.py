@@ -39,6 +39,8 @@ ROUNDS = 3
 SLOT = 32
 #: Patterns that are broadcast at once; more go over the texts in several blocks.
 BLOCK_PATTERNS = 200_000
+#: Instances that a task holds at once, and texts whose seeds it holds: a hot pattern extracts any number.
+FOUND_ROWS, SEED_TEXTS = 16_384, 512
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -161,7 +163,7 @@ class Patterns:
 
 
 _SPAN = "struct<kind: int, start: bigint, end: bigint>"
-_FOUND = "struct<pattern: bigint, kind: int, start: bigint, end: bigint, instance: bigint>"
+_FOUND = "__uid bigint, pattern bigint, kind int, start bigint, end bigint, instance bigint"
 
 
 def scan_seeds(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -170,7 +172,7 @@ def scan_seeds(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     seed = pa.struct([("kind", pa.int32()), ("instance", pa.int64()), ("left", pa.string()), ("right", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SEED_TEXTS) for b in batches for at in range(0, b.num_rows, SEED_TEXTS)):
             base, contexts = [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
@@ -213,35 +215,36 @@ def _blocks(patterns: DataFrame, size: int) -> Iterator[list[tuple[int, int, str
         yield held
 
 
-def extract(rows: DataFrame, patterns: DataFrame, block_patterns: int = BLOCK_PATTERNS) -> DataFrame | None:
+def extract(rows: DataFrame, patterns: DataFrame, block_patterns: int = BLOCK_PATTERNS, batch_rows: int = FOUND_ROWS) -> DataFrame | None:
     """Materialised (__uid, pattern, kind, start, end, instance) of what the patterns extract; None without patterns.
 
-    ``rows``: __uid, __text.
+    ``rows``: __uid, __text. A task holds ``batch_rows`` instances at a time, also of one text.
     """
-    found_type = pa.struct([
-        ("pattern", pa.int64()), ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()),
-    ])
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    names = ["__uid", "pattern", "kind", "start", "end", "instance"]
     out = None
     for block in _blocks(patterns, block_patterns):
         shared = rows.sparkSession.sparkContext.broadcast(block)
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Patterns(shared.value)
+            found: list[tuple] = []
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
+
             for batch in batches:
-                uids, found = [], []
-                for uid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    text = text.as_py() or ""
-                    own = [
-                        {"pattern": n, "kind": k, "start": s, "end": e, "instance": _instance(k, text[s:e])}
-                        for n, k, s, e in index.find(text)
-                    ]
-                    if own:
-                        uids.append(uid)
-                        found.append(own)
-                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(found, pa.list_(found_type))], names=["__uid", "found"])
-
-        part = rows.select("__uid", "__text").mapInArrow(find, f"__uid bigint, found array<{_FOUND}>")
-        part = part.select("__uid", F.explode("found").alias("f")).select("__uid", "f.*")
+                for uid, text in zip(batch.column(0), batch.column(1), strict=True):
+                    uid, text = uid.as_py(), text.as_py() or ""
+                    for n, k, s, e in index.find(text):
+                        found.append((uid, n, k, s, e, _instance(k, text[s:e])))
+                        if len(found) >= batch_rows:
+                            yield made()
+                            found.clear()
+            if found:
+                yield made()
+
+        part = rows.select("__uid", "__text").mapInArrow(find, _FOUND)
         out = part if out is None else out.unionByName(part)
     return None if out is None else materialize(out, "pii-found")
 

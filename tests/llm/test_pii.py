@@ -165,3 +165,12 @@ def test_hidden_keys_of_the_tables_are_recovered(spark):
     out = {r.kind: r for r in pii.pii_held_out(spark, "/root/testdata/sf0.01").collect()}
     print(out)
     assert out["secret"].recovered >= 0.9 * out["secret"].hidden > 0 and out["secret"].wrong == 0
+
+
+def test_instances_leave_a_task_in_small_batches(spark):
+    texts = [f"say key {k:032x}f now and key {k + 1:032x}f now " * 20 for k in range(6)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "__uid bigint, __text string").coalesce(1)
+    patterns = spark.createDataFrame([(7, pii.SECRET, "say key", "now"), (8, pii.SECRET, "and key", "now")], "pattern bigint, kind int, `left` string, `right` string")
+    found = [sorted(map(tuple, pii.extract(rows, patterns, size, n).collect())) for size, n in ((9, pii.FOUND_ROWS), (9, 7), (1, 1))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 6 * 40
+    assert all(texts[u][s:e].endswith("f") and e - s == 33 for u, _, _, s, e, _ in found[0])
