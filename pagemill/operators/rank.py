@@ -105,24 +105,34 @@ def focus_match(text: Column, focus: str) -> Column:
     targets = F.array_join(F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)]+)\)"), 1), " ")
     blob = F.lower(F.trim(F.concat_ws(" ", visible, F.nullif(targets, F.lit("")))))
     groups = T.expand_terms(terms)
-    # terms that are softly equal share their first three letters, so few tokens need the full test
-    starts = sorted({w[:3] for g in groups for w in g})
-    tokens = F.array_distinct(F.filter(T.word_tokens(blob), lambda t: F.substring(t, 1, 3).isin(*starts)))
-    hits = F.element_at(
-        F.transform(
-            F.array(tokens), lambda few: sum((F.when(F.exists(few, _soft_any(g)), 1).otherwise(0) for g in groups), F.lit(0))
-        ),
-        1,
-    )
+    # terms that are softly equal share their first three letters, so only tokens that start with these are taken out
+    starts = sorted({w[:3] for g in groups for w in g if re.fullmatch(r"[^\W_]{3}", w[:3])})
+    first = "".join(sorted({x[0] for x in starts}))
+    near = rf"(?=[{first}])(?<![\p{{L}}\p{{N}}])((?:{'|'.join(starts)})[\p{{L}}\p{{N}}]*)"
     n = len(terms)
-    phrase = blob.contains(focus.strip().lower()) if len(focus.strip()) >= 4 else F.lit(False)
     need = max(2, -(-2 * n // 3))
-    tier = (
-        F.when(visible == "", "none").when(phrase, "phrase").when((hits == n) & F.lit(n > 0), "ideal")
-        .when((hits >= need) & F.lit(n >= 3), "partial").otherwise("none")
-    )
-    score = F.when(visible == "", 0.0).when(phrase, 1.0).otherwise(hits / max(n, 1))
-    return F.struct((tier != "none").alias("matched"), score.alias("score"), tier.alias("tier"), hits.alias("hits"))
+
+    # bound step by step, so that no text is formed or searched twice
+    def told(s: Column) -> Column:
+        blank, phrase, hits = s["blank"], s["phrase"], s["hits"]
+        tier = (
+            F.when(blank, "none").when(phrase, "phrase").when((hits == n) & F.lit(n > 0), "ideal")
+            .when((hits >= need) & F.lit(n >= 3), "partial").otherwise("none")
+        )
+        score = F.when(blank, 0.0).when(phrase, 1.0).otherwise(hits / max(n, 1))
+        return F.struct((tier != "none").alias("matched"), score.alias("score"), tier.alias("tier"), hits.alias("hits"))
+
+    def found(low: Column) -> Column:
+        tokens = F.array_distinct(F.regexp_extract_all(low, F.lit(near), 1)) if starts else F.array().cast("array<string>")
+        hits = _bound(tokens, lambda few: sum((F.when(F.exists(few, _soft_any(g)), 1).otherwise(0) for g in groups), F.lit(0)))
+        phrase = low.contains(focus.strip().lower()) if len(focus.strip()) >= 4 else F.lit(False)
+        return _bound(F.struct((visible == "").alias("blank"), phrase.alias("phrase"), hits.alias("hits")), told)
+
+    return _bound(blob, found)
+
+
+def _bound(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _soft_any(group: list[str]):

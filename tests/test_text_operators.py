@@ -162,3 +162,11 @@ def test_estimates_look_at_few_letters(spark):
         assert r.n == math.ceil(sum(map(full, r.t or ""))), r.t
     # ASCII is passed over in runs, not letter by letter, and the rest is looked at once
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 3
+
+
+def test_focus_takes_out_only_tokens_that_may_match(spark):
+    texts = ["the configuring of pourX", "xthat ecpour", "ÉTHAT that9 estionary", "[that](http://x/pouring) con", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", R.focus_match(F.col("t"), "that configuration pour estion").alias("f"))
+    assert [(r.f.hits, r.f.tier) for r in df.collect()] == [(2, "none"), (0, "none"), (2, "none"), (2, "none"), (0, "none"), (0, "none")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "{3,}" not in plan and "(?=[ce" in plan
