@@ -82,3 +82,36 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_document_frequencies_are_exact(spark):
+    """Every frequency is told apart, those of a single document and those under a hundredth of all among them."""
+    rng = random.Random(9)
+    vocab = vocabulary(rng, 60)
+    passages = [" ".join(rng.choice(vocab) for _ in range(12)) for _ in range(6)]
+    # passage k stands in 2**k documents of 400
+    docs = [" ".join([*(p for k, p in enumerate(passages) if i < 2**k), *(rng.choice(vocab) for _ in range(20))]) for i in range(400)]
+    rng.shuffle(docs)
+    df = spark.createDataFrame([(i >> 3, t) for i, t in enumerate(docs)], "slice bigint, text string").repartition(5, "slice").sortWithinPartitions("slice")
+    want = Counter(item for t in docs for item in near_dedup.shingles(words(t))[0].view("int64").tolist())
+    got = {}
+    for r in near_dedup.document_frequencies(df).collect():
+        for item, n in zip(memoryview(r["items"]).cast("q"), memoryview(r["df"]).cast("i"), strict=True):
+            assert got.setdefault((r["slice"], item), n) == n
+    held = {(i >> 3, item) for i, t in enumerate(docs) for item in near_dedup.shingles(words(t))[0].view("int64").tolist()}
+    assert got == {(s, item): want[item] for s, item in held if want[item] > 1}
+    assert {1, 2, 4, 8, 16, 32} <= set(want.values())
+
+
+def test_rare_shingles_weigh_by_their_frequency(spark):
+    """Two texts whose common part others share: 0.84 similar if all rare shingles weigh alike, 0.78 by plain TF-IDF."""
+    rng = random.Random(3)
+    vocab = vocabulary(rng, 5000)
+    base = [rng.choice(vocab) for _ in range(100)]
+    near = base[:93] + [rng.choice(vocab) for _ in range(10)]
+    docs = {i: " ".join(rng.choice(vocab) for _ in range(30)) for i in range(1000)}
+    docs |= {1000: " ".join(base), 1001: " ".join(near)} | {1002 + i: " ".join(base[:90] + [rng.choice(vocab) for _ in range(60)]) for i in range(7)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == brute_classes(docs)
+    assert got[1000] != got[1001]
