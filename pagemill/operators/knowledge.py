@@ -166,7 +166,7 @@ def retention_report(before: dict[str, DataFrame], after: dict[str, DataFrame],
     Terms are the different words of a page's claims: they are distinct by page first, so that counting them combines.
     """
     def terms(tables: dict[str, DataFrame], name: str) -> DataFrame:
-        words = tables["claim"].select(page, F.explode(T.word_tokens(F.col("text"))).alias("term")).distinct()
+        words = tables["claim"].select(page, F.explode(F.array_distinct(T.word_tokens(F.col("text")))).alias("term")).distinct()
         sizes = words.groupBy(page).agg(F.count("*").alias(f"terms_{name}"))
         return tables["claim"].groupBy(page).agg(F.count("*").alias(f"claims_{name}")).join(sizes, page, "left")
 

@@ -154,9 +154,14 @@ _CLAIMS = f"(SELECT doc_id, pos, line, greatest(1, {sql_estimate('line')}) AS co
 _KEPT = f"(SELECT * FROM (SELECT *, sum(cost) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM {_CLAIMS}) WHERE upto <= cap)"
 
 
-def _within_budget(spark, sf_dir):
-    """Canonical rows of all documents, and what an eighth of each one's characters, in tokens, keeps of them."""
-    tables = {k: materialize(t, k) for k, t in _canonical(spark, sf_dir).items()}
+def _within_budget(spark, sf_dir, written=True):
+    """Canonical rows of all documents, and what an eighth of each one's characters, in tokens, keeps of them.
+
+    Where only claims are asked for, their places and texts are cheaper to read again than all rows, with ids, to write.
+    """
+    tables = _canonical(spark, sf_dir)
+    if written:
+        tables = {k: materialize(t, k) for k, t in tables.items()}
     budget = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") / 8).alias("budget"))
     claims = tables["claim"].join(budget, "doc_id")
     return tables, K.retain_within(tables | {"claim": claims}, "doc_id", F.col("budget"))
@@ -181,7 +186,7 @@ FROM b LEFT JOIN a USING (doc_id) LEFT JOIN tb USING (doc_id) LEFT JOIN ta USING
 """)
 def retention_report(spark, sf_dir):
     """What a budget leaves of each document's claims and of their terms."""
-    before, after = _within_budget(spark, sf_dir)
+    before, after = _within_budget(spark, sf_dir, written=False)
     return K.retention_report(before, after, "doc_id")
 
 
