@@ -1,8 +1,12 @@
 import random
+import time
 from collections import Counter, defaultdict
 from math import log1p
 
+from pyspark.sql import functions as F
+
 from pagemill.llm import near_dedup
+from pagemill.llm.common import free_shuffles, materialize
 from pagemill.llm.components import connected_components
 from pagemill.llm.shingles import words
 
@@ -115,3 +119,23 @@ def test_rare_shingles_weigh_by_their_frequency(spark):
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
     assert got == brute_classes(docs)
     assert got[1000] != got[1001]
+
+
+def test_a_shuffle_is_freed_as_soon_as_its_plan_is_let_go(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = blocks.getAllFiles()
+        names = [files.apply(k).getName() for k in range(files.size())]
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = shuffles()
+    grouped = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.collect_list("id").alias("ids"))
+    materialize(grouped, "grouped")
+    made = shuffles() - before
+    del grouped
+    free_shuffles(spark)
+    end = time.time() + 10
+    while made & shuffles() and time.time() < end:
+        time.sleep(0.2)
+    assert made and not made & shuffles()
