@@ -37,13 +37,25 @@ def _trimmed(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"^\s+|\s+$", ""))
 
 
+def _may_match(steps: list[list[tuple]]) -> Column:
+    """Whether a row has what any of ``steps`` needs, an attribute or a tag: few rows do, so few are matched in full."""
+    names = {"class" if t[0] == "class" else "id" if t[0] == "id" else t[1].lower() for tests in steps for t in tests if t[0] != "tag"}
+    bare = [tests for tests in steps if all(t[0] == "tag" for t in tests)]
+    out = F.lit(False)
+    for tests in bare:
+        out |= N.matches(tests)
+    for name in sorted(names):
+        out |= F.col("attrs")[name].isNotNull()
+    return F.coalesce(out, F.lit(False))
+
+
 def picked(nodes: DataFrame, selectors: Sequence[str] = PICKS) -> DataFrame:
     """(page, pos, last): of each page the first element of the first of ``selectors`` with enough text or links."""
     own: DataFrame | None = None
     simple = [N.parse_selector(x) for x in selectors]
     if all(len(steps) == 1 for x in simple for steps in x):  # no step to join: one look at each row
         ranks = F.array_compact(F.array(*[F.when(F.greatest(*[N.matches(s[0][1]) for s in x], F.lit(False)), k) for k, x in enumerate(simple)]))
-        own = nodes.select("page", "pos", "last", F.explode(ranks).alias("rank"))
+        own = nodes.filter(_may_match([s[0][1] for x in simple for s in x])).select("page", "pos", "last", F.explode(ranks).alias("rank"))
     else:
         for rank, selector in enumerate(selectors):
             found = N.select_nodes(nodes, selector).withColumn("rank", F.lit(rank))
