@@ -40,6 +40,11 @@ def _ranked(df: DataFrame, most: int | None, order: str = "pos") -> DataFrame:
     return df.withColumn("__n", place).filter(F.col("__n") <= most).drop("__n")
 
 
+def _kept(texts: Column) -> Column:
+    """The rows whose one-element array is not empty, with its ``text``; a filter on a text that is made here would make it twice."""
+    return F.explode(texts).alias("text")
+
+
 def _texts(rows: DataFrame, place: Column, name: str) -> DataFrame:
     """(page, ``name``, text): the squeezed text of the rows of each ``place``."""
     pieces = F.collect_list(F.struct("pos", "text"))
@@ -101,8 +106,8 @@ def page_blocks(nodes: DataFrame, most: int | None = MAX_BLOCKS, longest: int |
     once = F.filter(named, lambda x, k: F.array_position(F.transform(named, lambda y: y["href"]), x["href"]) == k + 1)
     text = N.squeeze(F.array_join(F.transform("items", lambda x: x["text"]), ""))
     blocks = held.select(
-        *_key(), F.col("at").alias("pos"), "tag", text.alias("text"), F.transform(F.slice(once, 1, MAX_LINKS), link).alias("links"), "path"
-    ).filter("text <> ''")
+        *_key(), F.col("at").alias("pos"), "tag", _kept(F.filter(F.array(text), lambda t: t != "")), F.transform(F.slice(once, 1, MAX_LINKS), link).alias("links"), "path"
+    )
     kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
     place = (F.row_number().over(Window.partitionBy("page").orderBy("pos")) - 1).alias("pos")
     level = F.when(F.col("tag").isin(*HEADINGS), F.substring("tag", 2, 1).cast("int"))
@@ -301,19 +306,24 @@ def _runs(inside: DataFrame) -> DataFrame:
     marks = F.when(pre, F.array().cast(MARK)).otherwise(F.transform(inline, sign))
     hrefs = inside.filter("tag = 'a' and url is not null").groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("pos", "url"))).alias("hrefs"))
     rows = inside.filter(F.col("tag").isin("#text", "img", "br") & ~N.within(F.col("own"), ["table"])).join(hrefs, "page", "left")
-    held = rows.select(*_key(), "run", "pos", piece.alias("text"), marks.alias("marks"), "own").filter("text is not null")
+    # told by what a piece is made of: a test of the piece itself would make it twice
+    there = F.when(F.col("tag") == "img", F.col("url").isNotNull()).when(F.col("tag") == "br", True).otherwise(F.col("text").isNotNull())
+    held = rows.filter(there).select(*_key(), "run", "pos", piece.alias("text"), marks.alias("marks"), "own")
     runs = held.groupBy(*_key(), "run").agg(
         F.min("pos").alias("pos"), F.min_by("own", "pos").alias("own"), F.array_sort(F.collect_list(F.struct("pos", "text", "marks"))).alias("pieces")
     )
     raw = F.array_join(F.transform("pieces", lambda x: x["text"]), "")
     body = F.when(F.exists("pieces", lambda x: F.size(x["marks"]) > 0), _marked(F.col("pieces"))).otherwise(raw)
     heading = N.nearest(F.col("own"), HEADINGS)["tag"]
-    runs = runs.withColumn("body", F.regexp_replace(body, r"^\s+|\s+$", "")).withColumn("pre", pre)
     code = F.concat(F.lit("```\n"), F.regexp_replace(raw, r"^\n+|\n+$", ""), F.lit("\n```"))
-    text = F.when(F.col("pre"), code).when(F.col("body") == "", None).when(
-        heading.isNotNull(), F.concat(F.repeat(F.lit("#"), F.substring(heading, 2, 1).cast("int")), F.lit(" "), N.squeeze(F.col("body")))
-    ).otherwise(F.col("body"))
-    return runs.select(*_key(), "pos", text.alias("text"), _chain(F.col("own")).alias("chain")).filter("text is not null")
+    bare = F.when(pre, "").otherwise(F.regexp_replace(body, r"^\s+|\s+$", ""))
+
+    def text(b: Column) -> Column:
+        return F.when(pre, code).when(b == "", None).when(
+            heading.isNotNull(), F.concat(F.repeat(F.lit("#"), F.substring(heading, 2, 1).cast("int")), F.lit(" "), N.squeeze(b))
+        ).otherwise(b)
+
+    return runs.select(*_key(), "pos", _kept(F.array_compact(F.transform(F.array(bare), text))), _chain(F.col("own")).alias("chain"))
 
 
 def _table_blocks(inside: DataFrame) -> DataFrame:
