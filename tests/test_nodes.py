@@ -113,3 +113,11 @@ def test_an_article_is_picked_where_nothing_scores(spark):
     words = "".join(f"<p>word number {k}</p>" for k in range(30))
     (row,) = golden(spark, f"<body><p>out</p><main>{words}</main></body>")
     assert row.method == "pick" and row.text.startswith("word number 0\n\n") and "out" not in row.text
+
+
+def test_only_rows_that_can_match_are_matched_against_the_picks(spark):
+    html = '<body><p>plain</p><a href="/x">link</a><div>bare</div><ARTICLE>a</ARTICLE><main>m</main><p class=post-content>c</p><div role=main>r</div><p id=docs>d</p></body>'
+    steps = [s[0][1] for p in A.PICKS for s in N.parse_selector(p)]
+    hit = F.greatest(*[N.matches(tests) for tests in steps])
+    rows = N.page_nodes(pages(spark, html)).select("tag", A._may_match(steps).alias("may"), hit.alias("hit")).collect()
+    assert sorted(r.tag for r in rows if r.hit) == sorted(r.tag for r in rows if r.may) == ["article", "div", "main", "p", "p"]
