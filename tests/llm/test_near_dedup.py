@@ -3,9 +3,10 @@ import time
 from collections import Counter, defaultdict
 from math import log1p
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from pagemill.llm import near_dedup
+from pagemill.llm import near_dedup, shingles
 from pagemill.llm.common import free_shuffles, materialize
 from pagemill.llm.components import connected_components
 from pagemill.llm.shingles import words
@@ -139,3 +140,43 @@ def test_a_shuffle_is_freed_as_soon_as_its_plan_is_let_go(spark):
     while made & shuffles() and time.time() < end:
         time.sleep(0.2)
     assert made and not made & shuffles()
+
+
+def test_samples_are_found_among_few_candidates(monkeypatch):
+    """The same bands as from all shingles, whatever their weights, of a fraction of the variates."""
+    sampler = near_dedup.Sampler(float(log1p(1e5)))
+    made = []
+    plain = near_dedup.Sampler._log_a
+
+    def counted(self, *args):
+        made.append(plain(self, *args))
+        return made[-1]
+
+    monkeypatch.setattr(near_dedup.Sampler, "_log_a", counted)
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 40, 300, 3000, 20000):
+        items = np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        for most_df, most_tf in ((1, 1), (2, 1), (5000, 1), (50, 9)):
+            df = rng.integers(min(most_df, 2), most_df + 1, n)
+            weights = rng.integers(1, most_tf + 1, n) * np.log1p(1e5 / df)
+            made.clear()
+            few = sampler.bands(items, weights)
+            if n >= 300 and most_tf == 1:
+                assert sum(x.size for x in made) < n * 64 / 4
+            monkeypatch.setattr(near_dedup, "CANDIDATES", 1e9)
+            assert few.tolist() == sampler.bands(items, weights).tolist()
+            monkeypatch.setattr(near_dedup, "CANDIDATES", 8)
+
+
+def test_words_are_numbered_at_once(monkeypatch):
+    """As many numbers as words, equal for equal words only, wherever a block ends."""
+    odd = "Straße STRASSE naïve_x été\u0301 \u0130I ΟΔΟΣ Οδός 日本 語 𝔸b a1_2 ² ½ \ud800 ab ba aab aba baa _ __ 0 00 \x00 a\x00b"
+    texts = [None, "", "...", "a", odd, " ".join([odd] * 9) + "." + "x" * 100 + " end", "x" * 99]
+    for block in (1 << 15, 8, 1):
+        monkeypatch.setattr(shingles, "BLOCK", block)
+        of = {}
+        for text in texts:
+            numbers, seq = shingles.text_numbers(text).tolist(), words(text)
+            assert len(numbers) == len(seq) and numbers == shingles.word_numbers(seq).tolist()
+            assert all(of.setdefault(w, n) == n for w, n in zip(seq, numbers))
+        assert len(set(of.values())) == len(of)
