@@ -154,3 +154,22 @@ def test_packing_of_documents(spark, docs):
             at += r.length
         assert at <= 4096
     assert pack_pieces(token_pieces(docs.limit(0), WORDS)).count() == 0
+
+
+def test_a_word_is_looked_up_once(monkeypatch):
+    """A known word costs one look into the cache, not one to see whether it is new and one for its ids."""
+    looked = []
+
+    class Word(str):
+        __slots__ = ()
+
+        def __hash__(self):
+            looked.append(1)
+            return str.__hash__(self)
+
+    monkeypatch.setattr(WordEncoder, "_words", staticmethod(lambda text: [Word(w) for w in text.split()]))
+    code = WordEncoder(WORDS)
+    text = "one two three four " * 500
+    ids = code.encode(text)
+    assert len(looked) <= 2000 + 3 * 4
+    assert ids == code.encode("one two three four") * 500
