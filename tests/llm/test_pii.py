@@ -174,3 +174,42 @@ def test_instances_leave_a_task_in_small_batches(spark):
     found = [sorted(map(tuple, pii.extract(rows, patterns, size, n).collect())) for size, n in ((9, pii.FOUND_ROWS), (9, 7), (1, 1))]
     assert found[0] == found[1] == found[2] and len(found[0]) == 6 * 40
     assert all(texts[u][s:e].endswith("f") and e - s == 33 for u, _, _, s, e, _ in found[0])
+
+
+def test_contexts_of_common_words_are_dropped_early(spark, monkeypatch):
+    """What a context extracts is not written when it outnumbers the seeds; the results stay those of all edges."""
+    texts = [f"the lamp u{i}@h{i}.org of paper" for i in range(12)] + [f"the lamp w{i} of paper" for i in range(3000)]
+    texts += [f"x\ncontact me at: {x} for more" for x in [*(f"a{i}@b{i}.org" for i in range(12)), *(f"a{i} at b{i}" for i in range(4))]]
+    # five seeds of ten instances: trusted in the second round only, by what the first one holds
+    texts += [f"y\nwrite to us {x} please" for x in [*(f"a{i}@b{i}.org" for i in range(5)), *(f"a{i} at b{i}" for i in range(4)), "zed one"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    written, plain_materialize = [], pii.materialize
+
+    def counted(df, tag):
+        out = plain_materialize(df, tag)
+        written.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(pii, "materialize", counted)
+    want = brute_added(texts)
+    for slack in (pii.SLACK, 0):
+        monkeypatch.setattr(pii.held_instances, "__defaults__", (pii.BLOCK_PATTERNS, slack))
+        written.clear()
+        assert {r.doc_id: [tuple(s) for s in r.added] for r in pii.find_personal_data(df).collect() if r.added} == want
+        assert max(n for tag, n in written if tag != "pii") < 500
+        assert len([tag for tag, _ in written if tag == "pii-more"]) == (1 if slack else 2)
+    assert want[len(texts) - 1] and not want.get(500)
+
+
+def test_words_and_marks_are_found_at_once():
+    import random
+
+    rng = random.Random(3)
+    parts = ["a", "the", ",", ".", "@", "é", "x1", "+", "12", "\n", "ß", "日", "_q", "²", "é", "\x85", " ", "'", "\ud800"]
+    for _ in range(300):
+        low = "".join(rng.choice(parts) + rng.choice(["", " ", "\t"]) for _ in range(rng.randrange(40)))
+        starts, ends, numbers = pii.words_and_marks(low)
+        tokens = [(m.start(), m.end()) for m in pii._TOKEN.finditer(low)]
+        assert tokens == list(zip(starts.tolist(), ends.tolist()))
+        words = [low[s:e] for s, e in tokens]
+        assert len(set(zip(words, numbers.tolist()))) == len(set(words)) == len(set(numbers.tolist()))
