@@ -545,11 +545,8 @@ def held_out_recovery(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seeds = materialize(rows.select(F.explode("contexts").alias("c")).select("c.*").distinct(), "pii-seeds")
     hidden = F.col("instance") % 4 == 0
     given, every = seeds.filter(~hidden), seeds.select("kind", "instance").distinct()
-    found = extract(rows, induce(given, limits.get("min_instances", MIN_INSTANCES)), block_patterns)
-    if found is None:
-        held = every.filter("false")
-    else:
-        held = score_instances(found.select("pattern", "kind", "instance").distinct(), given.select("kind", "instance").distinct(), **limits)
+    patterns = induce(given, limits.get("min_instances", MIN_INSTANCES))
+    held, _, _ = held_instances(rows, patterns, given.select("kind", "instance").distinct(), block_patterns, **limits)
     both = every.withColumn("seed", F.lit(True)).join(held.withColumn("held", F.lit(True)), ["kind", "instance"], "full")
     seed, got = F.coalesce("seed", F.lit(False)), F.coalesce("held", F.lit(False))
     names = F.array(*[F.lit(k) for k in ALL_KINDS])
