@@ -84,10 +84,16 @@ def with_selectors(df: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
     return found.withColumn("selector", F.array_join(F.concat(lead, steps), " > ")).drop("__ids", "__at")
 
 
-def page_blocks(nodes: DataFrame, most: int | None = MAX_BLOCKS, longest: int | None = MAX_TEXT) -> DataFrame:
+def _up_to(values: Column, most: int | None) -> Column:
+    return values if most is None else F.slice(values, 1, most)
+
+
+def page_blocks(
+    nodes: DataFrame, most: int | None = MAX_BLOCKS, longest: int | None = MAX_TEXT, most_links: int | None = MAX_LINKS
+) -> DataFrame:
     """(page_id, pos, type, text, links, selector, level): the content's outermost blocks outside chrome.
 
-    ``most`` of them a page, with ``longest`` characters each; with None all of them, whole.
+    ``most`` of them a page, with ``longest`` characters and ``most_links`` links each; with None all of them, whole.
     """
     inside = content(nodes)
     stop = F.try_element_at(F.filter("own", lambda p: p["tag"].isin(*KINDS, *N.SKIPPED)), F.lit(1))
@@ -106,7 +112,7 @@ def page_blocks(nodes: DataFrame, most: int | None = MAX_BLOCKS, longest: int |
     once = F.filter(named, lambda x, k: F.array_position(F.transform(named, lambda y: y["href"]), x["href"]) == k + 1)
     text = N.squeeze(F.array_join(F.transform("items", lambda x: x["text"]), ""))
     blocks = held.select(
-        *_key(), F.col("at").alias("pos"), "tag", text.alias("text"), F.transform(F.slice(once, 1, MAX_LINKS), link).alias("links"), "path"
+        *_key(), F.col("at").alias("pos"), "tag", text.alias("text"), F.transform(_up_to(once, most_links), link).alias("links"), "path"
     ).filter("text <> ''")
     kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
     place = (F.row_number().over(Window.partitionBy("page").orderBy("pos")) - 1).alias("pos")
@@ -128,15 +134,22 @@ def _cells(inside: DataFrame) -> DataFrame:
     return cells.join(_texts(inside, cell, "pos"), ["page", "pos"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def page_tables(nodes: DataFrame) -> DataFrame:
-    """(page_id, pos, caption, headers, rows, selector): data tables, which hold no other table and have a header or two columns."""
+def page_tables(
+    nodes: DataFrame, most: int | None = MAX_TABLES, most_rows: int | None = MAX_ROWS, most_columns: int | None = MAX_COLUMNS,
+    longest: int | None = MAX_CELL,
+) -> DataFrame:
+    """(page_id, pos, caption, headers, rows, selector): data tables, which hold no other table and have a header or two columns.
+
+    ``most`` of them a page, with ``most_rows`` and ``most_columns`` each and ``longest`` characters a cell; with None all, whole.
+    """
     inside = content(nodes)
     tables = inside.filter("tag = 'table'")
     outer = tables.select("page", F.explode(F.filter("own", lambda p: (p["tag"] == "table") & (p["pos"] < F.col("pos")))).alias("p")).select(
         "page", F.col("p.pos").alias("pos")
     )
     inner = tables.join(outer.distinct(), ["page", "pos"], "left_anti").select("page", F.col("pos").alias("table"), "path")
-    row = F.struct("tr", F.col("head"), F.col("all_th"), F.transform(F.slice(F.array_sort("cells"), 1, MAX_COLUMNS), lambda c: F.substring(c["text"], 1, MAX_CELL)).alias("cells"))
+    shown = lambda c: c["text"] if longest is None else F.substring(c["text"], 1, longest)
+    row = F.struct("tr", F.col("head"), F.col("all_th"), F.transform(_up_to(F.array_sort("cells"), most_columns), shown).alias("cells"))
     rows = _cells(inside).groupBy(*_key(), "table", "tr").agg(
         F.collect_list(F.struct("pos", "text")).alias("cells"), F.bool_or("head").alias("head"), F.bool_and("th").alias("all_th")
     )
@@ -152,10 +165,10 @@ def page_tables(nodes: DataFrame) -> DataFrame:
     ).groupBy("page", "table").agg(F.min_by("text", "at").alias("caption"))
     data = held.join(inner, ["page", "table"]).join(captions, ["page", "table"], "left").select(
         *_key(), F.col("table").alias("pos"), F.coalesce("caption", F.lit("")).alias("caption"), headers.alias("headers"),
-        F.transform(F.slice(values, 1, MAX_ROWS), lambda r: r["cells"]).alias("rows"), "path",
+        F.transform(_up_to(values, most_rows), lambda r: r["cells"]).alias("rows"), "path",
     )
     data = data.filter((F.size("headers") > 0) | F.exists("rows", lambda r: F.size(r) >= 2))
-    return with_selectors(_ranked(data, MAX_TABLES), nodes, "path").select("page_id", "pos", "caption", "headers", "rows", "selector")
+    return with_selectors(_ranked(data, most), nodes, "path").select("page_id", "pos", "caption", "headers", "rows", "selector")
 
 
 def page_media(nodes: DataFrame) -> DataFrame:
