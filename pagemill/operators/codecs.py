@@ -126,15 +126,12 @@ def encoded(asked: Column, text: Column, blocks: Column, tables: Column) -> Colu
     return out
 
 
-def page_views(nodes: DataFrame, most: int | None = P.MAX_BLOCKS, longest: int | None = P.MAX_TEXT) -> DataFrame:
-    """One row a page: page_id, text (markdown), blocks and tables, as the forms take them; page_id is unique.
-
-    ``most`` and ``longest`` bound the blocks as in :func:`page_blocks`.
-    """
+def page_views(nodes: DataFrame) -> DataFrame:
+    """One row a page: page_id, text (markdown), blocks and tables, all and whole, as the forms take them; page_id is unique."""
     block = F.struct("pos", F.struct("type", "level", "text").alias("b"))
-    blocks = P.page_blocks(nodes, most, longest).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["b"]).alias("blocks"))
+    blocks = P.page_blocks(nodes, None, None, None).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["b"]).alias("blocks"))
     table = F.struct("pos", F.struct("caption", "headers", "rows").alias("t"))
-    tables = P.page_tables(nodes).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(table)), lambda x: x["t"]).alias("tables"))
+    tables = P.page_tables(nodes, None, None, None, None).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(table)), lambda x: x["t"]).alias("tables"))
     text = P.page_markdown(nodes).select("page_id", F.col("markdown").alias("text"))
     return text.join(blocks, "page_id", "left").join(tables, "page_id", "left").select(
         "page_id", "text", F.coalesce("blocks", F.array().cast(f"array<{BLOCK}>")).alias("blocks"),

@@ -115,3 +115,24 @@ def test_fields_by_selectors():
     spec = {"all": {"selector": "div.row > span", "multiple": True}, "x": {"selector": ".row [data-x]", "attr": "data-x"}, "q": {"selector": "#q"},
             "none": {"selector": "p.row"}, "half": {"selector": ".row span", "divide": 2}, "c": {"const": 1}, "r": {"regex": "id=(.)"}}
     assert C.extract_fields(html, spec) == {"all": "10,5; 20", "x": "1", "q": "t", "none": None, "half": "52.5", "c": "1", "r": "q"}
+
+
+def test_queries_take_whole_pages(spark, tmp_path):
+    from pagemill.queries import QUERIES, reconcile
+
+    wide = "".join("<tr>" + "".join(f"<td>{'y' * 2500 if (r, c) == (3, 2) else f'{r}.{c}'}</td>" for c in range(45)) + "</tr>" for r in range(210))
+    links = "".join(f"<a href=/l{k}>l{k}</a> " for k in range(40))
+    html = (
+        "<article>" + "".join(f"<p>p{k} {'x' * 9000 if k == 3 else 'word'}</p>" for k in range(420)) + f"<p>{links}</p>"
+        + "".join(f"<table><tr><td>a</td><td>{k}</td></tr></table>" for k in range(42)) + f"<table>{wide}</table></article>"
+    )
+    spark.createDataFrame([(1, URL, html)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    blocks = QUERIES["page_blocks"](spark, str(tmp_path))
+    row = blocks.agg(F.count_if(F.col("type") == "paragraph"), F.max(F.length(F.when(F.col("type") == "paragraph", F.col("text")))), F.max("links")).first()
+    assert row[0] >= 421 and row[1] == 9003 and row[2] == 40
+    tables = QUERIES["page_tables"](spark, str(tmp_path)).collect()
+    whole = max(tables, key=lambda r: r.rows)
+    assert len(tables) == 44 and whole.rows == 210 and len(whole.cells.split(";")[0].split(",")) == 45 and "y" * 2500 in whole.cells
+    view = reconcile.views(spark, str(tmp_path)).first()
+    assert len(view.tables) == 43 and max(len(t.rows) for t in view.tables) == 210 and len(view.tables[-1].rows[3]) == 45
+    assert len(view.tables[-1].rows[3][2]) == 2500 and sum(b.type == "paragraph" for b in view.blocks) == 421
